@@ -28,7 +28,8 @@ DATETIME = {"timestamp_ntz", "timestamp", "date"}
 
 def R(expr: str, d: int = 2) -> str:
     """Round like Spark's ``round`` on a double (half-up on the shortest decimal form)."""
-    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,12)), {d}) AS DOUBLE)"
+    x = f"CAST(({expr}) AS DOUBLE)"
+    return f"(CASE WHEN isfinite({x}) THEN CAST(round(CAST({x} AS DECIMAL(38,12)), {d}) AS DOUBLE) ELSE {x} END)"
 
 
 def q(s: str) -> str:
