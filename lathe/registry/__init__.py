@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_AREAS = ("profiling", "splits", "prep", "evaluation")
+_AREAS = ("profiling", "splits", "prep", "evaluation", "models")
 
 
 def _load():
