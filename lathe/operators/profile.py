@@ -110,7 +110,7 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
         distinct = long.where(F.col("v").isNotNull()).groupBy("position").agg(F.count_distinct("v").alias("unique_values"))
     else:
         row_aggs = [
-            F.approx_count_distinct(clean(f.name, f.dataType)).alias(f"d{i}") for i, f in enumerate(df.schema.fields)
+            F.approx_count_distinct(clean(f.name, f.dataType), rsd=0.01).alias(f"d{i}") for i, f in enumerate(df.schema.fields)
         ]
         wide = df.agg(*row_aggs)
         pairs = ", ".join(f"{i}, d{i}" for i in range(n_cols))
