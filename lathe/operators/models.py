@@ -10,7 +10,8 @@ Parameter mapping (the objective functions are the same up to scaling):
 * ridge(alpha): ``regParam = alpha * stddev_samp(y) / n`` (MLlib scales the label),
   no standardisation, L-BFGS, tight tolerance.
 * lasso(alpha): ``elasticNetParam = 1, regParam = alpha``.
-* logistic(C) and linear SVM(C): ``regParam = 1 / (C * n)``.
+* logistic(C) and linear SVM(C): ``regParam = 1 / (C * n)``; logistic stops after
+  ``max_iter`` (default 100, as scikit-learn) L-BFGS iterations.
 * trees / forests: seed 42, ``max_depth None`` becomes MLlib's limit 30; forest 100 trees.
 * boosting: 100 iterations, step 0.1, depth 3; multi-class via one-vs-rest.
 * SVM is linear only (the reference's default RBF kernel has no distributed form).
@@ -101,7 +102,7 @@ def make_estimator(family: str, problem_type: str, params: dict, n: int, y_std:
     if family == "logistic_regression":
         c = float(p.get("C", 1.0))
         return LogisticRegression(regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                                  tol=1e-12, maxIter=int(p.get("max_iter", 100)) * 10,
+                                  tol=float(p.get("tol", 1e-6)), maxIter=int(p.get("max_iter", 100)),
                                   family="multinomial" if n_classes > 2 else "binomial", probabilityCol="probability",
                                   **common)
     if family == "decision_tree":

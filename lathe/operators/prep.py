@@ -207,6 +207,10 @@ def categories(df: DataFrame, cols: list[str]) -> dict:
     One distinct over the unpivoted ``(column, value)`` pairs; the result is bounded by
     ``MAX_CATEGORIES`` per column (checked) since it becomes literals of the plan.
     """
+    card = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), rsd=0.01).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    wide = [c for i, c in enumerate(cols) if card[f"d{i}"] > MAX_CATEGORIES * 1.05]
+    if wide:  # checked with one sketch pass before any distinct is shuffled
+        raise PrepError(f"{wide} have more than {MAX_CATEGORIES} categories; use a vector encoding instead")
     parts = [F.struct(F.lit(i).alias("g"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(cols)]
     long = df.select(F.explode(F.array(*parts)).alias("_c")).select("_c.*").distinct()
     limit = (MAX_CATEGORIES + 1) * len(cols)

@@ -158,24 +158,38 @@ def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
     own order (Spark has no first-seen order). Columns ``column_name, position, rank,
     num_value, text_value`` (numbers and booleans in ``num_value``, dates as ISO text).
 
-    Distinct ``(position, value)`` first, then ``row_number`` per position with a rank
-    filter, which Spark plans as a partial top-n before the shuffle (``WindowGroupLimit``).
+    ``n`` passes of one wide aggregation each: pass ``k`` takes, per column, the minimum
+    of the values above the value found in pass ``k-1``. Nothing is shuffled and no value
+    is held beyond one running minimum per column, whatever the skew.
     """
-    parts = []
-    for i, f in enumerate(df.schema.fields):
-        if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType)):
-            continue
-        num, txt = _sort_keys(f.name, f.dataType)
-        parts.append(F.struct(F.lit(i).alias("position"), num.alias("num_value"), txt.alias("text_value")))
-    long = df.select(F.explode(F.array(*parts)).alias("_c")).select("_c.*")
-    long = long.where(F.col("num_value").isNotNull() | F.col("text_value").isNotNull()).distinct()
-    w = Window.partitionBy("position").orderBy("num_value", "text_value")
-    names = F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("position") + 1)
-    return (
-        long.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= n)
-        .select(names.alias("column_name"), F.col("position").cast("int"), F.col("rank").cast("int"), "num_value", "text_value")
-    )
+    spark = df.sparkSession
+    fields = [(i, f) for i, f in enumerate(df.schema.fields)
+              if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
+    keys = {i: _sort_keys(f.name, f.dataType) for i, f in fields}
+    prev: dict = {}
+    found: list = []
+    for rank in range(1, n + 1):
+        aggs = []
+        live = [i for i, _ in fields if rank == 1 or prev.get(i) is not None]
+        if not live:
+            break
+        for i in live:
+            num, txt = keys[i]
+            key = num if num is not None and not _is_text(df.schema.fields[i].dataType) else txt
+            cond = key.isNotNull() if rank == 1 else key > F.lit(prev[i])
+            aggs.append(F.min(F.when(cond, key)).alias(f"v{i}"))
+        row = df.agg(*aggs).first()
+        for i in live:
+            v = row[f"v{i}"]
+            prev[i] = v
+            if v is not None:
+                numeric = not _is_text(df.schema.fields[i].dataType)
+                found.append((df.columns[i], i, rank, float(v) if numeric else None, None if numeric else v))
+    return spark.createDataFrame(found, "column_name string, position int, rank int, num_value double, text_value string")
+
+
+def _is_text(dt: T.DataType) -> bool:
+    return not (isinstance(dt, T.BooleanType) or is_numeric_type(dt))
 
 
 def class_balance(df: DataFrame, target: str, threshold: float = 20.0) -> DataFrame:

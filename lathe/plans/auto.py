@@ -158,8 +158,9 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
             else:
                 model, params, cv_rows = fit_model(train, features, prob.target, cand.family, prob.problem_type,
                                                    cand.params), dict(cand.params), []
-            pred = model.transform(test)
+            pred = model.transform(test).persist(StorageLevel.MEMORY_AND_DISK)
             vals = score_all(pred, prob, metrics)
+            pred.unpersist()
             results.append(CandidateResult(cand.candidate_id, pos, cand.family, "completed", params, vals,
                                            importances(model) if model.pipeline is not None else [], cv_rows,
                                            time.time() - c0, None, model, pred))
@@ -182,8 +183,8 @@ def score_all(pred: DataFrame, prob, metrics) -> dict:
         return {m: float(row[m]) for m in metrics}
     row = evaluate.classification_metrics(pred, prob.target, "prediction").first()
     out = {m: float(row[m]) for m in ("accuracy", "precision", "recall", "f1")}
-    n_cls = pred.select(prob.target).distinct().count()
     if "probabilities" in pred.columns:
+        n_cls = pred.select(F.size("probabilities")).first()[0]
         if n_cls > 2:
             out["roc_auc"] = float(evaluate.roc_auc_ovr(pred, prob.target, "probabilities").first()["roc_auc"])
         else:
