@@ -125,6 +125,40 @@ def classification_metrics(df: DataFrame, label="label", prediction="prediction"
     )
 
 
+def scores_from_counts(counts: dict, pos_label: str | None = None) -> dict:
+    """Accuracy, precision, recall, f1 from ``{(label, prediction): n}`` (binary for the
+    positive label when the true labels have at most two values, else macro)."""
+    classes = sorted({a for a, _ in counts} | {b for _, b in counts})
+    tp = {c: counts.get((c, c), 0) for c in classes}
+    n_pred = {c: sum(n for (_, b), n in counts.items() if b == c) for c in classes}
+    n_true = {c: sum(n for (a, _), n in counts.items() if a == c) for c in classes}
+    total = sum(counts.values())
+
+    def prf(c):
+        p = tp[c] / n_pred[c] if n_pred[c] else 0.0
+        r = tp[c] / n_true[c] if n_true[c] else 0.0
+        return p, r, (2 * p * r / (p + r) if p + r else 0.0)
+
+    labels = [c for c in classes if n_true[c] > 0]
+    out = {"accuracy": sum(tp.values()) / total if total else 0.0}
+    if len(labels) > 2:
+        vals = [prf(c) for c in classes]
+        out.update(precision=sum(v[0] for v in vals) / len(vals), recall=sum(v[1] for v in vals) / len(vals),
+                   f1=sum(v[2] for v in vals) / len(vals))
+    else:
+        pos = pos_label if pos_label is not None else (max(labels) if labels else None)
+        p, r, f = prf(pos) if pos in tp else (0.0, 0.0, 0.0)
+        out.update(precision=p, recall=r, f1=f)
+    return out
+
+
+def classification_scores(df: DataFrame, label="label", prediction="prediction", pos_label=None) -> dict:
+    """:func:`classification_metrics` for one model as a dict, in a single counting job:
+    only the ``(label, prediction)`` count table (classes squared rows) reaches the driver."""
+    rows = pair_counts(df, label, prediction).limit(MAX_CLASSES * MAX_CLASSES).collect()
+    return scores_from_counts({(r["label"], r["prediction"]): r["n"] for r in rows}, pos_label)
+
+
 def class_report(df: DataFrame, label="label", prediction="prediction", model: str | None = None) -> DataFrame:
     """Per class precision, recall, f1, support, then rows ``accuracy``, ``macro avg`` and
     ``weighted avg``: ``model, row, precision, recall, f1, support``."""
@@ -176,6 +210,36 @@ def auc_by_group(df: DataFrame, group: Column, positive: Column, score: Column)
     ).select("g", F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("auc")).alias("auc"))
 
 
+def roc_curve(df: DataFrame, label="label", score="score", pos_label=None) -> DataFrame:
+    """ROC curve points ``threshold, fpr, tpr`` (one per distinct score, highest first),
+    from the same per-score counts as :func:`roc_auc`; cumulative counts from the top are
+    prefix sums over sketch buckets, never a global window."""
+    lab = F.col(label).cast("string")
+    if pos_label is None:
+        pos_label = df.agg(F.max(lab)).first()[0]
+    pos = lab == F.lit(str(pos_label))
+    by_score = df.groupBy((-F.col(score).cast("double")).alias("score")).agg(
+        F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
+    splits = _score_cuts(by_score)
+    bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(by_score)
+    totals = {r["bucket"]: (r["p"], r["n"]) for r in bucketed.groupBy("bucket").agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()}
+    P = sum(v[0] for v in totals.values())
+    N = sum(v[1] for v in totals.values())
+    offs, acc_p, acc_n = [], 0, 0
+    for b in sorted(totals):
+        offs.append((float(b), acc_p, acc_n))
+        acc_p += totals[b][0]
+        acc_n += totals[b][1]
+    off = df.sparkSession.createDataFrame(offs, "bucket double, op long, on long")
+    w = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (bucketed.join(F.broadcast(off), "bucket")
+           .select((-F.col("score")).alias("threshold"),
+                   (F.col("on") + F.sum("neg").over(w)).alias("fp"), (F.col("op") + F.sum("pos").over(w)).alias("tp")))
+    return cum.select("threshold", (F.col("fp") / F.lit(float(N) if N else float("nan"))).alias("fpr"),
+                      (F.col("tp") / F.lit(float(P) if P else float("nan"))).alias("tpr"))
+
+
 def roc_auc(df: DataFrame, label="label", score="score", model: str | None = None, pos_label=None) -> DataFrame:
     """Binary ROC AUC per model (``model, roc_auc``); positive label default: the
     largest label. Undefined (one class only) gives 0.0 as the reference does."""

@@ -13,6 +13,8 @@ Parameter mapping (the objective functions are the same up to scaling):
 * logistic(C) and linear SVM(C): ``regParam = 1 / (C * n)``; logistic stops after
   ``max_iter`` (default 100, as scikit-learn) L-BFGS iterations.
 * trees / forests: seed 42, ``max_depth None`` becomes MLlib's limit 30; forest 100 trees.
+  ``min_samples_split = s`` maps to ``minInstancesPerNode = max(min_samples_leaf, s // 2)``
+  (MLlib bounds the child size, not the parent size: an approximation).
 * boosting: 100 iterations, step 0.1, depth 3; multi-class via one-vs-rest.
 * SVM is linear only (the reference's default RBF kernel has no distributed form).
 """
@@ -76,6 +78,10 @@ def _depth(v):
     return MAX_DEPTH if v is None else min(int(v), MAX_DEPTH)
 
 
+def _min_node(p: dict) -> int:
+    return max(int(p.get("min_samples_leaf", 1)), int(p.get("min_samples_split", 2)) // 2, 1)
+
+
 def label_stats(df: DataFrame, target: str, problem_type: str = "regression") -> tuple[int, float]:
     """Rows with a label, and the label's sample std (regression only)."""
     if problem_type != "regression":
@@ -106,12 +112,12 @@ def make_estimator(family: str, problem_type: str, params: dict, n: int, y_std:
                                   family="multinomial" if n_classes > 2 else "binomial", probabilityCol="probability",
                                   **common)
     if family == "decision_tree":
-        kw = {"maxDepth": _depth(p.get("max_depth")), "minInstancesPerNode": int(p.get("min_samples_leaf", 1)),
+        kw = {"maxDepth": _depth(p.get("max_depth")), "minInstancesPerNode": _min_node(p),
               "seed": SEED, **_TREE_SPEED, **common}
         return DecisionTreeClassifier(**kw) if cls else DecisionTreeRegressor(**kw)
     if family == "random_forest":
         kw = {"numTrees": int(p.get("n_estimators", 100)), "maxDepth": _depth(p.get("max_depth")),
-              "minInstancesPerNode": int(p.get("min_samples_leaf", 1)), "seed": SEED, **_TREE_SPEED, **common}
+              "minInstancesPerNode": _min_node(p), "seed": SEED, **_TREE_SPEED, **common}
         return RandomForestClassifier(**kw) if cls else RandomForestRegressor(**kw)
     if family == "gradient_boosting":
         kw = {"maxIter": int(p.get("n_estimators", 100)), "stepSize": float(p.get("learning_rate", 0.1)),

@@ -25,7 +25,7 @@ DEFAULT_GRIDS = {
     "random_forest": {"n_estimators": [50, 100, 150], "max_depth": [5, 10, None]},
     "decision_tree": {"max_depth": [3, 5, 10, None], "min_samples_split": [2, 5]},
     "gradient_boosting": {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1, 0.2], "max_depth": [3, 5]},
-    "logistic_regression": {"C": [0.1, 1.0, 10.0]},
+    "logistic_regression": {"C": [0.1, 1.0, 10.0], "max_iter": [500]},
     "svm": {"C": [0.1, 1.0, 10.0]},
     "knn": {"n_neighbors": [3, 5, 7]},
     "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0]},
@@ -61,7 +61,7 @@ class MetricEvaluator(Evaluator):
         pos = str(self.n_classes - 1) if self.n_classes <= 2 else None
         df = dataset.select(F.col("label").cast("int").cast("string").alias("label"),
                             F.col("prediction").cast("int").cast("string").alias("prediction"))
-        return float(evaluate.classification_metrics(df, pos_label=pos).first()[m])
+        return float(evaluate.classification_scores(df, pos_label=pos)[m])
 
     def isLargerBetter(self) -> bool:
         return evaluate.higher_is_better(self.metric)
@@ -140,7 +140,7 @@ def score_predictions(pred: DataFrame, target: str, metric: str, problem_type: s
         return float(evaluate.regression_metrics(pred, target, "prediction").first()[m])
     if m == "roc_auc":
         return float(evaluate.roc_auc(pred, target, "score").first()["roc_auc"]) if "score" in pred.columns else 0.0
-    return float(evaluate.classification_metrics(pred, target, "prediction").first()[m])
+    return float(evaluate.classification_scores(pred, target, "prediction")[m])
 
 
 def cv_table(spark, rows) -> DataFrame:

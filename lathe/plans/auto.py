@@ -5,6 +5,7 @@ training part is persisted once before the candidate loop and released after it.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -18,6 +19,9 @@ from ..operators.quality import drop_missing_target
 from .config import CLASSIFICATION_METRICS, REGRESSION_METRICS, RunConfig, default_config, scale_sensitive
 
 
+ROWS_PER_PARTITION = 200_000
+
+
 @dataclass
 class CandidateResult:
     candidate_id: str
@@ -89,11 +93,14 @@ def _numeric_features(df: DataFrame, cols: list[str]) -> list[str]:
 
 
 def auto_train(df: DataFrame, target: str | None = None, key: str | None = None, config: RunConfig | None = None,
-               problem_type: str = "auto", excluded=(), metric: str | None = None, parallelism: int = 4) -> RunResult:
+               problem_type: str = "auto", excluded=(), metric: str | None = None, parallelism: int | None = None,
+               tier: str = "standard") -> RunResult:
     t0 = time.time()
     warnings: list[str] = []
+    if parallelism is None:  # parameter sets fitted at once by CrossValidator's driver threads
+        parallelism = max(2, min(8, df.sparkSession.sparkContext.defaultParallelism))
     prob = problem.resolve_problem(df, target, problem_type, excluded, metric)
-    cfg = config or default_config(prob)
+    cfg = config or default_config(prob, tier=tier)
     data = drop_missing_target(df, prob.target).drop(*prob.excluded)
     if key is None:
         key = "_row_key"
@@ -134,11 +141,17 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
     if not features:
         raise ValueError("no numeric features remain after preparation")
     cols = [key, prob.target] + features
-    train = train.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    staged = train.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     test = test.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    n_train, n_test = train.count(), test.count()
+    n_train, n_test = staged.count(), test.count()
     if n_train < 2 or n_test < 1:
         raise ValueError(f"too few rows to train ({n_train} train, {n_test} test)")
+    # Partitions sized from the row count: a small training part in few partitions lets the
+    # tuner's concurrent fits each use one core; a large one keeps the cluster's parallelism.
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism * 4, math.ceil(n_train / ROWS_PER_PARTITION)))
+    train = staged.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    train.count()
+    staged.unpersist()
 
     metrics = CLASSIFICATION_METRICS if prob.problem_type == "classification" else REGRESSION_METRICS
     results = []
@@ -146,14 +159,16 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
     for pos, cand in enumerate(cfg.candidates):
         c0 = time.time()
         try:
-            grid = cand.grid if cand.search != "none" else {}
+            grid, search = (cand.grid, cand.search) if cand.search != "none" else ({}, "none")
+            if search == "none" and cfg.default_grids and cand.family in tune.DEFAULT_GRIDS:
+                grid, search = tune.DEFAULT_GRIDS[cand.family], "grid"
             if grid:
                 if folded is None:
                     folded = (split.kfold_stratified(train, key, prob.target, cfg.folds)
                               if prob.problem_type == "classification" else split.kfold(train, key, cfg.folds))
                     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
                 model, params, cv_rows = tune.tune(folded, features, prob.target, cand.family, prob.problem_type,
-                                                   cfg.metric, grid, base_params=cand.params, search=cand.search,
+                                                   cfg.metric, grid, base_params=cand.params, search=search,
                                                    n_iter=cand.n_iter, parallelism=parallelism)
             else:
                 model, params, cv_rows = fit_model(train, features, prob.target, cand.family, prob.problem_type,
@@ -181,7 +196,7 @@ def score_all(pred: DataFrame, prob, metrics) -> dict:
     if prob.problem_type == "regression":
         row = evaluate.regression_metrics(pred, prob.target, "prediction").first()
         return {m: float(row[m]) for m in metrics}
-    row = evaluate.classification_metrics(pred, prob.target, "prediction").first()
+    row = evaluate.classification_scores(pred, prob.target, "prediction")
     out = {m: float(row[m]) for m in ("accuracy", "precision", "recall", "f1")}
     if "probabilities" in pred.columns:
         n_cls = pred.select(F.size("probabilities")).first()[0]

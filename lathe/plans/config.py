@@ -48,11 +48,18 @@ class RunConfig:
     metric: str = "f1"
     scale: bool | None = None  # None: scale when a candidate is scale sensitive
     prep_steps: list | None = None  # None: the recommended column actions
+    default_grids: bool = True  # a candidate without a search gets its family's default grid
 
 
-def default_config(problem: Problem, max_candidates: int = 3) -> RunConfig:
+def default_config(problem: Problem, max_candidates: int | None = None, tier: str = "standard") -> RunConfig:
     """Stratified 80/20 for classification, random 80/20 for regression, seed 42, no
-    selection, 5 folds; candidates logistic / linear, forest, boosting."""
+    selection; candidates logistic / linear, forest, boosting with 5 folds. The
+    ``minimal`` tier (the reference's choice on a small machine) keeps the first two
+    candidates and 3 folds."""
+    if tier not in ("standard", "minimal"):
+        raise ValueError(f"unknown tier {tier!r}")
+    if max_candidates is None:
+        max_candidates = 2 if tier == "minimal" else 3
     cls = problem.problem_type == CLASSIFICATION
     pool = CLASSIFICATION_POOL if cls else REGRESSION_POOL
     cands = [Candidate(f"model_{i + 1:03d}", fam, {} if fam == "linear_regression" else {"random_state": SEED})
@@ -61,6 +68,7 @@ def default_config(problem: Problem, max_candidates: int = 3) -> RunConfig:
         split=SplitConfig("stratified" if cls else "random"),
         candidates=cands,
         metric=problem.metric,
+        folds=3 if tier == "minimal" else FOLDS,
     )
 
 

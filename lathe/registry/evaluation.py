@@ -125,6 +125,13 @@ def _champion(s, sf):
                       F.round("relative_improvement", 6).alias("relative_improvement"))
 
 
+def _roc_curve(s, sf):
+    o = T(s, sf, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("label"),
+                                  F.col("o_totalprice").alias("score"))
+    c = evaluate.roc_curve(o)
+    return c.select(F.round("threshold", 4).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
 QUERIES = {
     "fs_variance": _fs_variance,
     "fs_correlation_matrix": _fs_corr_matrix,
@@ -139,6 +146,7 @@ QUERIES = {
         "model_id", "row", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support"),
     "metric_roc_auc": _auc,
     "metric_roc_auc_ovr": _auc_ovr,
+    "roc_curve": _roc_curve,
     "metric_regression": _regression,
     "leaderboard": lambda s, sf: compare.leaderboard(_reg_long(s, sf), "rmse"),
     "best_model": lambda s, sf: compare.best_model(_reg_long(s, sf), "rmse"),
@@ -306,6 +314,10 @@ SELECT 'rule_qty' AS model_id, a.v AS label, b.v AS prediction,
     "class_report": _class_report_sql(),
     "metric_roc_auc": _AUC,
     "metric_roc_auc_ovr": _AUC_OVR,
+    "roc_curve": f"""WITH s AS (SELECT o_totalprice AS score, count(*) FILTER (WHERE o_orderstatus = 'F') AS p,
+                      count(*) FILTER (WHERE o_orderstatus <> 'F') AS n FROM orders GROUP BY 1),
+c AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM s)
+SELECT {R('score', 4)} AS threshold, {R('fp / (SELECT sum(n) FROM s)', 6)} AS fpr, {R('tp / (SELECT sum(p) FROM s)', 6)} AS tpr FROM c""",
     "metric_regression": "WITH " + _REG_WIDE + " SELECT model_id, " + ", ".join(f"{R(c, 4)} AS {c}" for c in ("mae", "mse", "rmse", "r2"))
     + " FROM w WHERE position = 0",
     "leaderboard": "WITH " + _REG_LONG + f", r AS (SELECT model_id, position, metric, {R('value', 4)} AS value FROM long WHERE metric = 'rmse') "

@@ -113,7 +113,7 @@ def _knn(problem_type):
 
 
 def _auto(s, sf):
-    r = auto.auto_train(_docs(s, sf), "toxic", "doc_id")
+    r = auto.auto_train(_docs(s, sf), "toxic", "doc_id", tier="minimal")
     return report.run_report(s, r)
 
 
@@ -121,12 +121,12 @@ def _retrain(s, sf):
     d = _docs(s, sf)
     prob_cfg = RunConfig(split=SplitConfig("stratified"), metric="f1",
                          candidates=[models.Candidate("model_001", "decision_tree", {"max_depth": 5})])
-    _, _, cmp = auto.retrain_compare(d, prob_cfg, "toxic", "doc_id")
+    _, _, cmp = auto.retrain_compare(d, prob_cfg, "toxic", "doc_id", tier="minimal")
     return cmp
 
 
 def _exec(s, sf):
-    r = auto.auto_train(_docs(s, sf), "toxic", "doc_id")
+    r = auto.auto_train(_docs(s, sf), "toxic", "doc_id", tier="minimal")
     return report.executive_report(s, r)
 
 
@@ -154,6 +154,7 @@ QUERIES = {
     "model_roundtrip": _roundtrip,
     "tune_grid": _tune("grid"),
     "tune_random": _tune("random"),
+    "cv_results": _tune("grid"),
     "auto_train": _auto,
     "retrain_compare": _retrain,
     "run_report": _auto,
