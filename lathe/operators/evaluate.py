@@ -49,6 +49,15 @@ def _mcol(model):
     return model or "_model"
 
 
+def check_predictions(df: DataFrame, label="label") -> None:
+    """An empty predictions table or a missing label is an error (one small aggregation)."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(label)).alias("k")).first()
+    if row["n"] == 0:
+        raise MetricError("the predictions table is empty")
+    if row["k"] != row["n"]:
+        raise MetricError(f"{row['n'] - row['k']} rows have no label")
+
+
 def pair_counts(df: DataFrame, label="label", prediction="prediction", model: str | None = None) -> DataFrame:
     """``model, label, prediction, n``: rows per (label, prediction), labels as text."""
     return df.groupBy(*_mid(model), F.col(label).cast("string").alias("label"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compare, engineer, evaluate, prep, problem, profile, select, split, tune
-from ..operators.models import fit_model, importances
+from ..operators.models import check_candidates, fit_model, importances
 from ..operators.quality import drop_missing_target
 from .config import CLASSIFICATION_METRICS, REGRESSION_METRICS, RunConfig, default_config, scale_sensitive
 
@@ -101,6 +101,7 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
         parallelism = max(2, min(8, df.sparkSession.sparkContext.defaultParallelism))
     prob = problem.resolve_problem(df, target, problem_type, excluded, metric)
     cfg = config or default_config(prob, tier=tier)
+    check_candidates(cfg.candidates, prob.problem_type)
     data = drop_missing_target(df, prob.target).drop(*prob.excluded)
     if key is None:
         key = "_row_key"
@@ -193,6 +194,7 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
 
 
 def score_all(pred: DataFrame, prob, metrics) -> dict:
+    evaluate.check_predictions(pred, prob.target)
     if prob.problem_type == "regression":
         row = evaluate.regression_metrics(pred, prob.target, "prediction").first()
         return {m: float(row[m]) for m in metrics}

@@ -9,7 +9,7 @@ from lathe.sources import io
 def test_whole_run_classification(spark):
     rows = [(i, float(i % 7), float(i % 5), i % 2) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, feat_a double, feat_b double, target int")
-    r = auto.auto_train(df, "target", "k")
+    r = auto.auto_train(df, "target", "k", tier="minimal")
     assert r.problem.problem_type == "classification" and r.best_id is not None
     assert all(c.status == "completed" for c in r.candidates)
     rep = report.run_report(spark, r).collect()
@@ -21,7 +21,7 @@ def test_whole_run_regression(spark):
     rows = [(i, rnd.random(), rnd.random(), 50 + 10 * rnd.gauss(0, 1)) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, feat_a double, feat_b double, target double")
     # random features are all distinct, so the recommended actions would drop them as ids
-    cfg = default_config(resolve_problem(df.drop("k"), "target"))
+    cfg = default_config(resolve_problem(df.drop("k"), "target"), tier="minimal")
     cfg.prep_steps = []
     r = auto.auto_train(df, "target", "k", config=cfg)
     assert r.problem.problem_type == "regression" and r.best_id is not None
@@ -35,7 +35,30 @@ def test_pipeline_from_csv(spark, tmp_path):
     df.coalesce(1).write.option("header", True).csv(path)
     loaded = io.read_table(spark, path, schema="feature1 double, feature2 double, target bigint")
     assert loaded.count() == 100
-    r = auto.auto_train(loaded, "target")
+    r = auto.auto_train(loaded, "target", tier="minimal")
     assert r.n_rows == 100 and r.best_id is not None
     ex = report.executive_report(spark, r).collect()
     assert any(x["section"] == "models" for x in ex)
+
+
+def test_candidate_checks(spark):
+    import pytest
+
+    from lathe.operators.models import Candidate, ModelError
+
+    df = spark.createDataFrame([(i, float(i), i % 2) for i in range(20)], "k int, a double, target int")
+    cfg = default_config(resolve_problem(df.drop("k"), "target"))
+    cfg.candidates = [Candidate("m1", "ridge")]
+    with pytest.raises(ModelError):
+        auto.auto_train(df, "target", "k", config=cfg)
+    cfg.candidates = [Candidate("m1", "svm"), Candidate("m1", "knn")]
+    with pytest.raises(ModelError):
+        auto.auto_train(df, "target", "k", config=cfg)
+
+
+def test_default_grids_and_tiers(spark):
+    df = spark.createDataFrame([(i, float(i), i % 2) for i in range(20)], "k int, a double, target int")
+    prob = resolve_problem(df.drop("k"), "target")
+    std, mini = default_config(prob), default_config(prob, tier="minimal")
+    assert [c.family for c in std.candidates] == ["logistic_regression", "random_forest", "gradient_boosting"]
+    assert len(mini.candidates) == 2 and mini.folds == 3 and std.folds == 5
