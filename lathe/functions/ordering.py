@@ -11,7 +11,8 @@ before rank r"), so they share one routine, :func:`select_ranks`:
    checks the rank really lies between the two chosen grid values. Each round shrinks
    the range by about ``GRID / 4``; the count check makes the result exact whatever
    the sketch does.
-3. Finish with a window partitioned by target over the few rows left in range.
+3. Finish with one window per distinct candidate range (shared by the targets of a
+   group, e.g. all fold boundaries) over the few rows left in range.
 
 A value repeated in a third of all rows is no problem: its grid points coincide, the
 range collapses to that value and the target is resolved without any window.
@@ -151,21 +152,24 @@ def _narrow(spark, data, state, idx, gtype, xtype):
 
 
 def _finish(spark, data, state, idx, gtype, xtype):
-    tdf = _target_frame(
-        spark,
-        [(i, state[i].g, state[i].lo, state[i].hi, state[i].r - state[i].below) for i in idx],
-        gtype,
-        xtype,
-        extra=(("_k", T.LongType()),),
-    )
+    """One window per distinct candidate range (targets of one group usually share it:
+    the k-1 fold boundaries, a median's two middle ranks), then pick every wanted rank."""
+    ranges: dict = {}
+    want = []
+    for i in idx:
+        t = state[i]
+        rid = ranges.setdefault((t.g, t.lo, t.hi), len(ranges))
+        want.append((i, rid, t.r - t.below + 1))
+    rdf = _target_frame(spark, [(rid, g, lo, hi) for (g, lo, hi), rid in ranges.items()], gtype, xtype)
+    wdf = F.broadcast(spark.createDataFrame(want, "_tid int, _wid int, _rn long"))
     w = Window.partitionBy("_tid").orderBy("_x")
     ranked = (
-        data.join(tdf, data["_g"] == tdf["_tg"])
+        data.join(rdf, data["_g"] == rdf["_tg"])
         .where(_in_range(F.col("_x")))
-        .select("_tid", "_x", "_k", F.row_number().over(w).alias("_rn"), F.rank().over(w).alias("_rk"))
-        .where(F.col("_rn") == F.col("_k") + 1)
+        .select(F.col("_tid").alias("_rid"), "_x", F.row_number().over(w).alias("_n"), F.rank().over(w).alias("_rk"))
     )
-    for row in ranked.collect():
+    picked = ranked.join(wdf, (ranked["_rid"] == wdf["_wid"]) & (ranked["_n"] == wdf["_rn"]))
+    for row in picked.select("_tid", "_x", "_rk").collect():
         t = state[row["_tid"]]
         t.value, t.less, t.done = row["_x"], t.below + row["_rk"] - 1, True
 
