@@ -1,13 +1,15 @@
 """Exact k nearest neighbours without a cross join.
 
-The training side is cut into blocks whose feature bytes stay under ``BLOCK_BYTES``
-(checked before anything is broadcast). Each block is broadcast once and the query table
-is streamed through ``mapInPandas``: every Arrow batch of queries computes its Euclidean
-distances to the block with numpy and keeps only its k best partners, so no pair table is
-ever materialised. With several blocks the per-block candidates (k per query and block)
-are merged by a window partitioned by query key. Ranking is by distance rounded to 9
-decimals, then by training row id; the vote takes the most frequent label (ties: the
-smaller label) or the mean for regression.
+When the training side's feature bytes stay under ``BLOCK_BYTES`` (checked first) it is
+broadcast once and the query table is streamed through ``mapInPandas``: every Arrow batch
+of queries computes its Euclidean distances with numpy and keeps only its k best
+partners, so no pair table is ever materialised. A larger training side never goes
+through the driver: training rows and query rows are both cut into blocks of at most
+``BLOCK_BYTES``, every (query block, training block) pair meets in one
+``cogroup(...).applyInPandas`` task that keeps k candidates per query, and the
+candidates (k per query and training block) are merged by a window partitioned by query.
+Ranking is by distance rounded to 9 decimals, then by training row id; the vote takes the
+most frequent label (ties: the smaller label) or the mean for regression.
 
 The cost is the exact method's O(queries x training rows) distance work, spread over all
 tasks; nothing is capped or sampled.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 256 << 20  # feature bytes of one broadcast training block
+BLOCK_BYTES = 256 << 20  # feature bytes of one broadcast or one cogrouped block
 _Q_CHUNK = 64
 _T_CHUNK = 4096
 
@@ -83,19 +85,13 @@ class KNNModel:
         cls = self.problem_type == "classification"
         ltype = T.StringType() if cls else T.DoubleType()
         feats, target = self.features, self.target
-        if n_blocks > 1 and key is None:
-            raise ValueError("a training table larger than one broadcast block needs a query key")
-        cands = []
-        for b in range(n_blocks):
-            block = tr if n_blocks == 1 else tr.where(F.pmod(F.xxhash64(idc), F.lit(n_blocks)) == b)
-            pdf = block.select(*feats, F.col(target).cast(ltype.simpleString()).alias("_y"), F.col(idc).alias("_id")).toPandas()
-            bc = spark.sparkContext.broadcast((_matrix(pdf, feats), pdf["_y"].to_numpy(), pdf["_id"].to_numpy()))
-            cands.append(self._score_block(df, bc, k, key if n_blocks > 1 else None, ltype))
         if n_blocks == 1:
-            return cands[0]
-        allc = cands[0]
-        for c in cands[1:]:
-            allc = allc.unionByName(c)
+            pdf = tr.select(*feats, F.col(target).cast(ltype.simpleString()).alias("_y"), F.col(idc).alias("_id")).toPandas()
+            bc = spark.sparkContext.broadcast((_matrix(pdf, feats), pdf["_y"].to_numpy(), pdf["_id"].to_numpy()))
+            return self._score_block(df, bc, k, None, ltype)
+        if key is None:
+            raise ValueError("a training table larger than one broadcast block needs a query key")
+        allc = self._blocked(df, tr, idc, n_blocks, k, key, ltype)
         w = Window.partitionBy("_q").orderBy("_d", "_id")
         best = allc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
         if cls:
@@ -105,6 +101,38 @@ class KNNModel:
             pred = best.groupBy("_q").agg(F.avg("_y").alias("prediction"))
         return df.join(pred.withColumnRenamed("_q", key), key)
 
+    def _blocked(self, df, tr, idc, t_blocks, k, key, ltype):
+        """Candidates ``(_q, _id, _d, _y)``: k per query and training block, computed by one
+        task per (query block, training block) pair; neither side is collected."""
+        feats, target = self.features, self.target
+        n_q = df.count()
+        dim = max(1, math.ceil(len(self.features)))
+        if len(feats) == 1 and isinstance(df.schema[feats[0]].dataType, T.ArrayType):
+            dim = len(df.select(feats[0]).first()[0])
+        q_blocks = max(1, math.ceil(n_q * dim * 8 / BLOCK_BYTES))
+        train = tr.select(*feats, F.col(target).cast(ltype.simpleString()).alias("_y"), F.col(idc).cast("long").alias("_id"),
+                          F.pmod(F.xxhash64(idc), F.lit(t_blocks)).alias("_tb"),
+                          F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_qb"))
+        query = df.select(F.col(key).alias("_q"), *feats, F.pmod(F.xxhash64(key), F.lit(q_blocks)).alias("_qb"),
+                          F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("_tb"))
+        schema = T.StructType([T.StructField("_q", df.schema[key].dataType), T.StructField("_id", T.LongType()),
+                               T.StructField("_d", T.DoubleType()), T.StructField("_y", ltype)])
+
+        def pair(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
+            if len(qpdf) == 0 or len(tpdf) == 0:
+                return pd.DataFrame({c: [] for c in ("_q", "_id", "_d", "_y")})
+            tm, ty, tid = _matrix(tpdf, feats), tpdf["_y"].to_numpy(), tpdf["_id"].to_numpy()
+            q = _matrix(qpdf, feats)
+            kk = min(k, len(tpdf))
+            parts = []
+            for s0 in range(0, len(qpdf), _Q_CHUNK):
+                i, d = _topk(q[s0:s0 + _Q_CHUNK], tm, kk, tid)
+                parts.append(pd.DataFrame({"_q": np.repeat(qpdf["_q"].to_numpy()[s0:s0 + _Q_CHUNK], kk),
+                                           "_id": tid[i].ravel().astype("int64"), "_d": d.ravel(), "_y": ty[i].ravel()}))
+            return pd.concat(parts)
+
+        return query.groupBy("_qb", "_tb").cogroup(train.groupBy("_qb", "_tb")).applyInPandas(pair, schema)
+
     def _score_block(self, df, bc, k, key, ltype):
         feats = self.features
         cls = self.problem_type == "classification"
