@@ -44,13 +44,23 @@ def variance_scores(df: DataFrame, cols: list[str]) -> dict:
     return {c: row[f"v{i}"] for i, c in enumerate(cols)}
 
 
+WIDE_COLUMNS = 40  # from this many columns, complete inputs use MLlib's vector correlation
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> dict:
     """Absolute Pearson correlation of every pair over rows where both are present.
 
     One aggregation: per pair the population covariance and both variances restricted to
     the pair's present rows; a zero variance gives an undefined (None) correlation
-    instead of ANSI's division error.
+    instead of ANSI's division error. For ``WIDE_COLUMNS`` or more columns without any
+    missing cell (checked in one aggregation) the matrix comes from
+    ``pyspark.ml.stat.Correlation`` over an assembled vector instead: one pass whose
+    partial sums are a k x k matrix per task rather than k squared separate aggregates.
     """
+    if len(cols) >= WIDE_COLUMNS:
+        row = df.agg(*[F.count_if(is_missing(c, df.schema[c].dataType)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        if not any(row[f"m{i}"] for i in range(len(cols))):
+            return _vector_correlation(df, cols)
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for j in range(i + 1, len(cols)):
@@ -72,6 +82,21 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> dict:
     return out
 
 
+def _vector_correlation(df: DataFrame, cols: list[str]) -> dict:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(df.select(*[_x(df, c).alias(c) for c in cols]))
+    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+    out = {}
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if i != j:
+                v = float(m[i, j])
+                out[(a, b)] = None if v != v else abs(v)
+    return out
+
+
 def greedy_correlation(cols: list[str], corr: dict, threshold: float) -> set:
     """In candidate order, each kept column removes every later column whose absolute
     correlation with it is strictly above ``threshold``."""

@@ -58,3 +58,17 @@ def test_lineage_expansion(spark):
     df = spark.createDataFrame([(1.0, 0.0, 1.0, 0)], "x double, c_a double, c_b double, t int")
     sel, _ = select.select_features(df, ["x", "c"], "t", "none", lineage={"c": ["c_a", "c_b"]})
     assert sel == ["x", "c_a", "c_b"]
+
+
+def test_wide_correlation_path_matches_pairwise(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [tuple(rnd.random() for _ in range(3)) for _ in range(50)]
+    rows = [(a, b, c, 2 * a + 0.001 * b, 7.0) for a, b, c in rows]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, k double")
+    cols = ["a", "b", "c", "d", "k"]
+    pairwise = select.correlation_matrix(df, cols)
+    monkeypatch.setattr(select, "WIDE_COLUMNS", 2)
+    vector = select.correlation_matrix(df, cols)
+    for key, v in pairwise.items():
+        assert (v is None and vector[key] is None) or abs(v - vector[key]) < 1e-9
+    assert select.greedy_correlation(cols, vector, 0.95) == {"d"}
