@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .evaluate import HIGHER_IS_BETTER, LOWER_IS_BETTER, metric_name
 
-TIE_TOLERANCE = 1e-9
+TIE_TOLERANCE = 1e-9  # fixed value: a smaller difference is a tie
 
 
 class ComparisonError(ValueError):

@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 
 from ..functions.quantiles import approx_quantiles
 
+# Fixed values (metric directions and aliases must equal the reference's).
 HIGHER_IS_BETTER = ("accuracy", "precision", "recall", "f1", "roc_auc", "r2")
 LOWER_IS_BETTER = ("mae", "mse", "rmse")
 ALIASES = {
