@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 256 << 20  # feature bytes of one broadcast or one cogrouped block
+BLOCK_BYTES = 256 << 20  # bytes of one broadcast or one cogrouped block
+_ROW_EXTRA = 64  # per-row bytes besides the features (id, label, object overhead)
 _Q_CHUNK = 64
 _T_CHUNK = 4096
 
@@ -75,7 +76,7 @@ class KNNModel:
         dim = len(self.features)
         if dim == 1 and isinstance(tr.schema[self.features[0]].dataType, T.ArrayType):
             dim = len(tr.select(self.features[0]).first()[0])
-        n_blocks = max(1, math.ceil(n * dim * 8 / BLOCK_BYTES))
+        n_blocks = max(1, math.ceil(n * (dim * 8 + _ROW_EXTRA) / BLOCK_BYTES))
         return tr, idc, n_blocks, n
 
     def transform(self, df: DataFrame, key: str | None = None) -> DataFrame:
@@ -109,7 +110,7 @@ class KNNModel:
         dim = max(1, math.ceil(len(self.features)))
         if len(feats) == 1 and isinstance(df.schema[feats[0]].dataType, T.ArrayType):
             dim = len(df.select(feats[0]).first()[0])
-        q_blocks = max(1, math.ceil(n_q * dim * 8 / BLOCK_BYTES))
+        q_blocks = max(1, math.ceil(n_q * (dim * 8 + _ROW_EXTRA) / BLOCK_BYTES))
         train = tr.select(*feats, F.col(target).cast(ltype.simpleString()).alias("_y"), F.col(idc).cast("long").alias("_id"),
                           F.pmod(F.xxhash64(idc), F.lit(t_blocks)).alias("_tb"),
                           F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_qb"))
