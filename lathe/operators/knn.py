@@ -120,8 +120,10 @@ class KNNModel:
                                T.StructField("_d", T.DoubleType()), T.StructField("_y", ltype)])
 
         def pair(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
-            if len(qpdf) == 0 or len(tpdf) == 0:
-                return pd.DataFrame({c: [] for c in ("_q", "_id", "_d", "_y")})
+            if len(qpdf) == 0 or len(tpdf) == 0:  # a block pair with one empty side: typed empty result
+                return pd.DataFrame({"_q": qpdf["_q"].iloc[:0] if "_q" in qpdf else pd.Series([], dtype="int64"),
+                                     "_id": pd.Series([], dtype="int64"), "_d": pd.Series([], dtype="float64"),
+                                     "_y": pd.Series([], dtype="float64" if ltype == T.DoubleType() else "object")})
             tm, ty, tid = _matrix(tpdf, feats), tpdf["_y"].to_numpy(), tpdf["_id"].to_numpy()
             q = _matrix(qpdf, feats)
             kk = min(k, len(tpdf))

@@ -45,6 +45,13 @@ def test_knn_exact_and_blocked(spark, monkeypatch):
         nn = np.lexsort((np.arange(60), d))[:3]
         vals, counts = np.unique(labels[nn], return_counts=True)
         assert one[i] == vals[np.argmax(counts)]
+    # regression on the blocked path equals the single broadcast block
+    reg = knn.KNNModel.fit(train, ["x", "y"], "z", "regression", 3, id_col="id")
+    blocked = {r["id"]: r["prediction"] for r in reg.transform(test, key="id").collect()}
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 256 << 20)
+    single = {r["id"]: r["prediction"] for r in reg.transform(test).collect()}
+    assert blocked.keys() == single.keys()
+    assert all(abs(blocked[k] - single[k]) < 1e-12 for k in single)
 
 
 def test_tune_grid_picks_and_refits(spark):
