@@ -86,3 +86,9 @@ def test_leaderboard_ties_first_wins(spark):
     assert compare.best_model(m, "f1").first()["model_id"] == "m1"
     board = compare.leaderboard(m, "f1").orderBy("rank").collect()
     assert [r["model_id"] for r in board] == ["m1", "m2", "m3"]
+
+
+def test_roc_curve_points(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "label int, score double")
+    pts = sorted((r["threshold"], r["fpr"], r["tpr"]) for r in evaluate.roc_curve(df).collect())
+    assert pts == [(0.1, 1.0, 1.0), (0.7, 0.5, 1.0), (0.8, 0.5, 0.5), (0.9, 0.0, 0.5)]

@@ -92,3 +92,12 @@ def test_select_ranks_skewed_exact(spark, monkeypatch):
     got = ordering.select_ranks(df, [(0, r) for r in ranks])
     assert [v for v, _ in got] == [xs[r] for r in ranks]
     assert [less for _, less in got] == [int((xs < xs[r]).sum()) for r in ranks]
+
+
+def test_hash_threshold_split(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    a = split.split_random(o, "o_orderkey", 0.2, 42, exact=False)
+    n, t = o.count(), a.where("split = 'test'").count()
+    assert abs(t - 0.2 * n) < 4 * (0.2 * 0.8 * n) ** 0.5  # right in expectation, no job needed
+    b = split.split_random(o, "o_orderkey", 0.2, 42, exact=False)
+    assert a.where("split = 'test'").select("o_orderkey").collect() == b.where("split = 'test'").select("o_orderkey").collect()
