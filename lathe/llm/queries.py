@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import byte_bpe, decontaminate, license_scan, line_dedup, simhash, substring_dedup, toxicity, url_filter
+from lathe.llm import byte_bpe, decontaminate, license_scan, line_dedup, nearest, simhash, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op9_url_filter": op9_url_filter,
