@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import byte_bpe, decontaminate, license_scan, line_dedup, nearest, simhash, substring_dedup, toxicity, url_filter
+from lathe.llm import byte_bpe, decontaminate, html_text, license_scan, line_dedup, nearest, simhash, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
+    "op8_html_extraction": op8_html_extraction,
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
