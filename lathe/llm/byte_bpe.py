@@ -8,7 +8,8 @@ pair, encoded on its own, gives that pair back; a sequence of tokens whose neigh
 all do so is the encoding of its bytes, so nothing outside the window can change. The join is
 associative, and time grows about linearly with the piece, not with its square.
 
-Decoding joins the tokens' bytes pairwise up a tree.
+Decoding puts the bytes of neighbouring tokens next to each other in one buffer; concatenation
+is associative, so each text of a slice is a cut of it.
 
 Edge cases: a null or empty text has no ids, no ids (or null) decode to empty bytes; unknown
 ids raise; every input row gives one output row with its other columns untouched.
@@ -22,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ class Codec:
     def __init__(self, path: str, leaf: int = LEAF) -> None:
         self.ranks, self.tokens = vocabulary(path)
         self.leaf = max(2, leaf)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.table = pa.array(self.tokens, pa.large_binary())
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -104,32 +107,30 @@ class Codec:
                 return left[: len(left) - i] + middle + right[j:]
             i, j = (i if before else 2 * i), (j if after else 2 * j)
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """The ids of one match of the pattern."""
+    def piece(self, text: str) -> bytes:
+        """The ids of one match of the pattern, as 32-bit integers."""
         raw = text.encode()
         whole = self.ranks.get(raw)
-        found = (whole,) if whole is not None else tuple(self.tree(raw))
+        found = np.array([whole] if whole is not None else self.tree(raw), dtype=np.int32).tobytes()
         if len(raw) <= self.leaf:
             if len(self.known) >= _REMEMBERED:
                 self.known.clear()
             self.known[text] = found
         return found
 
-    def encode(self, text: str, pattern) -> list[int]:
-        ids: list[int] = []
-        known, piece = self.known, self.piece
-        for match in pattern.finditer(text) if len(text) > 1_000_000 else pattern.findall(text):
-            match = match if isinstance(match, str) else match.group()
-            ids += known.get(match) or piece(match)
-        return ids
+    def encode(self, text: str, pattern) -> np.ndarray:
+        known, piece = self.known.get, self.piece
+        matches = pattern.findall(text) if len(text) <= 1_000_000 else (m.group() for m in pattern.finditer(text))
+        return np.frombuffer(b"".join([known(m) or piece(m) for m in matches]), dtype=np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Bytes of the ids, joined up a tree."""
-        tokens = self.tokens
-        if len(ids) <= 1024:
-            return b"".join([tokens[i] for i in ids])
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+    def decode(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids side by side, and where each id's bytes begin (and the end)."""
+        found = self.table.take(ids)
+        if found.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        offsets = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1)
+        data = found.buffers()[2]
+        return np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
 @cache
@@ -153,7 +154,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
-                ids = [np.array(own.encode(t or "", splitter), dtype=np.int32) for t in piece.column(position).to_pylist()]
+                ids = [own.encode(t or "", splitter) for t in piece.column(position).to_pylist()]
                 offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.record_batch([*piece.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*piece.schema.names, out])
@@ -170,7 +171,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
-                raw = [own.decode(x or []) for x in piece.column(position).to_pylist()]
+                lists = piece.column(position)
+                data, offsets = own.decode(lists.flatten())
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                cuts = offsets[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+                raw = [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.record_batch([*piece.columns, pa.array(raw, pa.binary())], names=[*piece.schema.names, out])
 
     return _added(df, run, out, "binary")
