@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathe.llm.components import components
@@ -188,3 +188,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     named = member.groupBy("root").agg(F.min("low").alias("component_id"))
     found = member.join(named, "root").select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``documents`` (all columns) less near-duplicates: of each component the
+    document with the smallest doc_id stays. Of rows with one doc_id the one with the least
+    text stays; rows with a null doc_id stay, as nothing names them."""
+    found = near_duplicates(documents.where(F.col(doc_id).isNotNull()), doc_id, text, shingle, distance)
+    first = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__first_id")).distinct(), "first")
+    named = documents.join(first, documents[doc_id].cast("long") == first["__first_id"]).drop("__first_id")
+    one = named.withColumn("__nth", F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).where("__nth = 1").drop("__nth")
+    return one.unionByName(documents.where(F.col(doc_id).isNull()))

@@ -305,3 +305,18 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
             yield pa.record_batch([piece.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "passages"])
 
     return rows.mapInArrow(run, "doc_id long, score double, passages array<struct<start: long, end: long, score: double>>")
+
+
+def without_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``documents`` (all columns) whose text scores less than ``threshold``."""
+    position = documents.columns.index(text)
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for piece in slices(batches, text):
+            found = passages(piece.column(position).cast(pa.string()), own.terms)
+            keep = [own.score(own.evidence(n, [s for *_, s in p])) < threshold for n, p in found]
+            yield piece.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
