@@ -8,11 +8,13 @@ intermediate: a handful of rows per model whatever the size of the test part.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.ml.feature import Bucketizer
+from pyspark.sql import types as T
 
-from ..functions.quantiles import approx_quantiles
+from ..session import cut_lineage
 
 # Fixed values (metric directions and aliases must equal the reference's).
 HIGHER_IS_BETTER = ("accuracy", "precision", "recall", "f1", "roc_auc", "r2")
@@ -22,8 +24,9 @@ ALIASES = {
     "auc": "roc_auc", "mae": "mae", "mean_absolute_error": "mae", "mse": "mse", "mean_squared_error": "mse",
     "rmse": "rmse", "root_mean_squared_error": "rmse", "r2": "r2", "r_squared": "r2",
 }
-MAX_CLASSES = 10_000
-_PREFIX_BUCKETS = 1024
+#: Rows of ``(group, score)`` counts that one prefix-sum bucket holds, and the most buckets.
+BUCKET_ROWS = 200_000
+MAX_BUCKETS = 2_000
 
 
 class MetricError(ValueError):
@@ -65,40 +68,33 @@ def pair_counts(df: DataFrame, label="label", prediction="prediction", model: st
                       F.col(prediction).cast("string").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _classes(counts: DataFrame, model) -> dict:
-    m = _mcol(model)
-    rows = (counts.select(m, F.col("label").alias("c")).union(counts.select(m, F.col("prediction").alias("c")))
-            .distinct().limit(MAX_CLASSES + 1).collect())
-    if len(rows) > MAX_CLASSES:
-        raise MetricError("too many classes")
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r[0], set()).add(r[1])
-    return {k: sorted(v) for k, v in out.items()}
-
-
 def confusion(df: DataFrame, label="label", prediction="prediction", model: str | None = None) -> DataFrame:
-    """Confusion matrix over the sorted union of labels and predictions, zero cells
-    included: ``model, label, prediction, n``."""
+    """Confusion matrix over the union of labels and predictions, zero cells included:
+    ``model, label, prediction, n``. The class table is paired with itself per model, so the
+    matrix (the result) is built by tasks, not on the driver."""
     counts = pair_counts(df, label, prediction, model)
     m = _mcol(model)
-    classes = _classes(counts, model)
-    grid = [(k, a, b) for k, cs in classes.items() for a in cs for b in cs]
-    spark = df.sparkSession
-    gdf = spark.createDataFrame(grid, f"{m} string, label string, prediction string")
-    return (F.broadcast(gdf).join(counts, [m, "label", "prediction"], "left")
-            .select(m, "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    classes = counts.select(m, F.explode(F.array("label", "prediction")).alias("label")).distinct()
+    grid = classes.join(classes.withColumnRenamed("label", "prediction"), m)
+    both = [grid[m].eqNullSafe(counts[m]), grid["label"].eqNullSafe(counts["label"]), grid["prediction"].eqNullSafe(counts["prediction"])]
+    return grid.join(counts, both, "left").select(
+        grid[m], grid["label"], grid["prediction"], F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def per_class(df: DataFrame, label="label", prediction="prediction", model: str | None = None) -> DataFrame:
-    """``model, class, tp, n_pred, n_true, precision, recall, f1`` (zero division -> 0)."""
+    """``model, class, tp, n_pred, n_true, precision, recall, f1`` (zero division -> 0).
+
+    Each (label, prediction) count goes to its label's and its prediction's class: two
+    aggregations of partial sums, no join."""
     counts = pair_counts(df, label, prediction, model)
     m = _mcol(model)
-    tp = counts.where(F.col("label") == F.col("prediction")).select(m, F.col("label").alias("class"), F.col("n").alias("tp"))
-    np_ = counts.groupBy(m, F.col("prediction").alias("class")).agg(F.sum("n").alias("n_pred"))
-    nt = counts.groupBy(m, F.col("label").alias("class")).agg(F.sum("n").alias("n_true"))
-    out = (nt.join(np_, [m, "class"], "full").join(tp, [m, "class"], "left")
-           .select(m, "class", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "n_pred", "n_true")]))
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("label").alias("class"), hit.alias("tp"), zero.alias("n_pred"), F.col("n").alias("n_true")),
+        F.struct(F.col("prediction").alias("class"), zero.alias("tp"), F.col("n").alias("n_pred"), zero.alias("n_true")),
+    )
+    out = counts.select(m, F.inline(sides)).groupBy(m, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "n_pred", "n_true")])
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("n_pred")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("n_true")), F.lit(0.0))
     out = out.withColumn("precision", prec.cast("double")).withColumn("recall", rec.cast("double"))
@@ -106,67 +102,40 @@ def per_class(df: DataFrame, label="label", prediction="prediction", model: str
     return out.withColumn("f1", f1)
 
 
+def label_order(df: DataFrame, label: str, text: Column) -> Column:
+    """The order of a label given as text: that of the label column's own type (9 before 10)."""
+    kind = df.schema[label].dataType
+    return text if isinstance(kind, T.StringType) else text.try_cast(kind)
+
+
 def classification_metrics(df: DataFrame, label="label", prediction="prediction", model: str | None = None,
                            pos_label: str | None = None) -> DataFrame:
     """``model, accuracy, precision, recall, f1, average``: binary for the positive label
-    (default: the largest label) when the true labels have at most two values, else
-    macro averages over the union of labels."""
+    (default: the largest label, in the label's own type) when the true labels have at most
+    two values, else macro averages over the union of labels."""
     pc = per_class(df, label, prediction, model)
     m = _mcol(model)
-    labels = pc.where(F.col("n_true") > 0).groupBy(m).agg(
-        F.count(F.lit(1)).alias("n_labels"), F.max("class").alias("largest"))
-    pos = F.lit(pos_label) if pos_label is not None else F.col("largest")
-    j = pc.join(labels, m)
-    agg = j.groupBy(m).agg(
-        (F.sum("tp") / F.sum("n_true")).alias("accuracy"),
-        F.first("n_labels").alias("n_labels"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.max(F.when(F.col("class") == pos, F.col("precision"))).alias("bp"),
-        F.max(F.when(F.col("class") == pos, F.col("recall"))).alias("br"),
-        F.max(F.when(F.col("class") == pos, F.col("f1"))).alias("bf"),
-    )
+    true = F.col("n_true") > 0
+    if pos_label is None:
+        at = F.when(true, label_order(df, label, F.col("class")))
+        binary = [F.max_by(c, at).alias(f"b_{c}") for c in ("precision", "recall", "f1")]
+    else:
+        binary = [F.max(F.when(F.col("class") == F.lit(str(pos_label)), F.col(c))).alias(f"b_{c}") for c in ("precision", "recall", "f1")]
+    agg = pc.groupBy(m).agg(
+        (F.sum("tp") / F.sum("n_true")).alias("accuracy"), F.count_if(true).alias("n_labels"),
+        *[F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")], *binary)
     multi = F.col("n_labels") > 2
     return agg.select(
         m, "accuracy",
-        F.when(multi, F.col("mp")).otherwise(F.coalesce("bp", F.lit(0.0))).alias("precision"),
-        F.when(multi, F.col("mr")).otherwise(F.coalesce("br", F.lit(0.0))).alias("recall"),
-        F.when(multi, F.col("mf")).otherwise(F.coalesce("bf", F.lit(0.0))).alias("f1"),
+        *[F.when(multi, F.col(f"m_{c}")).otherwise(F.coalesce(f"b_{c}", F.lit(0.0))).alias(c) for c in ("precision", "recall", "f1")],
         F.when(multi, F.lit("macro")).otherwise(F.lit("binary")).alias("average"),
     )
 
 
-def scores_from_counts(counts: dict, pos_label: str | None = None) -> dict:
-    """Accuracy, precision, recall, f1 from ``{(label, prediction): n}`` (binary for the
-    positive label when the true labels have at most two values, else macro)."""
-    classes = sorted({a for a, _ in counts} | {b for _, b in counts})
-    tp = {c: counts.get((c, c), 0) for c in classes}
-    n_pred = {c: sum(n for (_, b), n in counts.items() if b == c) for c in classes}
-    n_true = {c: sum(n for (a, _), n in counts.items() if a == c) for c in classes}
-    total = sum(counts.values())
-
-    def prf(c):
-        p = tp[c] / n_pred[c] if n_pred[c] else 0.0
-        r = tp[c] / n_true[c] if n_true[c] else 0.0
-        return p, r, (2 * p * r / (p + r) if p + r else 0.0)
-
-    labels = [c for c in classes if n_true[c] > 0]
-    out = {"accuracy": sum(tp.values()) / total if total else 0.0}
-    if len(labels) > 2:
-        vals = [prf(c) for c in classes]
-        out.update(precision=sum(v[0] for v in vals) / len(vals), recall=sum(v[1] for v in vals) / len(vals),
-                   f1=sum(v[2] for v in vals) / len(vals))
-    else:
-        pos = pos_label if pos_label is not None else (max(labels) if labels else None)
-        p, r, f = prf(pos) if pos in tp else (0.0, 0.0, 0.0)
-        out.update(precision=p, recall=r, f1=f)
-    return out
-
-
 def classification_scores(df: DataFrame, label="label", prediction="prediction", pos_label=None) -> dict:
-    """:func:`classification_metrics` for one model as a dict, in a single counting job:
-    only the ``(label, prediction)`` count table (classes squared rows) reaches the driver."""
-    rows = pair_counts(df, label, prediction).limit(MAX_CLASSES * MAX_CLASSES).collect()
-    return scores_from_counts({(r["label"], r["prediction"]): r["n"] for r in rows}, pos_label)
+    """:func:`classification_metrics` for one model as a dict; one row reaches the driver."""
+    row = classification_metrics(df, label, prediction, pos_label=pos_label).first()
+    return {k: float(row[k]) for k in ("accuracy", "precision", "recall", "f1")} if row else dict.fromkeys(("accuracy", "precision", "recall", "f1"), 0.0)
 
 
 def class_report(df: DataFrame, label="label", prediction="prediction", model: str | None = None) -> DataFrame:
@@ -188,10 +157,31 @@ def class_report(df: DataFrame, label="label", prediction="prediction", model: s
     return rows.unionByName(acc).unionByName(mac).unionByName(wei)
 
 
-def _score_cuts(scores: DataFrame) -> list[float]:
-    cuts = approx_quantiles(scores, ["score"], [j / _PREFIX_BUCKETS for j in range(1, _PREFIX_BUCKETS)])["score"]
-    cuts = sorted({c for c in cuts if c is not None})
-    return [float("-inf")] + cuts + [float("inf")]
+def _bucketed(by_score: DataFrame) -> DataFrame:
+    """``by_score`` (written once) with a bucket: each group's scores are cut at its own
+    sketch quantiles into as many buckets as its rows need, ascending in score."""
+    by_score = cut_lineage(by_score)
+    sizes = by_score.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    most = sizes.agg(F.max("rows")).first()[0] or 0
+    n = min(MAX_BUCKETS, math.ceil(most / BUCKET_ROWS))
+    if n < 2:
+        return by_score.withColumn("bucket", F.lit(0))
+    cuts = by_score.groupBy("g").agg(F.percentile_approx("score", [j / n for j in range(1, n)], 20 * n).alias("cuts"))
+    joined = by_score.join(cuts, by_score["g"].eqNullSafe(cuts["g"]), "left").drop(cuts["g"])
+    at = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("score")))
+    return joined.withColumn("bucket", F.coalesce(at, F.lit(0))).drop("cuts")
+
+
+def _prefix(by_score: DataFrame, sums: dict[str, str], upto: int) -> DataFrame:
+    """Running sums within each group in score order, up to the row before (-1) or the row
+    itself (0): bucket offsets plus windows inside (group, bucket)."""
+    rows = _bucketed(by_score)
+    totals = rows.groupBy("g", "bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("g").alias("_g"), F.col("bucket").alias("_b"), *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy("g", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, upto)
+    joined = rows.join(offsets, rows["g"].eqNullSafe(offsets["_g"]) & (rows["bucket"] == offsets["_b"]))
+    return joined.select(*by_score.columns, *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(out) for c, out in sums.items()])
 
 
 def auc_by_group(df: DataFrame, group: Column, positive: Column, score: Column) -> DataFrame:
@@ -199,20 +189,12 @@ def auc_by_group(df: DataFrame, group: Column, positive: Column, score: Column)
 
     Rows are first grouped by ``(g, score)`` into positive and negative counts, so a
     score shared by a third of the rows is one row. Negatives below each score are a
-    prefix sum: the score axis is cut into ~1000 buckets at sketch quantiles
-    (``Bucketizer``), bucket totals give each bucket's offset (a small table), and the
-    sum inside a bucket is a window partitioned by ``(g, bucket)``.
+    prefix sum over buckets of the group's own score quantiles; their number follows the
+    largest group, so a window task holds about ``BUCKET_ROWS`` rows.
     """
     by_score = df.groupBy(group.alias("g"), score.cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    splits = _score_cuts(by_score)
-    bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(by_score)
-    totals = bucketed.groupBy("g", "bucket").agg(F.sum("neg").alias("bneg"))
-    w_off = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("g", "bucket", F.coalesce(F.sum("bneg").over(w_off), F.lit(0)).alias("offset"))
-    w_in = Window.partitionBy("g", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (bucketed.join(offsets, ["g", "bucket"])
-              .withColumn("below", F.col("offset") + F.coalesce(F.sum("neg").over(w_in), F.lit(0))))
+    ranked = _prefix(by_score, {"neg": "below"}, -1)
     return ranked.groupBy("g").agg(
         (F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
          / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"),
@@ -220,34 +202,22 @@ def auc_by_group(df: DataFrame, group: Column, positive: Column, score: Column)
     ).select("g", F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("auc")).alias("auc"))
 
 
+def _positive(df: DataFrame, label: str, pos_label) -> str | None:
+    """The positive label as text; default: the largest in the label's own type."""
+    return str(pos_label) if pos_label is not None else df.agg(F.max(label).cast("string")).first()[0]
+
+
 def roc_curve(df: DataFrame, label="label", score="score", pos_label=None) -> DataFrame:
     """ROC curve points ``threshold, fpr, tpr`` (one per distinct score, highest first),
     from the same per-score counts as :func:`roc_auc`; cumulative counts from the top are
-    prefix sums over sketch buckets, never a global window."""
-    lab = F.col(label).cast("string")
-    if pos_label is None:
-        pos_label = df.agg(F.max(lab)).first()[0]
-    pos = lab == F.lit(str(pos_label))
-    by_score = df.groupBy((-F.col(score).cast("double")).alias("score")).agg(
+    prefix sums over buckets, never a global window."""
+    pos = F.col(label).cast("string") == F.lit(_positive(df, label, pos_label))
+    by_score = df.groupBy(F.lit(0).alias("g"), (-F.col(score).cast("double")).alias("score")).agg(
         F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
-    splits = _score_cuts(by_score)
-    bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(by_score)
-    totals = {r["bucket"]: (r["p"], r["n"]) for r in bucketed.groupBy("bucket").agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()}
-    P = sum(v[0] for v in totals.values())
-    N = sum(v[1] for v in totals.values())
-    offs, acc_p, acc_n = [], 0, 0
-    for b in sorted(totals):
-        offs.append((float(b), acc_p, acc_n))
-        acc_p += totals[b][0]
-        acc_n += totals[b][1]
-    off = df.sparkSession.createDataFrame(offs, "bucket double, op long, on long")
-    w = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (bucketed.join(F.broadcast(off), "bucket")
-           .select((-F.col("score")).alias("threshold"),
-                   (F.col("on") + F.sum("neg").over(w)).alias("fp"), (F.col("op") + F.sum("pos").over(w)).alias("tp")))
-    return cum.select("threshold", (F.col("fp") / F.lit(float(N) if N else float("nan"))).alias("fpr"),
-                      (F.col("tp") / F.lit(float(P) if P else float("nan"))).alias("tpr"))
+    cum = _prefix(by_score, {"neg": "fp", "pos": "tp"}, 0)
+    total = df.agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n")).first()
+    return cum.select((-F.col("score")).alias("threshold"), (F.col("fp") / F.lit(float(total["n"]) or float("nan"))).alias("fpr"),
+                      (F.col("tp") / F.lit(float(total["p"]) or float("nan"))).alias("tpr"))
 
 
 def roc_auc(df: DataFrame, label="label", score="score", model: str | None = None, pos_label=None) -> DataFrame:
@@ -255,20 +225,24 @@ def roc_auc(df: DataFrame, label="label", score="score", model: str | None = Non
     largest label. Undefined (one class only) gives 0.0 as the reference does."""
     m = _mcol(model)
     lab = F.col(label).cast("string")
-    if pos_label is None:
-        pos_label = df.agg(F.max(lab)).first()[0]
     res = auc_by_group(df.select(*_mid(model), lab.alias("_l"), F.col(score).alias("_s")), F.col(m),
-                       F.col("_l") == F.lit(str(pos_label)), F.col("_s"))
+                       F.col("_l") == F.lit(_positive(df, label, pos_label)), F.col("_s"))
     return res.select(F.col("g").alias(m), F.coalesce("auc", F.lit(0.0)).alias("roc_auc"))
 
 
+def class_values(df: DataFrame, label: str) -> list[str]:
+    """The labels as text, in the order of their own type (missing ones left out)."""
+    rows = df.select(F.col(label).alias("c")).where(F.col("c").isNotNull()).distinct().select("c", F.col("c").cast("string").alias("t")).collect()
+    return [r["t"] for r in sorted(rows, key=lambda r: r["c"])]
+
+
 def roc_auc_ovr(df: DataFrame, label="label", probs="probabilities", classes: list | None = None,
                 model: str | None = None) -> DataFrame:
     """Macro one-vs-rest AUC: ``probs`` is an array column of class probabilities in the
     order of ``classes`` (sorted labels). ``model, roc_auc``."""
     m = _mcol(model)
     if classes is None:
-        classes = sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct().collect())
+        classes = [str(c) for c in class_values(df, label)]  # one per probability column
     cls = F.array(*[F.lit(str(c)) for c in classes])
     long = df.select(*_mid(model), F.col(label).cast("string").alias("_l"),
                      F.posexplode(F.arrays_zip(cls.alias("c"), F.col(probs).alias("p"))).alias("i", "z"))
