@@ -1,18 +1,15 @@
-"""Exact k nearest neighbours without a cross join.
-
-When the training side's feature bytes stay under ``BLOCK_BYTES`` (checked first) it is
-broadcast once and the query table is streamed through ``mapInPandas``: every Arrow batch
-of queries computes its Euclidean distances with numpy and keeps only its k best
-partners, so no pair table is ever materialised. A larger training side never goes
-through the driver: training rows and query rows are both cut into blocks of at most
-``BLOCK_BYTES``, every (query block, training block) pair meets in one
-``cogroup(...).applyInPandas`` task that keeps k candidates per query, and the
-candidates (k per query and training block) are merged by a window partitioned by query.
-Ranking is by distance rounded to 9 decimals, then by training row id; the vote takes the
-most frequent label (ties: the smaller label) or the mean for regression.
+"""Exact k nearest neighbours without a cross join, one path for all sizes.
+
+Query rows get a row number of their own (fixed by a checkpoint) and, like the training rows,
+are cut into blocks of at most ``BLOCK_BYTES`` of features; every (query block, training block)
+pair meets in one ``cogroup(...).applyInArrow`` task that keeps k candidates per query, and the
+candidates are merged by a window partitioned by query. Neither side goes through the driver.
+Ranking is by distance rounded to 9 decimals, then by training row id; the vote takes the most
+frequent label (ties: the smaller label, in the label's own type) or the mean for regression;
+vote shares are the class probabilities.
 
 The cost is the exact method's O(queries x training rows) distance work, spread over all
-tasks; nothing is capped or sampled.
+tasks, and each row is sent once per block of the other side; nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -20,159 +17,107 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 256 << 20  # bytes of one broadcast or one cogrouped block
-_ROW_EXTRA = 64  # per-row bytes besides the features (id, label, object overhead)
-_Q_CHUNK = 64
-_T_CHUNK = 4096
-
+from ..session import cut_lineage
+from .evaluate import class_values
 
-def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
-    if len(features) == 1 and pdf[features[0]].dtype == object:  # an array column
-        return np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features[0]]]) if len(pdf) else np.zeros((0, 0))
-    return pdf[features].to_numpy(dtype=np.float64)
+BLOCK_BYTES = 16 << 20  # feature bytes of one block
+_CHUNK_CELLS = 4_000_000  # distances that a task computes at a time
 
 
-def _topk(q: np.ndarray, t: np.ndarray, k: int, tids: np.ndarray):
-    """Indices and distances of the k nearest training rows for each query row."""
-    n_q = q.shape[0]
-    out_i = np.zeros((n_q, 0), dtype=np.int64)
-    out_d = np.zeros((n_q, 0))
-    for s in range(0, t.shape[0], _T_CHUNK):
-        tc = t[s:s + _T_CHUNK]
-        d = np.sqrt(((q[:, None, :] - tc[None, :, :]) ** 2).sum(-1))
-        d = np.round(d, 9)
-        cand_i = np.concatenate([out_i, np.broadcast_to(np.arange(s, s + tc.shape[0]), d.shape)], axis=1)
-        cand_d = np.concatenate([out_d, d], axis=1)
-        order = np.lexsort((tids[cand_i], cand_d), axis=1)[:, :k]
-        out_i = np.take_along_axis(cand_i, order, 1)
-        out_d = np.take_along_axis(cand_d, order, 1)
-    return out_i, out_d
+def _topk(q: np.ndarray, t: np.ndarray, k: int):
+    """Row indices and distances of the k nearest training rows for each query row (training
+    rows are in id order, so the smaller index wins ties)."""
+    step = max(1, _CHUNK_CELLS // max(1, t.shape[0]))
+    out_i, out_d = [], []
+    for s in range(0, q.shape[0], step):
+        part = q[s:s + step]
+        d = np.zeros((part.shape[0], t.shape[0]))
+        for j in range(t.shape[1]):  # one column at a time: no (queries x rows x columns) array
+            d += (part[:, j, None] - t[None, :, j]) ** 2
+        d = np.round(np.sqrt(d), 9)
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out_i.append(order)
+        out_d.append(np.take_along_axis(d, order, 1))
+    return np.concatenate(out_i), np.concatenate(out_d)
 
 
 class KNNModel:
-    def __init__(self, train: DataFrame, features, target, problem_type, k, id_col):
+    def __init__(self, train: DataFrame, features, target, problem_type, k, id_col, classes=None):
         self.train, self.features, self.target = train, features, target
-        self.problem_type, self.k, self.id_col = problem_type, k, id_col
+        self.problem_type, self.k, self.id_col, self.classes = problem_type, k, id_col, classes
 
     @classmethod
     def fit(cls, train: DataFrame, features: list[str], target: str, problem_type: str, k: int = 5,
             id_col: str | None = None):
         if k < 1:
             raise ValueError("k must be at least 1")
-        return cls(train, features, target, problem_type, k, id_col)
-
-    def _blocks(self):
-        tr = self.train
-        idc = self.id_col
-        if idc is None:
-            tr = tr.withColumn("_tid", F.xxhash64(*[F.col(c) for c in tr.columns]))
-            idc = "_tid"
-        n = tr.count()
-        dim = len(self.features)
-        if dim == 1 and isinstance(tr.schema[self.features[0]].dataType, T.ArrayType):
-            dim = len(tr.select(self.features[0]).first()[0])
-        n_blocks = max(1, math.ceil(n * (dim * 8 + _ROW_EXTRA) / BLOCK_BYTES))
-        return tr, idc, n_blocks, n
-
-    def transform(self, df: DataFrame, key: str | None = None) -> DataFrame:
-        tr, idc, n_blocks, n = self._blocks()
-        k = min(self.k, n)
-        spark = df.sparkSession
-        cls = self.problem_type == "classification"
-        ltype = T.StringType() if cls else T.DoubleType()
-        feats, target = self.features, self.target
-        if n_blocks == 1:
-            pdf = tr.select(*feats, F.col(target).cast(ltype.simpleString()).alias("_y"), F.col(idc).alias("_id")).toPandas()
-            bc = spark.sparkContext.broadcast((_matrix(pdf, feats), pdf["_y"].to_numpy(), pdf["_id"].to_numpy()))
-            return self._score_block(df, bc, k, None, ltype)
-        if key is None:
-            raise ValueError("a training table larger than one broadcast block needs a query key")
-        allc = self._blocked(df, tr, idc, n_blocks, k, key, ltype)
-        w = Window.partitionBy("_q").orderBy("_d", "_id")
-        best = allc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-        if cls:
-            votes = best.groupBy("_q", "_y").count()
-            pred = votes.groupBy("_q").agg(F.min_by("_y", F.struct((-F.col("count")).alias("c"), "_y")).alias("prediction"))
-        else:
-            pred = best.groupBy("_q").agg(F.avg("_y").alias("prediction"))
-        return df.join(pred.withColumnRenamed("_q", key), key)
-
-    def _blocked(self, df, tr, idc, t_blocks, k, key, ltype):
-        """Candidates ``(_q, _id, _d, _y)``: k per query and training block, computed by one
-        task per (query block, training block) pair; neither side is collected."""
-        feats, target = self.features, self.target
-        n_q = df.count()
-        dim = max(1, math.ceil(len(self.features)))
-        if len(feats) == 1 and isinstance(df.schema[feats[0]].dataType, T.ArrayType):
-            dim = len(df.select(feats[0]).first()[0])
-        q_blocks = max(1, math.ceil(n_q * (dim * 8 + _ROW_EXTRA) / BLOCK_BYTES))
-        train = tr.select(*feats, F.col(target).cast(ltype.simpleString()).alias("_y"), F.col(idc).cast("long").alias("_id"),
-                          F.pmod(F.xxhash64(idc), F.lit(t_blocks)).alias("_tb"),
-                          F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_qb"))
-        query = df.select(F.col(key).alias("_q"), *feats, F.pmod(F.xxhash64(key), F.lit(q_blocks)).alias("_qb"),
-                          F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("_tb"))
-        schema = T.StructType([T.StructField("_q", df.schema[key].dataType), T.StructField("_id", T.LongType()),
-                               T.StructField("_d", T.DoubleType()), T.StructField("_y", ltype)])
-
-        def pair(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
-            if len(qpdf) == 0 or len(tpdf) == 0:  # a block pair with one empty side: typed empty result
-                return pd.DataFrame({"_q": qpdf["_q"].iloc[:0] if "_q" in qpdf else pd.Series([], dtype="int64"),
-                                     "_id": pd.Series([], dtype="int64"), "_d": pd.Series([], dtype="float64"),
-                                     "_y": pd.Series([], dtype="float64" if ltype == T.DoubleType() else "object")})
-            tm, ty, tid = _matrix(tpdf, feats), tpdf["_y"].to_numpy(), tpdf["_id"].to_numpy()
-            q = _matrix(qpdf, feats)
-            kk = min(k, len(tpdf))
-            parts = []
-            for s0 in range(0, len(qpdf), _Q_CHUNK):
-                i, d = _topk(q[s0:s0 + _Q_CHUNK], tm, kk, tid)
-                parts.append(pd.DataFrame({"_q": np.repeat(qpdf["_q"].to_numpy()[s0:s0 + _Q_CHUNK], kk),
-                                           "_id": tid[i].ravel().astype("int64"), "_d": d.ravel(), "_y": ty[i].ravel()}))
-            return pd.concat(parts)
-
-        return query.groupBy("_qb", "_tb").cogroup(train.groupBy("_qb", "_tb")).applyInPandas(pair, schema)
-
-    def _score_block(self, df, bc, k, key, ltype):
-        feats = self.features
-        cls = self.problem_type == "classification"
-        if key is None:
-            schema = T.StructType(df.schema.fields + [T.StructField("prediction", ltype)])
-        else:
-            schema = T.StructType([T.StructField("_q", df.schema[key].dataType), T.StructField("_id", T.LongType()),
-                                   T.StructField("_d", T.DoubleType()), T.StructField("_y", ltype)])
-
-        def run(batches):
-            tm, ty, tid = bc.value
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                q = _matrix(pdf, feats)
-                idx_all, d_all = [], []
-                for s in range(0, len(pdf), _Q_CHUNK):
-                    i, d = _topk(q[s:s + _Q_CHUNK], tm, k, tid)
-                    idx_all.append(i)
-                    d_all.append(d)
-                idx = np.concatenate(idx_all)
-                dist = np.concatenate(d_all)
-                if key is not None:
-                    yield pd.DataFrame({"_q": np.repeat(pdf[key].to_numpy(), idx.shape[1]), "_id": tid[idx].ravel().astype("int64"),
-                                        "_d": dist.ravel(), "_y": ty[idx].ravel()})
-                    continue
-                labels = ty[idx]
-                if cls:
-                    preds = []
-                    for row in labels:
-                        vals, counts = np.unique(row.astype(str), return_counts=True)
-                        preds.append(vals[np.argmax(counts)])  # unique sorts: ties go to the smaller label
-                    out = pdf.copy()
-                    out["prediction"] = preds
-                else:
-                    out = pdf.copy()
-                    out["prediction"] = labels.astype(float).mean(axis=1)
-                yield out
-
-        return df.mapInPandas(run, schema)
+        classes = class_values(train, target) if problem_type == "classification" else None
+        return cls(train, features, target, problem_type, k, id_col, classes)
+
+    def _vector(self, df: DataFrame):
+        if len(self.features) == 1 and isinstance(df.schema[self.features[0]].dataType, T.ArrayType):
+            return F.col(self.features[0]).cast("array<double>")
+        return F.array(*[F.col(f).cast("double") for f in self.features])
+
+    def neighbours(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_near``: the k nearest training rows' labels, the nearest first."""
+        query = cut_lineage(df.withColumn("_q", F.monotonically_increasing_id()))
+        train = self.train
+        tid = F.col(self.id_col) if self.id_col else F.xxhash64(*[F.col(c) for c in train.columns])
+        kind = T.StringType() if self.problem_type == "classification" else T.DoubleType()
+        rows = train.select(tid.alias("_id"), self._vector(train).alias("_x"), F.col(self.target).cast(kind).alias("_y"))
+        asked = query.select("_q", self._vector(query).alias("_x"))
+
+        def blocks(side: DataFrame) -> int:
+            size = side.agg((F.count(F.lit(1)) * (F.max(F.size("_x")) * 8 + 64)).alias("b")).first()["b"] or 0
+            return max(1, math.ceil(size / BLOCK_BYTES))
+
+        parts, cuts = blocks(rows), blocks(asked)
+        cuts = max(cuts, df.sparkSession.sparkContext.defaultParallelism // parts)  # only spreads the work
+        left = asked.select("*", F.pmod(F.xxhash64("_q"), F.lit(cuts)).cast("int").alias("_qb"),
+                            F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_tb"))
+        right = rows.select("*", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int").alias("_tb"),
+                            F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("_qb"))
+        schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_id", right.schema["_id"].dataType),
+                               T.StructField("_d", T.DoubleType()), T.StructField("_y", kind)])
+        k = self.k
+
+        def matrix(table: pa.Table) -> np.ndarray:
+            return table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+        def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"_q": pa.array([], pa.int64()), "_id": b.column("_id").slice(0, 0), "_d": pa.array([], pa.float64()), "_y": b.column("_y").slice(0, 0)})
+            b = b.sort_by("_id")
+            i, d = _topk(matrix(a), matrix(b), min(k, b.num_rows))
+            at = pa.array(i.ravel())
+            return pa.table({"_q": a.column("_q").take(pa.array(np.repeat(np.arange(a.num_rows), i.shape[1]))), "_id": b.column("_id").take(at),
+                             "_d": d.ravel(), "_y": b.column("_y").take(at)})
+
+        near = left.groupBy("_qb", "_tb").cogroup(right.groupBy("_qb", "_tb")).applyInArrow(pair, schema)
+        nth = F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_id"))
+        best = near.withColumn("_n", nth).where(F.col("_n") <= k)
+        lists = best.groupBy("_q").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_y"))), lambda s: s["_y"]).alias("_near"))
+        return query.join(lists, "_q").drop("_q")
+
+    def vote(self, found: DataFrame, k: int | None = None) -> DataFrame:
+        """Predictions from :meth:`neighbours`, by the nearest ``k`` of them."""
+        near = F.slice("_near", 1, k or self.k)
+        rest = [c for c in found.columns if c != "_near"]
+        if self.problem_type != "classification":
+            mean = F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / F.size(near)
+            return found.select(*rest, mean.alias("prediction"))
+        classes = F.array(*[F.lit(c) for c in self.classes])
+        votes = F.transform(classes, lambda c: F.size(F.filter(near, lambda x: x == c)))
+        shares = F.transform(votes, lambda n: n / F.size(near))
+        return found.select(*rest, F.get(classes, F.array_position(votes, F.array_max(votes)).cast("int") - 1).alias("prediction"),
+                            shares.alias("probabilities"), F.element_at(shares, -1).alias("score"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``prediction`` and, for classes, ``probabilities`` and ``score``."""
+        return self.vote(self.neighbours(df))

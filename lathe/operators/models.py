@@ -1,9 +1,10 @@
 """Model families on MLlib, with the reference's (scikit-learn) parameters mapped over.
 
-A candidate is fitted as a ``pyspark.ml.Pipeline``: label indexing (classification,
-alphabetical so class order is the sorted labels), ``VectorAssembler`` over the feature
-columns, the estimator, and a converter back to the label text. Fitting runs MLlib's
-distributed optimisers; nothing but coefficients or trees reaches the driver.
+A fitted model is a ``pyspark.ml.PipelineModel``: label indexing (classification; the labels
+of the whole training part in the order of their own type, so a class that a fold lacks keeps
+its index), ``VectorAssembler`` over the feature columns, the model, and a converter back to
+the label text. Fitting runs MLlib's distributed optimisers; nothing but coefficients, trees
+and the list of classes reaches the driver.
 
 Parameter mapping (the objective functions are the same up to scaling):
 
@@ -21,9 +22,10 @@ Parameter mapping (the objective functions are the same up to scaling):
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -32,12 +34,14 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .evaluate import class_values
+
 CLASSIFICATION_FAMILIES = ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "knn", "svm")
 REGRESSION_FAMILIES = ("linear_regression", "ridge", "lasso", "decision_tree", "random_forest", "gradient_boosting", "knn")
 SEED = 42
@@ -91,13 +95,14 @@ def label_stats(df: DataFrame, target: str, problem_type: str = "regression") ->
 
 
 def make_estimator(family: str, problem_type: str, params: dict, n: int, y_std: float = 1.0, n_classes: int = 2):
-    """The MLlib estimator for a family, reading features ``features`` and label ``label``."""
+    """The MLlib estimator for a family, reading features ``_features`` and label ``_label``."""
     p = dict(params)
-    p.pop("random_state", None)
-    common = {"featuresCol": "features", "labelCol": "label"}
+    seed = p.pop("random_state", None)
+    seed = SEED if seed is None else int(seed)
+    common = {"featuresCol": "_features", "labelCol": "_label"}
     cls = problem_type == "classification"
     if family == "linear_regression":
-        return LinearRegression(regParam=0.0, solver="normal", **common)
+        return LinearRegression(regParam=0.0, solver="auto", **common)
     if family == "ridge":
         alpha = float(p.get("alpha", 1.0))
         return LinearRegression(regParam=alpha * y_std / max(n, 1), elasticNetParam=0.0, standardization=False,
@@ -113,15 +118,15 @@ def make_estimator(family: str, problem_type: str, params: dict, n: int, y_std:
                                   **common)
     if family == "decision_tree":
         kw = {"maxDepth": _depth(p.get("max_depth")), "minInstancesPerNode": _min_node(p),
-              "seed": SEED, **_TREE_SPEED, **common}
+              "seed": seed, **_TREE_SPEED, **common}
         return DecisionTreeClassifier(**kw) if cls else DecisionTreeRegressor(**kw)
     if family == "random_forest":
         kw = {"numTrees": int(p.get("n_estimators", 100)), "maxDepth": _depth(p.get("max_depth")),
-              "minInstancesPerNode": _min_node(p), "seed": SEED, **_TREE_SPEED, **common}
+              "minInstancesPerNode": _min_node(p), "seed": seed, **_TREE_SPEED, **common}
         return RandomForestClassifier(**kw) if cls else RandomForestRegressor(**kw)
     if family == "gradient_boosting":
         kw = {"maxIter": int(p.get("n_estimators", 100)), "stepSize": float(p.get("learning_rate", 0.1)),
-              "maxDepth": _depth(p.get("max_depth", 3)), "seed": SEED}
+              "maxDepth": _depth(p.get("max_depth", 3)), "seed": seed}
         if not cls:
             return GBTRegressor(**kw, **common)
         if n_classes > 2:
@@ -129,9 +134,8 @@ def make_estimator(family: str, problem_type: str, params: dict, n: int, y_std:
         return GBTClassifier(**kw, **common)
     if family == "svm":
         c = float(p.get("C", 1.0))
-        svc = LinearSVC(regParam=1.0 / (c * max(n, 1)), maxIter=1000, tol=1e-9)
-        return OneVsRest(classifier=svc, parallelism=min(n_classes, 8), **common) if n_classes > 2 else LinearSVC(
-            regParam=1.0 / (c * max(n, 1)), maxIter=1000, tol=1e-9, **common)
+        kw = {"regParam": 1.0 / (c * max(n, 1)), "maxIter": int(p.get("max_iter", 100)), "tol": float(p.get("tol", 1e-6))}
+        return OneVsRest(classifier=LinearSVC(**kw), parallelism=min(n_classes, 8), **common) if n_classes > 2 else LinearSVC(**kw, **common)
     raise ModelError(f"unsupported model family {family!r}")
 
 
@@ -147,51 +151,78 @@ class FittedModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Predictions: the input columns plus ``prediction`` (label text for
-        classification, double for regression) and, where the model has them,
-        ``probabilities`` (array in sorted class order) and ``score`` (positive class)."""
+        classification, double for regression), for classification ``probabilities`` (array
+        in class order; one-vs-rest models' raw scores through a logistic, summing to one)
+        and ``score`` (of the last class, the positive one of two)."""
         if self.knn is not None:
             return self.knn.transform(df)
-        out = self.pipeline.transform(df)
+        clash = [c for c in ("rawPrediction", "probability", "prediction") if c in df.columns]
+        out = self.pipeline.transform(df.drop(*clash) if clash else df)
         if self.problem_type == "classification":
-            cols = [c for c in df.columns] + [F.col("pred_label").alias("prediction")]
-            if "probability" in out.columns:
-                probs = vector_to_array("probability")
-                cols += [probs.alias("probabilities"), F.element_at(probs, -1).alias("score")]
-            return out.select(*cols)
-        return out.select(*df.columns, F.col("prediction").cast("double").alias("prediction"))
+            return out.select(*[c for c in df.columns if c not in clash], F.col("pred_label").alias("prediction"), *class_scores(out))
+        return out.select(*[c for c in df.columns if c not in clash], F.col("prediction").cast("double").alias("prediction"))
 
     @property
     def estimator_model(self):
         return None if self.pipeline is None else self.pipeline.stages[-2 if self.problem_type == "classification" else -1]
 
     def save(self, path: str) -> None:
-        if self.pipeline is None:
-            raise ModelError("nearest-neighbour models keep their training table; save that table instead")
-        self.pipeline.write().overwrite().save(path)
+        """Write the model with all that :func:`load_model` needs; for nearest neighbours
+        that is the training table and the settings."""
+        head = {"family": self.family, "problem_type": self.problem_type, "features": self.features, "target": self.target, "classes": self.classes}
+        if self.knn is not None:
+            head["k"], spark = self.knn.k, self.knn.train.sparkSession
+            self.knn.train.write.mode("overwrite").parquet(f"{path}/train")
+        else:
+            spark = SparkSession.getActiveSession()
+            self.pipeline.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(json.dumps(head),)], "head string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
 
-def build_pipeline(family, problem_type, features, target, params, n, y_std, n_classes) -> Pipeline:
-    stages = []
-    if problem_type == "classification":
-        stages.append(StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error"))
-    else:
-        stages.append(_LabelCopy(target))
-    stages.append(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"))
-    stages.append(make_estimator(family, problem_type, params, n, y_std, n_classes))
-    return Pipeline(stages=stages)
+def class_scores(out: DataFrame) -> list:
+    """``probabilities`` and ``score`` columns from MLlib's prediction columns."""
+    if "probability" in out.columns:
+        probs = vector_to_array("probability")
+        return [probs.alias("probabilities"), F.element_at(probs, -1).alias("score")]
+    raw = vector_to_array("rawPrediction")
+    squashed = F.transform(raw, lambda x: 1 / (1 + F.exp(-2 * x)))
+    total = F.aggregate(squashed, F.lit(0.0), lambda a, x: a + x)
+    return [F.transform(squashed, lambda x: x / total).alias("probabilities"), F.element_at(raw, -1).alias("score")]
+
+
+def label_indexer(classes: list[str], target: str):
+    """Index the target (as text) by its place in ``classes``; other labels are an error."""
+    from pyspark.ml.feature import StringIndexerModel
+
+    return StringIndexerModel.from_labels(classes, inputCol=target, outputCol="_label", handleInvalid="error")
+
+
+def preparation(problem_type: str, features: list[str], target: str, classes: list[str] | None) -> list:
+    """The fitted stages before the estimator: ``_label`` and ``_features`` columns."""
+    first = label_indexer(classes, target) if problem_type == "classification" else _LabelCopy(target)
+    return [first, VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="error")]
 
 
 def _LabelCopy(target):
     from pyspark.ml.feature import SQLTransformer
 
-    return SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS label FROM __THIS__")
+    return SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS _label FROM __THIS__")
+
+
+def class_labels(df: DataFrame, target: str) -> list[str]:
+    """The classes as text in the order of their own type (a model has a score for each, so
+    the list is as bounded as the model)."""
+    return class_values(df, target)
 
 
-def class_labels(df: DataFrame, target: str, limit: int = 10_000) -> list:
-    rows = df.select(F.col(target).cast("string")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ModelError("too many classes")
-    return sorted(r[0] for r in rows if r[0] is not None)
+def assembled(train: DataFrame, stages: list) -> DataFrame:
+    return PipelineModel(stages).transform(train)
+
+
+def fitted(family, problem_type, features, target, stages, model, classes) -> FittedModel:
+    """A fitted estimator with its preparation, as one pipeline model."""
+    last = [IndexToString(inputCol="prediction", outputCol="pred_label", labels=classes)] if problem_type == "classification" else []
+    return FittedModel(family, problem_type, features, target, PipelineModel([*stages, model, *last]), classes=classes)
 
 
 def fit_model(train: DataFrame, features: list[str], target: str, family: str, problem_type: str,
@@ -200,29 +231,35 @@ def fit_model(train: DataFrame, features: list[str], target: str, family: str, p
     if family == "knn":
         from .knn import KNNModel
 
-        return FittedModel(family, problem_type, features, target,
-                           knn=KNNModel.fit(train, features, target, problem_type, int(params.get("n_neighbors", 5))))
+        knn = KNNModel.fit(train, features, target, problem_type, int(params.get("n_neighbors", 5)))
+        return FittedModel(family, problem_type, features, target, knn=knn, classes=knn.classes)
     classes = class_labels(train, target) if problem_type == "classification" else None
     n, y_std = label_stats(train, target, problem_type)
-    pipe = build_pipeline(family, problem_type, features, target, params, n, y_std, len(classes or []))
-    model = pipe.fit(train)
-    if problem_type == "classification":
-        labels = model.stages[0].labels
-        model = PipelineModel(model.stages + [IndexToString(inputCol="prediction", outputCol="pred_label", labels=labels)])
-    return FittedModel(family, problem_type, features, target, pipeline=model, classes=classes)
+    stages = preparation(problem_type, features, target, classes)
+    estimator = make_estimator(family, problem_type, params, n, y_std, len(classes or []))
+    return fitted(family, problem_type, features, target, stages, estimator.fit(assembled(train, stages)), classes)
+
 
+def load_model(spark: SparkSession, path: str) -> FittedModel:
+    """A model written by :meth:`FittedModel.save`."""
+    head = json.loads(spark.read.text(f"{path}/head").first()[0])
+    k = head.pop("k", None)
+    if k is None:
+        return FittedModel(**head, pipeline=PipelineModel.load(f"{path}/model"))
+    from .knn import KNNModel
 
-def load_model(path: str, family: str, problem_type: str, features: list[str], target: str) -> FittedModel:
-    return FittedModel(family, problem_type, features, target, pipeline=PipelineModel.load(path))
+    train = spark.read.parquet(f"{path}/train")
+    return FittedModel(**head, knn=KNNModel(train, head["features"], head["target"], head["problem_type"], k, None, head["classes"]))
 
 
 def importances(fm: FittedModel) -> list[tuple[str, float]]:
-    """Tree importances, else absolute coefficients (multi-class: mean over classes)."""
+    """Tree importances, else coefficients with their sign (multi-class: mean of the absolute
+    values over classes; one-vs-rest: mean over the binary models)."""
     m = fm.estimator_model
     if m is None:
         return []
     if hasattr(m, "models"):  # one-vs-rest: mean over the binary models
-        parts = [_imp_vector(x) for x in m.models]
+        parts = [[abs(v) for v in _imp_vector(x)] for x in m.models]
         vals = [sum(v[i] for v in parts) / len(parts) for i in range(len(fm.features))]
     else:
         vals = _imp_vector(m)
@@ -236,13 +273,13 @@ def _imp_vector(m):
         arr = m.coefficientMatrix.toArray()
         return [float(abs(arr[:, j]).mean()) for j in range(arr.shape[1])]
     if hasattr(m, "coefficients"):
-        return [abs(float(x)) for x in m.coefficients.toArray()]
+        return [float(x) for x in m.coefficients.toArray()]
     return []
 
 
 def forest_importances(df: DataFrame, cols: list[str], target: str, problem_type: str, seed: int = SEED) -> dict:
     """Random forest (100 trees, seed 42) importances for model-based feature selection."""
-    fm = fit_model(df, cols, target, "random_forest", problem_type, {"n_estimators": 100})
+    fm = fit_model(df, cols, target, "random_forest", problem_type, {"n_estimators": 100, "random_state": seed})
     return dict(importances(fm))
 
 

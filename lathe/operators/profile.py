@@ -7,7 +7,7 @@ aggregations over the input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,22 +141,20 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def _sort_keys(name: str, dt: T.DataType):
-    """Two keys that order values in the column's own type: a number, else the text."""
-    col = F.col(name)
-    if isinstance(dt, T.BooleanType) or is_numeric_type(dt):
-        num = F.nanvl(col.cast("double"), F.lit(None).cast("double")) + F.lit(0.0)
-        return num, F.lit(None).cast("string")
-    if is_datetime_type(dt):
-        fmt = "yyyy-MM-dd" if isinstance(dt, T.DateType) else "yyyy-MM-dd'T'HH:mm:ss"
-        return F.lit(None).cast("double"), F.date_format(col, fmt)
-    return F.lit(None).cast("double"), col.cast("string")
+def _sample_key(f: T.StructField) -> Column:
+    """The column in a type of its own that ``min`` and ``>`` order: no value is rounded."""
+    col = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        return F.nanvl(col.cast("double"), F.lit(None).cast("double")) + F.lit(0.0)
+    return col
 
 
 def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
     """Up to ``n`` distinct present values per column: the ``n`` smallest in the column's
-    own order (Spark has no first-seen order). Columns ``column_name, position, rank,
-    num_value, text_value`` (numbers and booleans in ``num_value``, dates as ISO text).
+    own type and order (Spark has no first-seen order). Columns ``column_name, position,
+    rank, num_value, text_value``: numbers and booleans in ``num_value`` (as double), and
+    all but floats and booleans exactly in ``text_value`` (dates as ISO text, timestamps to
+    the microsecond).
 
     ``n`` passes of one wide aggregation each: pass ``k`` takes, per column, the minimum
     of the values above the value found in pass ``k-1``. Nothing is shuffled and no value
@@ -165,31 +163,32 @@ def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
     spark = df.sparkSession
     fields = [(i, f) for i, f in enumerate(df.schema.fields)
               if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
-    keys = {i: _sort_keys(f.name, f.dataType) for i, f in fields}
     prev: dict = {}
     found: list = []
     for rank in range(1, n + 1):
-        aggs = []
-        live = [i for i, _ in fields if rank == 1 or prev.get(i) is not None]
+        live = [(i, f) for i, f in fields if rank == 1 or prev.get(i) is not None]
         if not live:
             break
-        for i in live:
-            num, txt = keys[i]
-            key = num if num is not None and not _is_text(df.schema.fields[i].dataType) else txt
-            cond = key.isNotNull() if rank == 1 else key > F.lit(prev[i])
-            aggs.append(F.min(F.when(cond, key)).alias(f"v{i}"))
+        aggs = []
+        for i, f in live:
+            key = _sample_key(f)
+            low = F.min(key if rank == 1 else F.when(key > F.lit(prev[i]), key))
+            aggs += [low.alias(f"v{i}"), _sample_text(low, f.dataType).alias(f"t{i}")]
         row = df.agg(*aggs).first()
-        for i in live:
-            v = row[f"v{i}"]
-            prev[i] = v
+        for i, f in live:
+            v = prev[i] = row[f"v{i}"]
             if v is not None:
-                numeric = not _is_text(df.schema.fields[i].dataType)
-                found.append((df.columns[i], i, rank, float(v) if numeric else None, None if numeric else v))
+                number = isinstance(f.dataType, T.BooleanType) or is_numeric_type(f.dataType)
+                found.append((f.name, i, rank, float(v) if number else None, row[f"t{i}"]))
     return spark.createDataFrame(found, "column_name string, position int, rank int, num_value double, text_value string")
 
 
-def _is_text(dt: T.DataType) -> bool:
-    return not (isinstance(dt, T.BooleanType) or is_numeric_type(dt))
+def _sample_text(value: Column, dt: T.DataType) -> Column:
+    if isinstance(dt, (T.FloatType, T.DoubleType, T.BooleanType)):
+        return F.lit(None).cast("string")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return value.cast("string")
 
 
 def class_balance(df: DataFrame, target: str, threshold: float = 20.0) -> DataFrame:
@@ -198,8 +197,7 @@ def class_balance(df: DataFrame, target: str, threshold: float = 20.0) -> DataFr
     (a single class is not imbalanced). Errors: empty table, unknown column, no present
     target value.
     """
-    if target not in df.columns:
-        raise ValueError(f"target column {target!r} does not exist")
+    check_balance_input(df, target)
     dt = df.schema[target].dataType
     counts = df.where(~is_missing(target, dt)).groupBy(F.col(target).alias("_cls")).count()
     tot = counts.agg(F.sum("count").alias("total"), F.min("count").alias("smallest")).first()

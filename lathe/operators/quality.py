@@ -28,8 +28,12 @@ class RepeatedColumnsError(ValidationError):
 
 
 def repeated_names(df: DataFrame) -> list[str]:
-    """Column names that occur more than once (case-sensitive, as pandas)."""
-    return sorted(n for n, k in Counter(df.columns).items() if k > 1)
+    """Column names that occur more than once. Names that differ in case only are the same
+    name unless ``spark.sql.caseSensitive`` is on, as Spark could not tell them apart."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    key = (lambda n: n) if exact else str.lower
+    count = Counter(key(n) for n in df.columns)
+    return sorted({n for n in df.columns if count[key(n)] > 1})
 
 
 def validate(df: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def resolve_candidates(df: DataFrame, candidates: list[str], lineage: dict | Non
     lineage = lineage or {}
     out = []
     for c in candidates:
-        if c in df.columns:
+        if c in df.columns and c not in out:
             out.append(c)
         for d in lineage.get(c, []):
             if d in df.columns and d not in out:
@@ -44,57 +46,51 @@ def variance_scores(df: DataFrame, cols: list[str]) -> dict:
     return {c: row[f"v{i}"] for i, c in enumerate(cols)}
 
 
-WIDE_COLUMNS = 40  # from this many columns, complete inputs use MLlib's vector correlation
-
-
 def correlation_matrix(df: DataFrame, cols: list[str]) -> dict:
     """Absolute Pearson correlation of every pair over rows where both are present.
 
-    One aggregation: per pair the population covariance and both variances restricted to
-    the pair's present rows; a zero variance gives an undefined (None) correlation
-    instead of ANSI's division error. For ``WIDE_COLUMNS`` or more columns without any
-    missing cell (checked in one aggregation) the matrix comes from
-    ``pyspark.ml.stat.Correlation`` over an assembled vector instead: one pass whose
-    partial sums are a k x k matrix per task rather than k squared separate aggregates.
+    One algorithm for all widths: values are centred at their column's mean (one wide
+    aggregation), then each Arrow batch adds up n, x, y, x^2, y^2 and xy of all pairs as
+    products of its value and presence matrices, and the partial sums (k x k per task) are
+    summed by pair. A zero variance gives an undefined (None) correlation.
     """
-    if len(cols) >= WIDE_COLUMNS:
-        row = df.agg(*[F.count_if(is_missing(c, df.schema[c].dataType)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        if not any(row[f"m{i}"] for i in range(len(cols))):
-            return _vector_correlation(df, cols)
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            xa, xb = _x(df, a), _x(df, b)
-            both = xa.isNotNull() & xb.isNotNull()
-            k = len(pairs)
-            aggs += [F.covar_pop(xa, xb).alias(f"c{k}"), F.var_pop(F.when(both, xa)).alias(f"va{k}"),
-                     F.var_pop(F.when(both, xb)).alias(f"vb{k}")]
-            pairs.append((a, b))
-    if not pairs:
+    k = len(cols)
+    if k < 2:
         return {}
-    row = df.agg(*aggs).first()
+    means = df.agg(*[F.avg(_x(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    x = df.select(*[(_x(df, c) - F.lit(means[f"m{i}"] or 0.0)).alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def partial(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
+            here = (~np.isnan(v)).astype(np.float64)
+            v = np.nan_to_num(v, nan=0.0)
+            sums = np.stack([here.T @ here, v.T @ here, here.T @ v, (v * v).T @ here, here.T @ (v * v), v.T @ v], axis=-1)
+            total = sums if total is None else total + sums
+        if total is not None:
+            i, j = np.triu_indices(k, 1)
+            cells = total[i, j]
+            yield pa.record_batch([pa.array(i * k + j), *[pa.array(cells[:, t]) for t in range(6)]], names=["pair", *_SUMS])
+
+    sums = x.mapInArrow(partial, "pair long, " + ", ".join(f"{s} double" for s in _SUMS))
     out = {}
-    for k, (a, b) in enumerate(pairs):
-        c, va, vb = row[f"c{k}"], row[f"va{k}"], row[f"vb{k}"]
-        v = None if c is None or not va or not vb else abs(c) / math.sqrt(va * vb)
+    for r in sums.groupBy("pair").agg(*[F.sum(s).alias(s) for s in _SUMS]).collect():  # one row a pair
+        a, b = cols[r["pair"] // k], cols[r["pair"] % k]
+        n = r["n"]
+        v = None
+        if n:
+            va, vb = r["sxx"] / n - (r["sx"] / n) ** 2, r["syy"] / n - (r["sy"] / n) ** 2
+            small = 1e-15 * (r["sxx"] / n + 1e-300), 1e-15 * (r["syy"] / n + 1e-300)
+            if va > small[0] and vb > small[1]:
+                v = abs(r["sxy"] / n - r["sx"] / n * r["sy"] / n) / math.sqrt(va * vb)
         out[(a, b)] = out[(b, a)] = v
     return out
 
 
-def _vector_correlation(df: DataFrame, cols: list[str]) -> dict:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(df.select(*[_x(df, c).alias(c) for c in cols]))
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    out = {}
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i != j:
-                v = float(m[i, j])
-                out[(a, b)] = None if v != v else abs(v)
-    return out
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 def greedy_correlation(cols: list[str], corr: dict, threshold: float) -> set:

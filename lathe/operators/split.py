@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_datetime_type, require_columns
+from ..session import cut_lineage
 from ..functions.ordering import MAX_GROUPS, before, hash_order, lexi_cutoffs
 
 TRAIN, TEST = "train", "test"
@@ -36,6 +37,12 @@ def _cut_column(a: Column, b: Column, cuts: list[tuple]) -> Column:
     return out
 
 
+def number_rows(df: DataFrame, col: str = "_row_key") -> DataFrame:
+    """Give every row a number of its own, equal rows included, for tables without a key. The
+    numbers follow the order of reading and are fixed by a checkpoint."""
+    return cut_lineage(df.withColumn(col, F.monotonically_increasing_id()))
+
+
 def split_random(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, exact: bool = True,
                  col: str = "split") -> DataFrame:
     """Seeded random split: the ``ceil(test_size * n)`` rows first in hash order are test.

@@ -3,8 +3,9 @@
 The search runs MLlib's ``CrossValidator`` with ``foldCol`` (folds from
 :func:`lathe.operators.split.kfold` / ``kfold_stratified``), our own evaluator (macro
 averages for multi-class, one-vs-rest AUC, negated errors) and ``parallelism`` so the
-driver submits the fits of several parameter sets at once. The best set is refitted on
-all training rows.
+driver submits the fits of several parameter sets at once. Labels are indexed and features
+assembled once, on the whole training part, and kept for all fits, the refit of the best set
+included.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from __future__ import annotations
 import itertools
 import random
 
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate
-from .models import FittedModel, build_pipeline, class_labels, fit_model, label_stats
+from .models import FittedModel, assembled, class_labels, class_scores, fit_model, fitted, label_stats, make_estimator, preparation
 
 # Default grids per family, used when a candidate names none (fixed values).
 DEFAULT_GRIDS = {
@@ -34,9 +37,9 @@ DEFAULT_GRIDS = {
 
 
 class MetricEvaluator(Evaluator):
-    """Scores a predictions DataFrame (MLlib's ``label``/``prediction``/``probability``
-    columns) with the metrics of :mod:`lathe.operators.evaluate`, all computed as
-    aggregations; ``isLargerBetter`` follows the metric."""
+    """Scores a predictions DataFrame (MLlib's ``_label``, ``prediction`` and probability or
+    raw prediction columns) with the metrics of :mod:`lathe.operators.evaluate`, all computed
+    as aggregations; ``isLargerBetter`` follows the metric."""
 
     def __init__(self, metric: str, problem_type: str, n_classes: int = 2):
         super().__init__()
@@ -45,23 +48,10 @@ class MetricEvaluator(Evaluator):
         self.n_classes = n_classes
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        m = self.metric
         if self.problem_type == "regression":
-            row = evaluate.regression_metrics(dataset, "label", "prediction").first()
-            return float(row[m])
-        if m == "roc_auc":
-            from pyspark.ml.functions import vector_to_array
-
-            df = dataset.select(F.col("label").cast("int").cast("string").alias("label"),
-                                vector_to_array("probability").alias("p"))
-            if self.n_classes > 2:
-                classes = [str(i) for i in range(self.n_classes)]
-                return float(evaluate.roc_auc_ovr(df, "label", "p", classes).first()["roc_auc"])
-            return float(evaluate.roc_auc(df.select("label", F.col("p")[1].alias("score")), pos_label="1").first()["roc_auc"])
-        pos = str(self.n_classes - 1) if self.n_classes <= 2 else None
-        df = dataset.select(F.col("label").cast("int").cast("string").alias("label"),
-                            F.col("prediction").cast("int").cast("string").alias("prediction"))
-        return float(evaluate.classification_scores(df, pos_label=pos)[m])
+            return score_predictions(dataset, "_label", self.metric, "regression")
+        df = dataset.select(F.col("_label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), *class_scores(dataset))
+        return score_predictions(df, "label", self.metric, "classification", list(range(self.n_classes)))
 
     def isLargerBetter(self) -> bool:
         return evaluate.higher_is_better(self.metric)
@@ -87,60 +77,75 @@ def tune(train: DataFrame, features: list[str], target: str, family: str, proble
 
     Each parameter set becomes its own estimator in the param map (parameters such as
     ridge's scaled regularisation depend on the training rows, so they are mapped here).
+    A class that a fold's training part lacks keeps its index.
     """
     base = dict(base_params or {})
     sets = expand_grid(grid) if search == "grid" else sample_grid(grid, n_iter, seed)
     if family == "knn":
         return _tune_knn(train, features, target, problem_type, metric, sets, fold_col, base)
+    classes = class_labels(train, target) if problem_type == "classification" else None
     n, y_std = label_stats(train, target, problem_type)
-    n_classes = len(class_labels(train, target)) if problem_type == "classification" else 0
-    n_folds = train.agg(F.max(fold_col)).first()[0] + 1
-    pipes = [build_pipeline(family, problem_type, features, target, {**base, **s}, n, y_std, n_classes) for s in sets]
-    # one estimator per parameter set, chosen through a stage parameter of a wrapper pipeline
-    from pyspark.ml import Pipeline
-
-    holder = Pipeline(stages=pipes[0].getStages())
-    maps = ParamGridBuilder().addGrid(holder.stages, [p.getStages() for p in pipes]).build()
+    stages = preparation(problem_type, features, target, classes)
+    ready = assembled(train, stages).select("_label", "_features", fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    n_folds = ready.agg(F.max(fold_col)).first()[0] + 1
+    estimators = [make_estimator(family, problem_type, {**base, **s}, n, y_std, len(classes or [])) for s in sets]
+    # one estimator per parameter set, chosen through the stages of a one-stage pipeline
+    holder = Pipeline(stages=[estimators[0]])
+    maps = ParamGridBuilder().addGrid(holder.stages, [[e] for e in estimators]).build()
     cv = CrossValidator(estimator=holder, estimatorParamMaps=maps,
-                        evaluator=MetricEvaluator(metric, problem_type, n_classes), numFolds=n_folds,
+                        evaluator=MetricEvaluator(metric, problem_type, len(classes or [])), numFolds=n_folds,
                         foldCol=fold_col, parallelism=parallelism, seed=seed)
-    cvm = cv.fit(train)
+    cvm = cv.fit(ready)  # refits the best set on all rows
+    ready.unpersist()
     scores = list(cvm.avgMetrics)
+    best_i = _best(scores, metric)
+    model = fitted(family, problem_type, features, target, stages, cvm.bestModel.stages[0], classes)
+    return model, {**base, **sets[best_i]}, _rows(sets, scores, best_i)
+
+
+def _best(scores: list[float], metric: str) -> int:
+    """The first of the best scores, as CrossValidator picks it."""
     larger = evaluate.higher_is_better(metric)
-    best_i = max(range(len(sets)), key=lambda i: (scores[i] if larger else -scores[i], -i))
-    best = {**base, **sets[best_i]}
-    model = fit_model(train, features, target, family, problem_type, best)
-    rows = [(str(sorted(s.items())), float(sc), i == best_i) for i, (s, sc) in enumerate(zip(sets, scores))]
-    return model, best, rows
+    return max(range(len(scores)), key=lambda i: (scores[i] if larger else -scores[i], -i))
+
+
+def _rows(sets: list[dict], scores: list[float], best: int) -> list[tuple]:
+    return [(str(sorted(s.items())), float(sc), i == best) for i, (s, sc) in enumerate(zip(sets, scores))]
 
 
 def _tune_knn(train, features, target, problem_type, metric, sets, fold_col, base):
-    """k-NN is not an MLlib estimator: loop over folds with our model and metrics."""
-    folds = [r[0] for r in train.select(fold_col).distinct().collect()]
-    larger = evaluate.higher_is_better(metric)
-    scores = []
-    for s in sets:
-        vals = []
-        for f in sorted(folds):
-            fit_part = train.where(F.col(fold_col) != f)
-            val = train.where(F.col(fold_col) == f)
-            fm = fit_model(fit_part, features, target, "knn", problem_type, {**base, **s})
-            pred = fm.transform(val)
-            vals.append(score_predictions(pred, target, metric, problem_type))
-        scores.append(sum(vals) / len(vals))
-    best_i = max(range(len(sets)), key=lambda i: (scores[i] if larger else -scores[i], -i))
+    """k-NN is not an MLlib estimator: loop over folds with our model and metrics. The
+    neighbours of the largest k are found once for each fold and serve all smaller k."""
+    n_folds = train.agg(F.max(fold_col)).first()[0] + 1
+    classes = class_labels(train, target) if problem_type == "classification" else None
+    ks = [int({**base, **s}.get("n_neighbors", 5)) for s in sets]
+    vals: list[list[float]] = [[] for _ in sets]
+    for f in range(n_folds):
+        fm = fit_model(train.where(F.col(fold_col) != f), features, target, "knn", problem_type, {"n_neighbors": max(ks)})
+        fm.knn.classes = classes
+        found = fm.knn.neighbours(train.where(F.col(fold_col) == f))
+        for i, k in enumerate(ks):
+            vals[i].append(score_predictions(fm.knn.vote(found, k), target, metric, problem_type, classes))
+    scores = [sum(v) / len(v) for v in vals]
+    best_i = _best(scores, metric)
     best = {**base, **sets[best_i]}
-    rows = [(str(sorted(s.items())), float(sc), i == best_i) for i, (s, sc) in enumerate(zip(sets, scores))]
-    return fit_model(train, features, target, "knn", problem_type, best), best, rows
+    return fit_model(train, features, target, "knn", problem_type, best), best, _rows(sets, scores, best_i)
 
 
-def score_predictions(pred: DataFrame, target: str, metric: str, problem_type: str) -> float:
+def score_predictions(pred: DataFrame, target: str, metric: str, problem_type: str, classes: list | None = None) -> float:
+    """One metric of a predictions table; a metric that it has no columns for is an error."""
     m = evaluate.metric_name(metric)
     if problem_type == "regression":
         return float(evaluate.regression_metrics(pred, target, "prediction").first()[m])
-    if m == "roc_auc":
-        return float(evaluate.roc_auc(pred, target, "score").first()["roc_auc"]) if "score" in pred.columns else 0.0
-    return float(evaluate.classification_scores(pred, target, "prediction")[m])
+    if m != "roc_auc":
+        pos = classes[-1] if classes and len(classes) <= 2 else None
+        return evaluate.classification_scores(pred, target, "prediction", pos)[m]
+    if "probabilities" not in pred.columns:
+        raise evaluate.MetricError("roc_auc needs class probabilities")
+    classes = classes or evaluate.class_values(pred, target)
+    if len(classes) > 2:
+        return float(evaluate.roc_auc_ovr(pred, target, "probabilities", classes).first()["roc_auc"])
+    return float(evaluate.roc_auc(pred, target, "score", pos_label=classes[-1]).first()["roc_auc"])
 
 
 def cv_table(spark, rows) -> DataFrame:

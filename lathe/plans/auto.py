@@ -36,6 +36,15 @@ class CandidateResult:
     error: str | None = None
     model: object = None
     predictions: DataFrame | None = None
+    train_score: float | None = None  # the primary metric on the training part
+
+    def confusion(self, target: str) -> DataFrame:
+        """Confusion matrix of the test predictions."""
+        return evaluate.confusion(self.predictions, target, "prediction")
+
+    def class_report(self, target: str) -> DataFrame:
+        """Per-class precision, recall, f1 and support of the test predictions."""
+        return evaluate.class_report(self.predictions, target, "prediction")
 
 
 @dataclass
@@ -52,6 +61,18 @@ class RunResult:
     seconds: float
     prep_model: prep.PrepModel | None = None
 
+    @property
+    def status(self) -> str:
+        """``completed``, ``incomplete`` (some candidate failed) or ``failed`` (all did)."""
+        done = sum(c.status == "completed" for c in self.candidates)
+        return "completed" if done == len(self.candidates) else "incomplete" if done else "failed"
+
+    def raise_for_failures(self) -> "RunResult":
+        """An error that names the candidates that failed, if any did."""
+        if self.status != "completed":
+            raise RuntimeError("; ".join(c.error for c in self.candidates if c.error))
+        return self
+
 
 def prep_steps_for(df: DataFrame, prob: problem.Problem, cfg: RunConfig, profile_df=None) -> list:
     """Steps from the recommended column actions (drop, impute, encode, parts, scale)."""
@@ -105,8 +126,8 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
     data = drop_missing_target(df, prob.target).drop(*prob.excluded)
     if key is None:
         key = "_row_key"
-        data = data.withColumn(key, F.xxhash64(*[F.col(c) for c in data.columns]))
-        warnings.append("no key given: rows are ordered by a hash of their values")
+        data = split.number_rows(data, key)
+        warnings.append("no key given: rows are numbered as they were read")
     keep = [c for c in data.columns if c in prob.features or c in (prob.target, key)]
     data = data.select(*keep)
     split_df = _split(data, prob, cfg, key)
@@ -132,6 +153,7 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
             if item["status"] == "applied":
                 for i in item["inputs"]:
                     lineage.setdefault(i, []).append(item["output"])
+    # engineered outputs come in through their inputs' lineage
     cands = cfg.selection.candidates or list(prob.features) + [f.output for f in cfg.features]
     fallback = [c for c in train.columns if c not in (prob.target, key)]
     selected, _ = select.select_features(
@@ -147,10 +169,9 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
     n_train, n_test = staged.count(), test.count()
     if n_train < 2 or n_test < 1:
         raise ValueError(f"too few rows to train ({n_train} train, {n_test} test)")
-    # Partitions sized from the row count: a small training part in few partitions lets the
-    # tuner's concurrent fits each use one core; a large one keeps the cluster's parallelism.
-    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism * 4, math.ceil(n_train / ROWS_PER_PARTITION)))
-    train = staged.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    # Partitions by key hash and sized from the row count alone: what a seeded forest draws does
+    # not depend on the cluster, and a small part leaves each concurrent fit one core.
+    train = staged.repartition(max(1, math.ceil(n_train / ROWS_PER_PARTITION)), key).persist(StorageLevel.MEMORY_AND_DISK)
     train.count()
     staged.unpersist()
 
@@ -175,12 +196,13 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
                 model, params, cv_rows = fit_model(train, features, prob.target, cand.family, prob.problem_type,
                                                    cand.params), dict(cand.params), []
             pred = model.transform(test).persist(StorageLevel.MEMORY_AND_DISK)
-            vals = score_all(pred, prob, metrics)
+            vals = score_all(pred, prob, metrics, model.classes)
             pred.unpersist()
+            train_score = tune.score_predictions(model.transform(train), prob.target, cfg.metric, prob.problem_type, model.classes)
             results.append(CandidateResult(cand.candidate_id, pos, cand.family, "completed", params, vals,
                                            importances(model) if model.pipeline is not None else [], cv_rows,
-                                           time.time() - c0, None, model, pred))
-        except Exception as e:  # noqa: BLE001 - a failed candidate is reported, the run goes on
+                                           time.time() - c0, None, model, pred, train_score))
+        except Exception as e:  # noqa: BLE001 - reported as failed; the run's status says so
             results.append(CandidateResult(cand.candidate_id, pos, cand.family, "failed", dict(cand.params),
                                            seconds=time.time() - c0, error=f"{cand.candidate_id}: {e}"))
             warnings.append(f"candidate {cand.candidate_id} failed: {type(e).__name__}")
@@ -193,20 +215,14 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
                      time.time() - t0, pm)
 
 
-def score_all(pred: DataFrame, prob, metrics) -> dict:
+def score_all(pred: DataFrame, prob, metrics, classes: list | None = None) -> dict:
     evaluate.check_predictions(pred, prob.target)
     if prob.problem_type == "regression":
         row = evaluate.regression_metrics(pred, prob.target, "prediction").first()
         return {m: float(row[m]) for m in metrics}
-    row = evaluate.classification_scores(pred, prob.target, "prediction")
-    out = {m: float(row[m]) for m in ("accuracy", "precision", "recall", "f1")}
-    if "probabilities" in pred.columns:
-        n_cls = pred.select(F.size("probabilities")).first()[0]
-        if n_cls > 2:
-            out["roc_auc"] = float(evaluate.roc_auc_ovr(pred, prob.target, "probabilities").first()["roc_auc"])
-        else:
-            out["roc_auc"] = float(evaluate.roc_auc(pred, prob.target, "score").first()["roc_auc"])
-    return out
+    pos = classes[-1] if classes and len(classes) <= 2 else None
+    out = evaluate.classification_scores(pred, prob.target, "prediction", pos)
+    return out | {"roc_auc": tune.score_predictions(pred, prob.target, "roc_auc", "classification", classes)}
 
 
 def best_candidate(results: list[CandidateResult], metric: str) -> str | None:
@@ -227,13 +243,13 @@ def metrics_table(spark, result: RunResult) -> DataFrame:
 def retrain_compare(df: DataFrame, config_b: RunConfig, target=None, key=None, config_a: RunConfig | None = None,
                     **kw) -> tuple[RunResult, RunResult, DataFrame]:
     """Champion run (``config_a``, default settings) and challenger run (``config_b``) on
-    the same data, compared on the champion's primary metric."""
+    the same data, compared on their primary metric (which must be the same)."""
     a = auto_train(df, target, key, config_a, **kw)
     b = auto_train(df, target, key, config_b, **kw)
     spark = df.sparkSession
-    metric = evaluate.metric_name(a.config.metric)
 
     def champ(r: RunResult):
+        metric = evaluate.metric_name(r.config.metric)  # each run's own: a mismatch is an error
         best = next((c for c in r.candidates if c.candidate_id == r.best_id), None)
         v = best.metrics.get(metric) if best else None
         return spark.createDataFrame([("data", r.problem.problem_type, r.problem.target, metric, v)],

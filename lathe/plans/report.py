@@ -31,7 +31,7 @@ def run_report(spark: SparkSession, result: RunResult) -> DataFrame:
                "train_rows": result.n_train, "test_rows": result.n_test, "features": len(result.features),
                "candidates": len(result.candidates), "completed": done, "failed": len(result.candidates) - done,
                "warnings": sorted(set(result.warnings))}
-    rows.append(("summary", None, None, None, "completed" if done else "failed", metric, None, None,
+    rows.append(("summary", None, None, None, result.status, metric, None, None,
                  float(result.seconds), json.dumps(summary, sort_keys=True)))
     return spark.createDataFrame(rows, _RUN_SCHEMA)
 

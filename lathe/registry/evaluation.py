@@ -132,6 +132,13 @@ def _roc_curve(s, sf):
     return c.select(F.round("threshold", 4).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
+def _prf_numbers(s, sf):
+    """Labels 9 and 10: the positive one is the larger number, not the larger text."""
+    li = T(s, sf, "lineitem").select(F.when(F.col("l_quantity") > 25, 10).otherwise(9).alias("label"),
+                                     F.when(F.col("l_extendedprice") > 30000, 10).otherwise(9).alias("prediction"))
+    return evaluate.classification_metrics(li).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")], "average")
+
+
 QUERIES = {
     "fs_variance": _fs_variance,
     "fs_correlation_matrix": _fs_corr_matrix,
@@ -142,6 +149,7 @@ QUERIES = {
     "metric_accuracy": lambda s, sf: _cls_metrics(_preds3)(s, sf).select("model_id", "accuracy"),
     "metric_prf_binary": _cls_metrics(_preds2),
     "metric_prf_macro": _cls_metrics(_preds3),
+    "metric_prf_numbers": _prf_numbers,
     "class_report": lambda s, sf: evaluate.class_report(_preds3(s, sf), model="model_id").select(
         "model_id", "row", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support"),
     "metric_roc_auc": _auc,
@@ -311,6 +319,9 @@ SELECT 'rule_qty' AS model_id, a.v AS label, b.v AS prediction,
     "metric_accuracy": _cls_sql(_P3, ("accuracy",)),
     "metric_prf_binary": _cls_sql(_P2),
     "metric_prf_macro": _cls_sql(_P3),
+    "metric_prf_numbers": "WITH c AS (SELECT l_quantity > 25 AS y, l_extendedprice > 30000 AS p FROM lineitem), "
+    "n AS (SELECT count(*) AS n, count(*) FILTER (y = p) AS ok, count(*) FILTER (y AND p) AS tp, count(*) FILTER (p) AS np, count(*) FILTER (y) AS ny FROM c) "
+    f"SELECT {R('ok / n', 6)} AS accuracy, {R('tp / np', 6)} AS precision, {R('tp / ny', 6)} AS recall, {R('2.0 * tp / (np + ny)', 6)} AS f1, 'binary' AS average FROM n",
     "class_report": _class_report_sql(),
     "metric_roc_auc": _AUC,
     "metric_roc_auc_ovr": _AUC_OVR,

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import compare, models, prep, select, split, tune
+from ..operators.engineer import Interaction, Ratio
 from ..operators.knn import KNNModel
 from ..plans import auto, report
 from ..plans.config import RunConfig, SplitConfig
@@ -60,10 +61,17 @@ def _fit_pred(family, params=None):
 
 def _importance(s, sf):
     train, _, feats = _prepared(s, sf)
-    fm = models.fit_model(train, feats, "toxic", "random_forest", "classification", {"n_estimators": 20})
+    fm = models.fit_model(train, feats, "toxic", "random_forest", "classification", {})
     return models.importance_table(fm, s)
 
 
+def _importance_linear(s, sf):
+    """A falling line keeps its sign."""
+    li = T(s, sf, "lineitem").select("l_quantity", (-F.col("l_extendedprice")).alias("falling"))
+    fm = models.fit_model(li, ["l_quantity"], "falling", "linear_regression", "regression")
+    return models.importance_table(fm, s).select("feature", "position", F.round("importance", 4).alias("importance"))
+
+
 def _fs_model(s, sf):
     train, _, feats = _prepared(s, sf)
     _, rep = select.select_features(train, feats, "toxic", "model", max_features=3)
@@ -73,26 +81,50 @@ def _fs_model(s, sf):
 def _tune(search):
     def run(s, sf):
         train, _, feats = _prepared(s, sf)
-        folded = split.kfold_stratified(train, "doc_id", "toxic", 3)
+        folded = split.kfold_stratified(train, "doc_id", "toxic", 5)
         if search == "grid":
             _, _, rows = tune.tune(folded, feats, "toxic", "logistic_regression", "classification", "f1",
                                    {"C": [0.1, 1.0, 10.0]})
         else:
             _, _, rows = tune.tune(folded, feats, "toxic", "decision_tree", "classification", "f1",
-                                   {"max_depth": [2, 3, 5, None]}, search="random", n_iter=2)
-        return tune.cv_table(s, rows)
+                                   {"max_depth": [2, 3, 4, 5, 8, None], "min_samples_split": [2, 5]}, search="random", n_iter=10)
+        return _cv_check(tune.cv_table(s, rows))
     return run
 
 
+def _cv_check(table):
+    """What holds exactly of any search: the number of sets, one best set, and that none beats it."""
+    top = F.max(F.when(F.col("best"), F.col("mean_score")))
+    return table.agg(F.count_distinct("params").alias("n_sets"), F.count_if("best").alias("n_best"),
+                     (top == F.max("mean_score")).alias("best_is_best"), F.count_if(F.col("mean_score").between(0, 1)).alias("n_in_range"))
+
+
+def _cv_knn(s, sf):
+    """k-NN on embeddings, tuned on accuracy over five folds: the table of sets and scores."""
+    e = T(s, sf, "embeddings")
+    folded = split.kfold_stratified(e, "vec_id", "label", 5)
+    _, _, rows = tune.tune(folded, ["embedding"], "label", "knn", "classification", "accuracy", {"n_neighbors": [3, 5, 7]})
+    return _cv_check(tune.cv_table(s, rows))
+
+
 def _roundtrip(s, sf):
     train, test, feats = _prepared(s, sf)
     fm = models.fit_model(train, feats, "toxic", "logistic_regression", "classification")
     path = f"{ensure_checkpoint_dir(s).rstrip('/')}/model-{uuid.uuid4().hex}"
     fm.save(path)
-    loaded = models.load_model(path, "logistic_regression", "classification", feats, "toxic")
+    loaded = models.load_model(s, path)
     a = fm.transform(test).select("doc_id", F.col("prediction").alias("p_fit"))
     b = loaded.transform(test).select("doc_id", F.col("prediction").alias("p_loaded"))
-    return a.join(b, "doc_id").select("doc_id", "p_fit", "p_loaded", (F.col("p_fit") == F.col("p_loaded")).alias("equal"))
+    return a.join(b, "doc_id").select("doc_id", (F.col("p_fit") == F.col("p_loaded")).alias("equal"))
+
+
+def _predictions(s, sf):
+    """What holds exactly of any model's predictions: the keys, the labels' domain, shares."""
+    train, test, feats = _prepared(s, sf)
+    out = models.fit_model(train, feats, "toxic", "logistic_regression", "classification").transform(test)
+    one = F.abs(F.aggregate("probabilities", F.lit(0.0), lambda x, y: x + y) - 1) < 1e-9
+    return out.select("doc_id", F.col("prediction").isin("0", "1").alias("in_domain"), one.alias("sums_to_one"),
+                      ((F.col("score") > 0.5) == (F.col("prediction") == "1")).alias("agrees"))
 
 
 def _emb_split(s, sf):
@@ -117,6 +149,24 @@ def _auto(s, sf):
     return report.run_report(s, r)
 
 
+def _auto_counts(s, sf):
+    """What holds exactly of a whole run: rows of its parts, candidates, status."""
+    r = auto.auto_train(_docs(s, sf), "toxic", "doc_id", tier="minimal")
+    return s.createDataFrame([(r.n_rows, r.n_train, r.n_test, len(r.candidates), r.status)],
+                             "n_rows long, n_train long, n_test long, candidates int, status string")
+
+
+def _auto_features(s, sf):
+    """A run with engineered features: each feature once, no candidate fails."""
+    d = _docs(s, sf).select("doc_id", "n_chars", "n_words", "toxic")
+    cfg = RunConfig(split=SplitConfig("stratified"), metric="roc_auc", prep_steps=[], default_grids=False,
+                    features=[Interaction("n_chars", "n_words", "product"), Ratio("n_chars", "n_words", "chars_a_word")],
+                    candidates=[models.Candidate("model_001", "logistic_regression"), models.Candidate("model_002", "decision_tree")])
+    r = auto.auto_train(d, "toxic", "doc_id", config=cfg).raise_for_failures()
+    return s.createDataFrame([(r.n_rows, r.n_train, r.n_test, ",".join(sorted(r.features)), ",".join(c.candidate_id for c in r.candidates), r.status)],
+                             "n_rows long, n_train long, n_test long, features string, candidates string, status string")
+
+
 def _retrain(s, sf):
     d = _docs(s, sf)
     prob_cfg = RunConfig(split=SplitConfig("stratified"), metric="f1",
@@ -143,19 +193,21 @@ QUERIES = {
     "lasso_fit": _coef("lasso", 100.0),
     "logreg_fit": _fit_pred("logistic_regression"),
     "tree_fit": _fit_pred("decision_tree"),
-    "forest_fit": _fit_pred("random_forest", {"n_estimators": 20}),
-    "gbt_fit": _fit_pred("gradient_boosting", {"n_estimators": 20}),
+    "forest_fit": _fit_pred("random_forest"),
+    "gbt_fit": _fit_pred("gradient_boosting"),
     "svm_fit": _fit_pred("svm"),
     "knn_classify": _knn("classification"),
     "knn_regress": _knn("regression"),
     "fs_model_based": _fs_model,
     "feature_importance": _importance,
-    "predictions": _fit_pred("logistic_regression"),
+    "feature_importance_linear": _importance_linear,
+    "predictions": _predictions,
     "model_roundtrip": _roundtrip,
     "tune_grid": _tune("grid"),
     "tune_random": _tune("random"),
-    "cv_results": _tune("grid"),
-    "auto_train": _auto,
+    "cv_results": _cv_knn,
+    "auto_train": _auto_counts,
+    "auto_train_features": _auto_features,
     "retrain_compare": _retrain,
     "run_report": _auto,
     "executive_report": _exec,
@@ -181,7 +233,28 @@ d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label,
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rk FROM d) WHERE rk <= 5)
 """
 
+_LABELLED = "(SELECT doc_id, toxic FROM documents JOIN labels USING (doc_id))"
+_N = f"(SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS t FROM {_LABELLED})"
+_TESTED = f"""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) - 1 AS rn,
+                  count(*) OVER (PARTITION BY toxic) AS nc FROM {_LABELLED}),
+n AS (SELECT * FROM {_N}),
+c AS (SELECT DISTINCT toxic, nc, (nc * t) // n AS base, (nc * t) % n AS rem FROM d, n),
+o AS (SELECT *, row_number() OVER (ORDER BY rem DESC, toxic) AS place, sum(base) OVER () AS given FROM c),
+quota AS (SELECT toxic, base + CASE WHEN place <= (SELECT t FROM n) - given THEN 1 ELSE 0 END AS take FROM o),
+test AS (SELECT doc_id FROM d JOIN quota USING (toxic) WHERE rn < take)
+"""
+
 ORACLES = {
+    "feature_importance_linear": f"SELECT 'l_quantity' AS feature, 0 AS position, {R('regr_slope(-l_extendedprice, l_quantity)', 4)} AS importance FROM lineitem",
+    "predictions": _TESTED + "SELECT doc_id, TRUE AS in_domain, TRUE AS sums_to_one, TRUE AS agrees FROM test",
+    "model_roundtrip": _TESTED + "SELECT doc_id, TRUE AS equal FROM test",
+    "tune_grid": f"SELECT 3 AS n_sets, 1 AS n_best, n > 0 AS best_is_best, 3 AS n_in_range FROM {_N}",
+    "tune_random": f"SELECT 10 AS n_sets, 1 AS n_best, n > 0 AS best_is_best, 10 AS n_in_range FROM {_N}",
+    "cv_results": "SELECT 3 AS n_sets, 1 AS n_best, count(*) > 0 AS best_is_best, 3 AS n_in_range FROM embeddings",
+    "auto_train": f"SELECT n AS n_rows, n - t AS n_train, t AS n_test, 2 AS candidates, 'completed' AS status FROM {_N}",
+    "auto_train_features": f"SELECT n AS n_rows, n - t AS n_train, t AS n_test, 'chars_a_word,n_chars,n_words,product' AS features, "
+    f"'model_001,model_002' AS candidates, 'completed' AS status FROM {_N}",
     "linreg_fit": _lin_sql("linear_regression", f"regr_slope({_Y}, {_X})"),
     "ridge_fit": _lin_sql("ridge", f"covar_pop({_X}, {_Y}) / (var_pop({_X}) + 1000.0 / count(*))"),
     "lasso_fit": _lin_sql("lasso", f"sign(covar_pop({_X}, {_Y})) * greatest(abs(covar_pop({_X}, {_Y})) - 100.0, 0) / var_pop({_X})"),

@@ -23,6 +23,28 @@ def _scan_csv(spark, sf):
     return io.read_table(spark, out, schema="r_regionkey int, r_name string")
 
 
+def _scan_csv_missing(spark, sf):
+    """Cells that say ``NA`` or ``null``, and types inferred after those are missing."""
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scan_csv-{uuid.uuid4().hex}.csv"
+    src = T(spark, sf, "supplier").select(
+        "s_suppkey", F.when(F.col("s_acctbal") < 0, "NA").otherwise(F.col("s_acctbal").cast("string")).alias("s_acctbal"),
+        F.when(F.col("s_nationkey") % 2 == 0, "null").otherwise(F.col("s_name")).alias("s_name"))
+    src.write.mode("overwrite").option("header", True).csv(out)
+    return io.read_table(spark, out)
+
+
+def _merge_mixed(spark, sf):
+    """A column that is a number in one table and text in the other."""
+    n = T(spark, sf, "nation")
+    return io.merge_tables([n.select(F.col("n_nationkey").alias("k"), "n_regionkey"), n.select("n_regionkey", F.col("n_name").alias("k"))])
+
+
+def _sample_fine(spark, sf):
+    """Values that a double or a second would make equal."""
+    e = T(spark, sf, "events").select((F.col("event_id") + F.lit(2**53)).alias("big"), (F.col("ts") + F.expr("INTERVAL 1 MICROSECOND") * F.col("event_id")).alias("fine"))
+    return profile.sample_values(e, 3).select("column_name", "rank", "text_value")
+
+
 def _merge(spark, sf):
     o = T(spark, sf, "orders")
     a = o.where("o_orderstatus = 'F'")
@@ -49,6 +71,9 @@ QUERIES = {
     "scan_csv": _scan_csv,
     "scan_parquet": lambda s, sf: io.read_table(s, f"{sf}/orders.parquet"),
     "merge_tables": _merge,
+    "scan_csv_missing": _scan_csv_missing,
+    "merge_tables_mixed": _merge_mixed,
+    "sample_values_fine": _sample_fine,
     "preview": lambda s, sf: io.preview(T(s, sf, "orders"), "o_orderkey", 5),
     "table_metadata": lambda s, sf: io.metadata(T(s, sf, "orders")),
     "validate_table": lambda s, sf: quality.validation_flags(quality.validate(T(s, sf, "orders"))),
@@ -208,9 +233,10 @@ def _sample_sql():
     parts = []
     for i, (c, t) in enumerate(TABLE_COLUMNS["orders"]):
         if t in NUMERIC:
-            num, txt = f"CAST({c} AS DOUBLE) + 0.0", "CAST(NULL AS VARCHAR)"
+            num = f"CAST({c} AS DOUBLE) + 0.0"
+            txt = "CAST(NULL AS VARCHAR)" if t in ("double", "float", "boolean") else f"CAST({c} AS VARCHAR)"
         elif t in ("timestamp_ntz", "timestamp"):
-            num, txt = "CAST(NULL AS DOUBLE)", f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
+            num, txt = "CAST(NULL AS DOUBLE)", f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%f')"
         else:
             num, txt = "CAST(NULL AS DOUBLE)", f"CAST({c} AS VARCHAR)"
         parts.append(f"SELECT DISTINCT {q(c)} AS column_name, {i} AS position, {num} AS num_value, {txt} AS text_value "
@@ -226,6 +252,13 @@ ORACLES = {
     "scan_csv": "SELECT * FROM region",
     "scan_parquet": "SELECT * FROM orders",
     "merge_tables": "SELECT * FROM orders",
+    "scan_csv_missing": "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS s_acctbal, "
+    "CASE WHEN s_nationkey % 2 <> 0 THEN s_name END AS s_name FROM supplier",
+    "merge_tables_mixed": "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_regionkey FROM nation UNION ALL SELECT n_name, n_regionkey FROM nation",
+    "sample_values_fine": "WITH v AS (SELECT event_id + 9007199254740992 AS big, ts + to_microseconds(event_id) AS fine FROM events) "
+    "SELECT * FROM (SELECT 'big' AS column_name, CAST(row_number() OVER (ORDER BY big) AS INTEGER) AS rank, CAST(big AS VARCHAR) AS text_value "
+    "FROM (SELECT DISTINCT big FROM v) UNION ALL SELECT 'fine', CAST(row_number() OVER (ORDER BY fine) AS INTEGER), "
+    "strftime(fine, '%Y-%m-%dT%H:%M:%S.%f') FROM (SELECT DISTINCT fine FROM v)) WHERE rank <= 3",
     "preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
     "table_metadata": _metadata_sql(),
     "validate_table": "SELECT 6 AS n_columns, (SELECT count(*) = 0 FROM orders) AS is_empty, 0 AS repeated_names, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import split
 from .profiling import T
 
@@ -10,7 +12,17 @@ def _h(key: str, seed: int = 42) -> str:
     return f"md5(CAST({key} AS VARCHAR) || '|{seed}')"
 
 
+def _without_key(s, sf):
+    """Many equal rows and no key: test rows and folds are cut exactly all the same."""
+    rows = split.number_rows(T(s, sf, "lineitem").select("l_returnflag", "l_linestatus"))
+    both = split.kfold(split.split_random(rows, "_row_key", 0.25, 42), "_row_key", 4)
+    test = both.agg(F.count_if(F.col("split") == "test").alias("n_test"))
+    folds = both.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    return test.join(folds, F.lit(True))
+
+
 QUERIES = {
+    "split_without_key": _without_key,
     "split_random": lambda s, sf: split.split_random(T(s, sf, "orders"), "o_orderkey", 0.2, 42).select("o_orderkey", "split"),
     "split_random_hash": lambda s, sf: split.split_random(T(s, sf, "orders"), "o_orderkey", 0.2, 42, exact=False)
     .select("o_orderkey", "split"),
@@ -72,6 +84,7 @@ FROM x JOIN cum ON x.o_orderstatus = cum.cls AND x.rn >= cum.lo AND x.rn < cum.h
 """
 
 ORACLES = {
+    "split_without_key": "SELECT CAST(ceil(0.25 * count(*)) AS BIGINT) AS n_test, count(*) // 4 AS smallest, (count(*) + 3) // 4 AS largest FROM lineitem",
     "split_random": _random_sql("orders", "o_orderkey"),
     "split_random_hash": "SELECT o_orderkey, CASE WHEN CAST(('0x' || substr(" + _h("o_orderkey")
     + ", 1, 15)) AS BIGINT) < " + str(int(0.2 * (1 << 60))) + " THEN 'test' ELSE 'train' END AS split FROM orders",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +30,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lat
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a scratch one only when unset.
+    """Return the shared checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...). Tests on a
-    single machine have none, so a fresh scratch folder is made for them.
+    On a cluster it must be set (HDFS, S3, ...): a folder of one machine would be lost to the
+    others. Only a local master, as in tests, gets a scratch folder when it is unset.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -41,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="lathe-ckpt-")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)

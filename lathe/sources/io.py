@@ -13,6 +13,11 @@ from ..functions.columns import is_datetime_type, is_numeric_type, is_text_type
 SUFFIXES = {".csv": "csv", ".parquet": "parquet"}
 
 
+# Texts of a CSV cell that mean a missing value.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+           "NaN", "None", "n/a", "nan", "null")
+
+
 class SourceError(ValueError):
     pass
 
@@ -40,17 +45,21 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
                check: bool = True) -> DataFrame:
     """Scan one CSV (header row) or Parquet file, chosen by suffix (case-insensitive).
 
-    CSV takes an explicit ``schema`` when given, else infers types (one extra pass; prefer
-    a schema at scale). With ``check``, a table without columns or rows is an error.
+    CSV takes an explicit ``schema`` when given, else infers types after the missing-value
+    tokens (``MISSING``) were set to null (one extra pass; prefer a schema at scale); with a
+    schema the tokens are null as well. With ``check``, a table without columns or rows is an
+    error.
     """
     fmt = _check_path(path)
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("mode", "FAILFAST")
+        df = _without_tokens(spark.read.option("header", True).option("mode", "FAILFAST").csv(path))
         if schema is not None:
-            reader = reader.schema(schema)
+            kinds = spark.createDataFrame([], schema).schema
+            if len(kinds) != len(df.columns):
+                raise SourceError(f"the schema has {len(kinds)} columns, {path} has {len(df.columns)}")
+            df = df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(df.columns, kinds)])
         elif infer:
-            reader = reader.option("inferSchema", True)
-        df = reader.csv(path)
+            df = infer_types(df)
     else:
         df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
     if check:
@@ -61,6 +70,35 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return df
 
 
+def _without_tokens(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Cast text columns to the narrowest type that reads all their present values: int,
+    bigint, double, boolean, date, timestamp, else text. One wide aggregation."""
+    aggs = []
+    for i, c in enumerate(df.columns):
+        x = F.col(f"`{c}`")
+        aggs += [F.count(x).alias(f"n{i}"), *[F.count_if(test(x)).alias(f"{kind}{i}") for kind, test in _READS.items()]]
+    row = df.agg(*aggs).first() if aggs else None
+    out = []
+    for i, c in enumerate(df.columns):
+        kind = next((k for k in _READS if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), "string")
+        out.append(F.col(f"`{c}`").cast(kind).alias(c))
+    return df.select(*out)
+
+
+_READS = {
+    "int": lambda x: x.rlike(r"^\s*[+-]?[0-9]+\s*$") & x.try_cast("int").isNotNull(),
+    "bigint": lambda x: x.rlike(r"^\s*[+-]?[0-9]+\s*$") & x.try_cast("bigint").isNotNull(),
+    "double": lambda x: x.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(inf|Infinity)\s*$") & x.try_cast("double").isNotNull(),
+    "boolean": lambda x: F.lower(x).isin("true", "false"),
+    "date": lambda x: x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & x.try_cast("date").isNotNull(),
+    "timestamp": lambda x: x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]") & x.try_cast("timestamp").isNotNull(),
+}
+
+
 def read_tables(spark: SparkSession, paths: list[str] | str, schema=None, check: bool = True) -> DataFrame:
     """Several files (a list or a comma-separated string): the sets of column names must be
     equal; rows are concatenated in file order with columns aligned by name (first file's
@@ -81,12 +119,22 @@ def merge_tables(frames: list[DataFrame]) -> DataFrame:
             raise SourceError(
                 f"table {i} has columns {sorted(set(f.columns) ^ names)} that differ from the first table"
             )
-    out = first
+    # a column that is a number in one table and text in another becomes text
+    mixed = [c for c in first.columns if not _compatible([f.schema[c].dataType for f in frames])]
+    frames = [f.withColumns({c: F.col(f"`{c}`").cast("string") for c in mixed}) if mixed else f for f in frames]
+    out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
+def _compatible(kinds: list[T.DataType]) -> bool:
+    """Whether Spark's union finds a common type that keeps the values as they are."""
+    if all(k == kinds[0] for k in kinds) or all(isinstance(k, T.NumericType) for k in kinds):
+        return True
+    return all(isinstance(k, (T.DateType, T.TimestampType)) for k in kinds)
+
+
 def preview(df: DataFrame, key: list[str] | str, n: int = 5) -> DataFrame:
     """The first ``n`` rows in ``key`` order (a top-n: each task keeps n rows)."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -125,12 +173,12 @@ def read_report(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def save_model(model, path: str) -> str:
-    """Persist a fitted MLlib model or pipeline model (overwrites)."""
-    model.write().overwrite().save(path)
+    """Write a fitted model (:class:`lathe.operators.models.FittedModel`) with its labels."""
+    model.save(path)
     return path
 
 
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
+def load_model(spark: SparkSession, path: str):
+    from ..operators.models import load_model as load
 
-    return PipelineModel.load(path)
+    return load(spark, path)

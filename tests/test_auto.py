@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lathe.operators.problem import resolve_problem
 from lathe.plans import auto, report
 from lathe.plans.config import default_config
@@ -10,7 +12,7 @@ def test_whole_run_classification(spark):
     rows = [(i, float(i % 7), float(i % 5), i % 2) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, feat_a double, feat_b double, target int")
     r = auto.auto_train(df, "target", "k", tier="minimal")
-    assert r.problem.problem_type == "classification" and r.best_id is not None
+    assert r.problem.problem_type == "classification" and r.best_id is not None and r.status == "completed"
     assert all(c.status == "completed" for c in r.candidates)
     rep = report.run_report(spark, r).collect()
     assert sum(1 for x in rep if x["row_type"] == "champion") == 1
@@ -62,3 +64,42 @@ def test_default_grids_and_tiers(spark):
     std, mini = default_config(prob), default_config(prob, tier="minimal")
     assert [c.family for c in std.candidates] == ["logistic_regression", "random_forest", "gradient_boosting"]
     assert len(mini.candidates) == 2 and mini.folds == 3 and std.folds == 5
+
+
+def test_run_with_engineered_features(spark):
+    from lathe.operators.engineer import Interaction, Ratio
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.random(), 1 + rnd.random(), i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, target int")
+    cfg = default_config(resolve_problem(df.drop("k"), "target"), tier="minimal")
+    cfg.prep_steps, cfg.default_grids = [], False
+    cfg.features = [Interaction("a", "b", "ab"), Ratio("a", "b", "a_over_b")]
+    r = auto.auto_train(df, "target", "k", config=cfg).raise_for_failures()
+    assert r.features == ["a", "ab", "a_over_b", "b"] and r.status == "completed"
+    best = r.candidates[0]
+    assert best.train_score is not None and "roc_auc" in best.metrics
+    assert best.confusion("target").count() == 4 and best.class_report("target").count() == 5
+
+
+def test_rows_without_a_key(spark):
+    """Equal rows are rows of their own: 10 rows, ten times each, split exactly."""
+    rows = [(float(i % 10), float(i % 10) * 2, i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "a double, b double, target int")
+    cfg = default_config(resolve_problem(df, "target"), tier="minimal")
+    cfg.split.test_size, cfg.prep_steps, cfg.default_grids = 0.25, [], False
+    r = auto.auto_train(df, "target", config=cfg).raise_for_failures()
+    assert (r.n_train, r.n_test) == (75, 25)
+
+
+def test_failed_candidate_shows(spark):
+    from lathe.operators.models import Candidate
+
+    df = spark.createDataFrame([(i, float(i), i % 2) for i in range(40)], "k int, a double, target int")
+    cfg = default_config(resolve_problem(df.drop("k"), "target"), tier="minimal")
+    cfg.prep_steps, cfg.default_grids = [], False
+    cfg.candidates = [Candidate("bad", "svm", {"C": "x"}), Candidate("good", "logistic_regression")]
+    r = auto.auto_train(df, "target", "k", config=cfg)
+    assert r.status == "incomplete" and r.best_id == "good"
+    with pytest.raises(RuntimeError, match="bad"):
+        r.raise_for_failures()

@@ -34,8 +34,8 @@ def test_knn_exact_and_blocked(spark, monkeypatch):
     train, test = df.where("id < 60"), df.where("id >= 60")
     m = knn.KNNModel.fit(train, ["x", "y", "z"], "c", "classification", 3, id_col="id")
     one = {r["id"]: r["prediction"] for r in m.transform(test).collect()}
-    monkeypatch.setattr(knn, "BLOCK_BYTES", 200)  # force several broadcast blocks
-    many = {r["id"]: r["prediction"] for r in m.transform(test, key="id").collect()}
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 200)  # force several blocks
+    many = {r["id"]: r["prediction"] for r in m.transform(test).collect()}
     assert one == many
     # brute force
     tr = pts[:60]
@@ -45,9 +45,9 @@ def test_knn_exact_and_blocked(spark, monkeypatch):
         nn = np.lexsort((np.arange(60), d))[:3]
         vals, counts = np.unique(labels[nn], return_counts=True)
         assert one[i] == vals[np.argmax(counts)]
-    # regression on the blocked path equals the single broadcast block
+    # regression in several blocks equals one block
     reg = knn.KNNModel.fit(train, ["x", "y"], "z", "regression", 3, id_col="id")
-    blocked = {r["id"]: r["prediction"] for r in reg.transform(test, key="id").collect()}
+    blocked = {r["id"]: r["prediction"] for r in reg.transform(test).collect()}
     monkeypatch.setattr(knn, "BLOCK_BYTES", 256 << 20)
     single = {r["id"]: r["prediction"] for r in reg.transform(test).collect()}
     assert blocked.keys() == single.keys()
@@ -67,7 +67,35 @@ def test_model_roundtrip(spark, tmp_path):
     df = _clf(spark)
     fm = models.fit_model(df, ["a", "b"], "y", "decision_tree", "classification")
     fm.save(str(tmp_path / "m"))
-    loaded = models.load_model(str(tmp_path / "m"), "decision_tree", "classification", ["a", "b"], "y")
+    loaded = models.load_model(spark, str(tmp_path / "m"))
     zero = spark.createDataFrame([(0, 0.0, 0.0, "neg")], df.schema)
     assert fm.transform(zero).first()["prediction"] == loaded.transform(zero).first()["prediction"]
     assert len(models.importances(fm)) == 2
+
+
+def test_knn_saves_and_reloads(spark, tmp_path):
+    df = _clf(spark)
+    fm = models.fit_model(df, ["a", "b"], "y", "knn", "classification", {"n_neighbors": 3})
+    fm.save(str(tmp_path / "k"))
+    loaded = models.load_model(spark, str(tmp_path / "k"))
+    pick = lambda m: sorted(map(tuple, m.transform(df).select("id", "prediction", "probabilities").collect()))
+    assert pick(fm) == pick(loaded) and loaded.classes == fm.classes
+
+
+def test_coefficients_keep_their_sign(spark):
+    df = spark.createDataFrame([(float(i), -3.0 * i + (i % 2)) for i in range(40)], "x double, y double")
+    fm = models.fit_model(df, ["x"], "y", "linear_regression", "regression")
+    assert models.importances(fm)[0][1] < -2.9
+
+
+@pytest.mark.parametrize("family", models.CLASSIFICATION_FAMILIES)
+def test_auc_and_rare_class_for_all_families(spark, family):
+    """Three classes, one with a single row: every family tunes on AUC and on f1."""
+    rows = [(i, float(i % 10), float((i * 7) % 11), 9 if i % 10 < 5 else 10) for i in range(60)] + [(60, 3.0, 4.0, 11)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int").withColumn("fold", F.col("id") % 2)
+    small = {"n_estimators": 2} if family in ("random_forest", "gradient_boosting") else {"max_iter": 3} if family == "svm" else {}
+    grid = {"n_neighbors": [3, 5]} if family == "knn" else {"C": [1.0]} if family in ("svm", "logistic_regression") else {"max_depth": [2]}
+    model, _, rows = tune.tune(df, ["a", "b"], "y", family, "classification", "roc_auc", grid, base_params=small)
+    assert model.classes == ["9", "10", "11"] and all(0.5 < r[1] <= 1.0 for r in rows)
+    out = model.transform(df).first()
+    assert len(out["probabilities"]) == 3 and abs(sum(out["probabilities"]) - 1) < 1e-6
