@@ -18,7 +18,7 @@ A value repeated in a third of all rows is no problem: its grid points coincide,
 range collapses to that value and the target is resolved without any window.
 
 Only target descriptions (group, rank, bounds) and counts per group reach the driver;
-the target table is broadcast only after its size was checked against ``MAX_TARGETS``.
+the target table is broadcast up to ``MAX_TARGETS`` rows, beyond that Spark joins it by size.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ from pyspark.sql import types as T
 GRID = 1000  # points of the approximate quantile grid per round
 ACCURACY = 100_000  # percentile_approx accuracy (relative rank error 1e-5)
 FINAL_LIMIT = 1_000_000  # rows per target that a single window task may sort
-MAX_TARGETS = 20_000  # targets are driver-side and broadcast: keep them bounded
-MAX_GROUPS = 100_000
-_MAX_ROUNDS = 12
+MAX_TARGETS = 20_000  # rows of a target table that is broadcast
+MAX_GROUPS = 1_000_000  # groups (classes) whose counts the driver keeps
 
 
 @dataclass
@@ -60,15 +59,18 @@ def group_counts(long_df: DataFrame, g: str = "g") -> dict:
 
 
 def _target_frame(spark, targets: list[tuple], gtype: T.DataType, xtype: T.DataType, extra=()) -> DataFrame:
-    if len(targets) > MAX_TARGETS:
-        raise ValueError(f"{len(targets)} rank targets exceed the broadcast bound {MAX_TARGETS}")
     fields = [
         T.StructField("_tid", T.IntegerType()),
         T.StructField("_tg", gtype),
         T.StructField("_lo", xtype),
         T.StructField("_hi", xtype),
     ] + [T.StructField(name, t) for name, t in extra]
-    return F.broadcast(spark.createDataFrame(targets, T.StructType(fields)))
+    return small_table(spark.createDataFrame(targets, T.StructType(fields)), len(targets))
+
+
+def small_table(table: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table of a checked size; a larger one is joined as Spark sees fit."""
+    return F.broadcast(table) if rows <= MAX_TARGETS else table
 
 
 def _in_range(x: Column) -> Column:
@@ -96,11 +98,12 @@ def select_ranks(long_df: DataFrame, targets: list[tuple], g: str = "g", x: str
             raise ValueError(f"rank {r} outside group {grp!r} of {n} rows")
         state.append(_Target(g=grp, r=int(r), cnt=n))
 
-    for _ in range(_MAX_ROUNDS):
-        big = [i for i, t in enumerate(state) if not t.done and t.cnt > FINAL_LIMIT]
-        if not big:
-            break
+    while big := [i for i, t in enumerate(state) if not t.done and t.cnt > FINAL_LIMIT]:
+        before = {i: state[i].cnt for i in big}
         _narrow(spark, data, state, big, gtype, xtype)
+        stuck = [i for i in big if not state[i].done and state[i].cnt == before[i] and state[i].margin > GRID]
+        if stuck:  # a range that no grid divides, though its bounds differ
+            raise RuntimeError(f"the rank search makes no progress in group {state[stuck[0]].g!r}")
 
     open_ = [i for i, t in enumerate(state) if not t.done]
     if open_:
@@ -144,6 +147,8 @@ def _narrow(spark, data, state, idx, gtype, xtype):
         nb, ni = got.get(i, (0, 0))
         below = t.below + nb
         if below <= t.r < below + ni:
+            if ni == t.cnt:
+                t.margin *= 4
             t.lo, t.hi, t.below, t.cnt = lo, hi, below, ni
             if lo is not None and hi is not None and lo == hi:
                 t.value, t.less, t.done = lo, below, True
@@ -161,7 +166,7 @@ def _finish(spark, data, state, idx, gtype, xtype):
         rid = ranges.setdefault((t.g, t.lo, t.hi), len(ranges))
         want.append((i, rid, t.r - t.below + 1))
     rdf = _target_frame(spark, [(rid, g, lo, hi) for (g, lo, hi), rid in ranges.items()], gtype, xtype)
-    wdf = F.broadcast(spark.createDataFrame(want, "_tid int, _wid int, _rn long"))
+    wdf = small_table(spark.createDataFrame(want, "_tid int, _wid int, _rn long"), len(want))
     w = Window.partitionBy("_tid").orderBy("_x")
     ranked = (
         data.join(rdf, data["_g"] == rdf["_tg"])
@@ -189,14 +194,8 @@ def lexi_cutoffs(df: DataFrame, order: tuple[str, str], targets: list[tuple], gr
     atype = df.schema[a].dataType
     gtype = df.select(gcol.alias("g")).schema["g"].dataType
     rows = [(i, grp, av) for i, ((grp, _), (av, _)) in enumerate(zip(targets, first))]
-    if len(rows) > MAX_TARGETS:
-        raise ValueError("too many cut targets")
-    tdf = F.broadcast(
-        spark.createDataFrame(
-            rows, T.StructType([T.StructField("_tid", T.IntegerType()), T.StructField("_tg", gtype),
-                                T.StructField("_ta", atype)])
-        )
-    )
+    schema = T.StructType([T.StructField("_tid", T.IntegerType()), T.StructField("_tg", gtype), T.StructField("_ta", atype)])
+    tdf = small_table(spark.createDataFrame(rows, schema), len(rows))
     ties = (
         df.select(gcol.alias("_g"), F.col(a).alias("_a"), F.col(b).alias("x"))
         .join(tdf, (F.col("_g") == F.col("_tg")) & (F.col("_a") == F.col("_ta")))

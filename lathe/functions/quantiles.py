@@ -21,42 +21,70 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     return exploded.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
+ACCURACY = 10_000  # of the sketches that bracket the wanted ranks
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict | None = None) -> dict:
     """Linear-interpolated quantiles (pandas / numpy default, SQL ``quantile_cont``).
 
     Returns ``{column: [value per prob]}``; a column without present values gives Nones.
-    ``counts`` (present cells per column) may be passed when already known.
+    One wide sketch brackets the wanted ranks, one wide count proves the brackets, and only
+    the cells inside them (a few in ``ACCURACY``) are unpivoted and ranked. ``counts`` is
+    accepted for callers that know the present cells; the sketch pass counts them anyway.
     """
     if not cols:
         return {}
-    long_df = long_values(df, cols)
-    if counts is None:
-        counts = {cols[r[0]]: r[1] for r in long_df.groupBy("g").count().collect()}
-    gcounts = {i: counts.get(c, 0) for i, c in enumerate(cols)}
-    wanted = {}
-    for i, c in enumerate(cols):
-        n = gcounts[i]
-        for p in probs:
-            if n == 0:
-                continue
-            h = (n - 1) * p
-            for r in {math.floor(h), math.ceil(h)}:
-                wanted[(i, r)] = None
-    keys = sorted(wanted)
-    values = select_ranks(long_df, keys, counts={k: v for k, v in gcounts.items() if v}) if keys else []
-    found = {k: v for k, (v, _) in zip(keys, values)}
-    out = {}
-    for i, c in enumerate(cols):
-        n = gcounts[i]
-        res = []
-        for p in probs:
-            if n == 0:
-                res.append(None)
-                continue
-            h = (n - 1) * p
-            lo, hi = found[(i, math.floor(h))], found[(i, math.ceil(h))]
-            res.append(lo + (h - math.floor(h)) * (hi - lo))
-        out[c] = res
+    xs = []
+    for c in cols:
+        x = clean(c, df.schema[c].dataType).cast("double")
+        xs.append(F.when(~F.isnan(x), x))
+    step = 2 / ACCURACY
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-step, step)})
+    row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                 *[F.percentile_approx(x, grid, ACCURACY).alias(f"q{i}") for i, x in enumerate(xs)]).first()
+    brackets = []  # column, prob, lo, hi
+    for i in range(len(cols)):
+        for p in probs if row[f"n{i}"] else []:
+            lo, hi = (row[f"q{i}"][grid.index(min(1.0, max(0.0, p + d)))] for d in (-step, step))
+            brackets.append((i, p, lo if p > step else None, hi if p < 1 - step else None))
+
+    def inside(b):
+        i, _, lo, hi = b
+        x = xs[i]
+        low = F.lit(True) if lo is None else x >= F.lit(lo)
+        return x.isNotNull() & low & (F.lit(True) if hi is None else x <= F.lit(hi))
+
+    below: list[int] = []
+    sizes: list[int] = []
+    if brackets:
+        got = df.agg(*[F.count_if(xs[i] < F.lit(lo)).alias(f"b{j}") if lo is not None else F.lit(0).alias(f"b{j}") for j, (i, _, lo, _) in enumerate(brackets)],
+                     *[F.count_if(inside(b)).alias(f"s{j}") for j, b in enumerate(brackets)]).first()
+        for j, (i, p, lo, hi) in enumerate(brackets):
+            n, h = row[f"n{i}"], (row[f"n{i}"] - 1) * p
+            if not (got[f"b{j}"] <= math.floor(h) and math.ceil(h) < got[f"b{j}"] + got[f"s{j}"]):
+                brackets[j] = (i, p, None, None)  # the sketch missed: all present cells
+            whole = brackets[j][2] is None and brackets[j][3] is None
+            below.append(0 if whole else got[f"b{j}"])
+            sizes.append(n if whole else got[f"s{j}"])
+    targets, values = [], {}
+    for j, (i, p, lo, hi) in enumerate(brackets):
+        h = (row[f"n{i}"] - 1) * p
+        if lo is not None and lo == hi:
+            values[j] = (lo, lo)
+        else:
+            targets += [(j, r - below[j]) for r in sorted({math.floor(h), math.ceil(h)})]
+    if targets:
+        cells = F.array(*[F.when(inside(b), F.struct(F.lit(j).alias("g"), xs[b[0]].alias("x"))) for j, b in enumerate(brackets) if j not in values])
+        rest = df.select(F.explode(F.array_compact(cells)).alias("_v")).select("_v.g", "_v.x")
+        found = {t: v for t, (v, _) in zip(targets, select_ranks(rest, targets, counts=dict(enumerate(sizes))))}
+        for j, (i, p, _, _) in enumerate(brackets):
+            if j not in values:
+                h = (row[f"n{i}"] - 1) * p
+                values[j] = (found[j, math.floor(h) - below[j]], found[j, math.ceil(h) - below[j]])
+    out = {c: [None] * len(probs) for c in cols}
+    for j, (i, p, _, _) in enumerate(brackets):
+        h, (lo, hi) = (row[f"n{i}"] - 1) * p, values[j]
+        out[cols[i]][probs.index(p)] = lo + (h - math.floor(h)) * (hi - lo)
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import is_datetime_type, require_columns
 from ..session import cut_lineage
-from ..functions.ordering import MAX_GROUPS, before, hash_order, lexi_cutoffs
+from ..functions.ordering import MAX_GROUPS, before, hash_order, lexi_cutoffs, small_table
 
 TRAIN, TEST = "train", "test"
 
@@ -89,7 +89,7 @@ def stratified_quotas(counts: dict, n_test: int) -> dict:
 
 
 def _apply_group_cuts(df: DataFrame, target: str, h: Column, key: str, cuts: dict, col: str, label) -> DataFrame:
-    """Join the (broadcast, size-checked) per-class cut table and compare each row."""
+    """Join the per-class cut table (broadcast up to ``MAX_TARGETS`` classes) and compare each row."""
     spark = df.sparkSession
     ttype = df.schema[target].dataType
     htype, ktype = T.LongType(), df.schema[key].dataType
@@ -99,9 +99,7 @@ def _apply_group_cuts(df: DataFrame, target: str, h: Column, key: str, cuts: dic
         T.StructField("_fixed", T.IntegerType()),
     ])
     rows = [(c, [tuple(x) for x in v[0]], v[1]) for c, v in cuts.items()]
-    if len(rows) > MAX_GROUPS:
-        raise ValueError("too many classes to broadcast cut points")
-    table = F.broadcast(spark.createDataFrame(rows, schema))
+    table = small_table(spark.createDataFrame(rows, schema), len(rows))
     joined = df.withColumn("_h", h).join(table, df[target].eqNullSafe(table["_cls"]))
     n_before = F.size(F.filter("_cuts", lambda c: (c["a"] < F.col("_h")) | ((c["a"] == F.col("_h")) & (c["b"] <= F.col(key)))))
     idx = F.coalesce(F.col("_fixed"), n_before)

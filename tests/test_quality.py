@@ -59,3 +59,9 @@ def test_drop_missing_target(spark):
     assert quality.drop_missing_target(df, "y").count() == 1
     with pytest.raises(ValueError):
         quality.drop_missing_target(df.where(F.col("y").isNull()), "y")
+
+
+def test_duplicates_tell_missing_cells_apart(spark):
+    df = spark.createDataFrame([("x", None), (None, "x"), ("x", None), (None, None)], "a string, b string")
+    assert quality.duplicate_report(df).first()["duplicate_rows"] == 1
+    assert quality.duplicate_report(df.limit(0)).first()["duplicate_percentage"] == 0.0

@@ -101,3 +101,10 @@ def test_hash_threshold_split(spark, sf):
     assert abs(t - 0.2 * n) < 4 * (0.2 * 0.8 * n) ** 0.5  # right in expectation, no job needed
     b = split.split_random(o, "o_orderkey", 0.2, 42, exact=False)
     assert a.where("split = 'test'").select("o_orderkey").collect() == b.where("split = 'test'").select("o_orderkey").collect()
+
+
+def test_thirty_thousand_classes(spark):
+    n = 30_000
+    df = spark.range(5 * n).withColumn("c", F.col("id") % n)
+    got = split.kfold_stratified(df, "id", "c", 5).groupBy("c").agg(F.count_distinct("fold").alias("k")).groupBy("k").count().collect()
+    assert [(r["k"], r["count"]) for r in got] == [(5, n)]
