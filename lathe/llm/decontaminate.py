@@ -4,9 +4,10 @@ A document leaks an item of ``m`` words if one of its windows of ``m`` words is
 ``floor(edits * m)`` word edits (insert, delete, replace) of the item. Words are runs of
 letters and digits, lower-cased.
 
-1. Windows that cannot be that close are passed over: an edit spoils one word and two word
-   pairs at most, so a close window has at least m - e words and m - 1 - 2e word pairs that
-   the benchmark has. Sums over the whole text find those windows; the count loses nothing.
+1. Windows that cannot be that close are passed over: an edit spoils two word pairs at most,
+   so a close window has at least m - 1 - 2e pairs (or m - e words, where that is none) of the
+   items of its size. Only where so many stand close together are there windows to look at;
+   the count loses nothing.
 2. The rest are embedded by the CGK random walk: at each of 3m steps the walk writes the word
    it stands on and then stays or moves on by a random bit of (step, word). Texts at a small
    edit distance become strings at a small Hamming distance.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.tokens import LOWER, NON_WORD, Texts, buffer_of, mixed, slices, split, window_names
+from lathe.llm.tokens import LOWER, NON_WORD, SLICE_BYTES, Texts, buffer_of, mixed, slices, split, window_names
 
 EDITS = 0.2
 BITS = 2
@@ -50,30 +51,33 @@ def _words(texts: pa.Array) -> Texts:
     return split(LOWER[buf], offsets, NON_WORD)
 
 
-def walk(windows: np.ndarray, repeat: int, steps: np.ndarray) -> np.ndarray:
-    """What the ``repeat``-th CGK walk writes at ``steps`` (ascending), a row for each window
-    (a row of word names)."""
+def walks(windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """What the CGK walks of all repeats write at their ``steps`` (a row, ascending, for each
+    repeat); by repeat, window (a row of word names) and step. All walk abreast."""
     n, m = windows.shape
     flat = np.concatenate([windows, np.full((n, 1), _PAD)], axis=1).ravel()
-    at, top = np.arange(n) * (m + 1), np.arange(n) * (m + 1) + m
-    out, k = np.empty((n, len(steps)), dtype=np.uint64), 0
-    for j in range(int(steps[-1]) + 1):
+    at = np.broadcast_to(np.arange(n) * (m + 1), (len(steps), n))
+    top = np.arange(n)[None, :] * (m + 1) + m
+    own = np.arange(len(steps), dtype=np.uint64)[:, None] * np.uint64(0x100000001B3)
+    out = np.empty((len(steps), n, steps.shape[1]), dtype=np.uint64)
+    for j in range(int(steps.max()) + 1):
         symbol = flat[at]
-        if j == steps[k]:
-            out[:, k] = symbol
-            k += 1
-        move = mixed(symbol + np.uint64((repeat * 0x100000001B3 + j * 0x9E3779B97F4A7C15 + 1) % 2**64)) >> np.uint64(63)
+        repeat, k = np.nonzero(steps == j)
+        out[repeat, :, k] = symbol[repeat]
+        move = mixed(symbol + own + np.uint64((j * 0x9E3779B97F4A7C15 + 1) % 2**64)) >> np.uint64(63)
         at = np.minimum(at + move.astype(np.int64), top)
     return out
 
 
-def sampled(windows: np.ndarray, repeat: int, bits: int) -> np.ndarray:
-    """LSH keys of windows: the sampled steps of a walk as one name."""
+def sampled(windows: np.ndarray, repeats: int, bits: int) -> np.ndarray:
+    """LSH keys of windows, a row for each repeat: the sampled steps of its walk as one name."""
     m = windows.shape[1]
-    steps = np.sort(np.random.default_rng((repeat, m)).choice(2 * m, min(bits, 2 * m), replace=False))
-    key = np.full(len(windows), np.uint64(repeat + 1))
-    for column in walk(windows, repeat, steps).T:
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    rng = [np.random.default_rng((r, m)) for r in range(repeats)]
+    steps = np.stack([np.sort(g.choice(2 * m, min(bits, 2 * m), replace=False)) for g in rng])
+    seen = walks(windows, steps)
+    key = np.broadcast_to(np.arange(1, repeats + 1, dtype=np.uint64)[:, None], (repeats, len(windows)))
+    for k in range(seen.shape[2]):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + seen[:, :, k])
     return key
 
 
@@ -119,8 +123,14 @@ class Items:
         self.groups = []
         for m, rows in sorted(by_size.items()):
             grams = np.stack([names[first[i] : first[i] + m] for i in rows])
-            tables = [_Table(sampled(grams, r, bits)) for r in range(repeats)]
-            self.groups.append((m, int(edits * m), np.array(rows), grams, tables))
+            limit = int(edits * m)
+            by_pairs = m - 1 - 2 * limit >= 1
+            if by_pairs:
+                own = np.isin(self.pairs.names, np.concatenate([window_names(g, 2) for g in grams]))
+            else:
+                own = np.isin(self.words.names, grams.ravel())
+            tables = [_Table(keys) for keys in sampled(grams, repeats, bits)]
+            self.groups.append((m, limit, by_pairs, own, np.array(rows), grams, tables))
 
     def search(self, words: Texts) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits) of all leaks."""
@@ -128,20 +138,15 @@ class Items:
         if not n or not self.groups:
             return []
         names, first = words.names(), words.first
-        known = np.concatenate([[0], np.cumsum(self.words.flags(names))])
-        pairs = np.concatenate([[0], np.cumsum(self.pairs.flags(window_names(names, 2)))])
-        end = first[1:][np.repeat(np.arange(len(first) - 1), np.diff(first))]
+        hits = {True: self.pairs.find(window_names(names, 2)), False: self.words.find(names)}
         out = []
-        for m, limit, rows, grams, tables in self.groups:
-            if n < m:
-                continue
-            ok = known[m:] - known[:-m] >= m - limit
-            if m > 1:
-                ok &= pairs[m - 1 :] - pairs[: len(pairs) - m + 1] >= m - 1 - 2 * limit
-            at = np.flatnonzero(ok)
-            at = at[at + m <= end[at]]
-            for lo in range(0, len(at), 20_000):
-                out += self._near(names, at[lo : lo + 20_000], m, limit, rows, grams, tables)
+        for m, limit, by_pairs, own, rows, grams, tables in self.groups:
+            at, place = hits[by_pairs]
+            at = _dense(at[own[place]], m - 1 if by_pairs else m, m - 1 - 2 * limit if by_pairs else m - limit)
+            at = at[(at >= 0) & (at + m <= n)]
+            at = at[at + m <= first[np.searchsorted(first, at, side="right")]]
+            for lo in range(0, len(at), 5_000):
+                out += self._near(names, at[lo : lo + 5_000], m, limit, rows, grams, tables)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for start, item, m, edits in out:
             text = int(np.searchsorted(first, start, side="right")) - 1
@@ -151,7 +156,7 @@ class Items:
 
     def _near(self, names, at, m, limit, rows, grams, tables) -> list[tuple[int, int, int, int]]:
         windows = names[at[:, None] + np.arange(m)]
-        met = [table.pairs(sampled(windows, r, self.bits)) for r, table in enumerate(tables)]
+        met = [table.pairs(keys) for table, keys in zip(tables, sampled(windows, self.repeats, self.bits), strict=True)]
         met = np.unique(np.concatenate(met), axis=0)
         out = []
         for lo in range(0, len(met), 50_000):
@@ -171,13 +176,26 @@ class _Known:
         self.bits = np.zeros(1 << int(64 - self.shift), dtype=bool)
         self.bits[self.names >> self.shift] = True
 
-    def flags(self, names: np.ndarray) -> np.ndarray:
-        out = self.bits[names >> self.shift]
-        at = np.flatnonzero(out)
-        if len(at):
-            place = np.minimum(np.searchsorted(self.names, names[at]), len(self.names) - 1)
-            out[at] = self.names[place] == names[at]
-        return out
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where names of the set stand, and which ones they are."""
+        at = np.flatnonzero(self.bits[names >> self.shift])
+        place = np.minimum(np.searchsorted(self.names, names[at]), max(len(self.names) - 1, 0))
+        hit = self.names[place] == names[at] if len(self.names) else np.zeros(len(at), dtype=bool)
+        return at[hit], place[hit]
+
+
+def _dense(at: np.ndarray, span: int, least: int) -> np.ndarray:
+    """All starts of spans with at least ``least`` (one or more) of the positions ``at``."""
+    if len(at) < least:
+        return np.zeros(0, np.int64)
+    lo, hi = at[least - 1 :] - (span - 1), at[: len(at) - least + 1]
+    lo, hi = lo[lo <= hi], hi[lo <= hi]
+    if not len(lo):
+        return np.zeros(0, np.int64)
+    # ranges lo..hi ascend in both ends: cut off what the range before has
+    lo = np.maximum(lo, np.concatenate([[lo[0]], hi[:-1] + 1]))
+    count = np.maximum(hi - lo + 1, 0)
+    return np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
 class _Table:
@@ -227,7 +245,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = Items(*sent.value, edits, bits, repeats)
-            for piece in slices(batches, "text"):
+            for piece in slices(batches, "text", 4 * SLICE_BYTES):
                 hits = items.search(_words(piece.column(1)))
                 docs = piece.column(0).to_pylist()
                 cols = list(zip(*[(docs[t], items.ids[i], start, m, e) for t, i, start, m, e in hits], strict=True)) or [[]] * 5
