@@ -193,7 +193,8 @@ def _sample(documents: DataFrame, labels: DataFrame, train: Column, rows: int) -
     limit = F.when(F.col("toxic") == 1, F.lit(int(share.get(1, 1) * 1_000_000))).otherwise(int(share.get(0, 1) * 1_000_000))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
     picked = known.where(spot < limit).select("doc_id", "toxic", half.alias("half"))
-    return documents.join(picked, "doc_id").select("text", "toxic", "half")
+    # about 2 * rows ids: small enough to broadcast, so texts are not shuffled
+    return documents.join(F.broadcast(picked), "doc_id").select("text", "toxic", "half")
 
 
 def fit(documents: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = SAMPLE_ROWS) -> Model:
