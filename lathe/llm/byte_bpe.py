@@ -27,9 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathe.llm.scratch import small_batches
+
 LEAF = 48
-#: Pieces whose ids a worker remembers.
-_REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers (about 200 bytes each).
+_REMEMBERED = 150_000
 _WINDOW = 4
 
 
@@ -184,11 +186,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 def _added(df: DataFrame, run, out: str, kind: str) -> DataFrame:
     if out in df.columns:
         raise ValueError(f"there is a column {out} already: name another")
+    small_batches(df.sparkSession)
     schema = df.select("*", F.lit(None).cast(kind).alias(out)).schema
     return df.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas), ``decoded_sha256``."""
+    """Add ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas), ``decoded_sha256``;
+    columns so named are replaced."""
     joined = F.concat_ws(",", F.col(ids).cast("array<string>"))
     return df.withColumns({"n_tokens": F.size(ids).cast("long"), "ids_sha256": F.sha2(joined, 256), "decoded_sha256": F.sha2(F.col(decoded), 256)})

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathe.llm.scratch import small_batches
 from lathe.llm.tokens import LOWER, NON_WORD, SLICE_BYTES, Texts, buffer_of, mixed, slices, split, window_names
 
 EDITS = 0.2
@@ -237,6 +238,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     sampled of a walk and number of walks (more walks: more recall; more steps: fewer
     candidates).
     """
+    small_batches(documents.sparkSession)
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = []

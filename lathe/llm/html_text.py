@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.scratch import written
+from lathe.llm.scratch import small_batches, written
 from lathe.llm.url_filter import host_of
 
 MIN_PAGES = 10
@@ -284,6 +284,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of each page."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
 

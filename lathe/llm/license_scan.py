@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathe.llm.scratch import small_batches
 from lathe.llm.tokens import LOWER, NON_WORD, Texts, buffer_of, slices, split, window_names
 
 #: The base phrases and their labels.
@@ -249,6 +250,7 @@ class Scanner:
 def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, list[str]] = TEMPLATES) -> DataFrame:
     """For each row: ``doc_id``, ``n_words``, ``places`` (array of first word and label of each
     phrase found) and ``spans`` (array of first word, end, label, share of the template)."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     phrases, templates = dict(phrases), {k: list(v) for k, v in templates.items()}
     place = pa.struct([("word", pa.int64()), ("label", pa.string())])

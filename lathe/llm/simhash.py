@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathe.llm.components import components
-from lathe.llm.scratch import written
+from lathe.llm.scratch import small_batches, written
 from lathe.llm.tokens import LOWER, SPACES, buffer_of, slices, split
 
 SHINGLE = 4
@@ -83,6 +83,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
             fp = fingerprint_bits(*shingle_hashes(piece.column(1), shingle))
             yield pa.record_batch([piece.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 

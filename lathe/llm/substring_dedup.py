@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.scratch import written
+from lathe.llm.scratch import small_batches, written
 from lathe.llm.tokens import SPACES, Texts, buffer_of, fits, mixed, slices, split, window_names
 
 WINDOW = 13
@@ -258,6 +258,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     if not _SLACK + 2 <= window <= 64:
         raise ValueError("window must be from 9 to 64 words")
+    small_batches(documents.sparkSession)
     chunks = written(_chunked(documents, doc_id, text), "chunks", compression="uncompressed")
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(5, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _SEED = np.random.default_rng(20240607)
 _TABLES = [_SEED.integers(0, 2**64, 256, dtype=np.uint64) for _ in range(2)]
@@ -134,6 +134,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # workers live on for other tasks
 
 
 def window_names(names: np.ndarray, size: int, which: int = 0) -> np.ndarray:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.scratch import written
+from lathe.llm.scratch import small_batches, written
 from lathe.llm.tokens import LOWER, NON_WORD, Texts, _poly, buffer_of, mixed, slices, split
 
 #: Bound of the training sample: rows of each class, chosen by a hash of doc_id.
@@ -202,6 +202,7 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column | None = None, ro
 
     ``train``: which doc_ids may be used (default: all but the held-out third).
     """
+    small_batches(documents.sparkSession)
     train = ~held_out(F.col("doc_id")) if train is None else train
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
@@ -292,6 +293,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) and ``passages`` (array of start word, end word, score;
     those with P <= SIGNIFICANT) for each row."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sent = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
 
@@ -310,6 +312,7 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
 def without_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``documents`` (all columns) whose text scores less than ``threshold``."""
+    small_batches(documents.sparkSession)
     position = documents.columns.index(text)
     sent = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
 
