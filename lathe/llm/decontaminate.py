@@ -1,8 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 A document leaks an item of ``m`` words if one of its windows of ``m`` words is within
-``floor(edits * m)`` word edits (insert, delete, replace) of the item. Words are runs of
-letters and digits, lower-cased.
+``floor(edits * m)`` word edits (insert, delete, replace) of the item; with
+``short_texts``, so does a document of fewer than ``m`` words whose whole text is. Words are runs of letters and digits, lower-cased.
 
 1. Windows that cannot be that close are passed over: an edit spoils two word pairs at most,
    so a close window has at least m - 1 - 2e pairs (or m - e words, where that is none) of the
@@ -10,7 +10,8 @@ letters and digits, lower-cased.
    the count loses nothing.
 2. The rest are embedded by the CGK random walk: at each of 3m steps the walk writes the word
    it stands on and then stays or moves on by a random bit of (step, word). Texts at a small
-   edit distance become strings at a small Hamming distance.
+   edit distance become strings at a small Hamming distance. A text that is shorter than the item
+   is padded with what a walk writes after its text's end.
 3. ``repeats`` independent walks each sample ``bits`` steps; a window and an item of its size
    that agree on all sampled steps of a walk are a candidate pair.
 4. A banded dynamic program over the words of each candidate pair gives the exact distance.
@@ -83,9 +84,11 @@ def sampled(windows: np.ndarray, repeats: int, bits: int) -> np.ndarray:
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Word edit distances of the rows of two arrays of one shape; over ``limit``: limit + 1."""
-    n, m = a.shape
+    """Word edit distances of the rows of two arrays of as many rows; over ``limit``: limit + 1."""
+    (n, m), long = a.shape, b.shape[1]
     width, far = 2 * limit + 1, limit + 1
+    if abs(long - m) > limit:
+        return np.full(n, far, dtype=np.int32)
     # band[:, d]: distance of a[:i] and b[:i + d - limit]
     band = np.full((n, width), far, dtype=np.int32)
     for d in range(limit, width):
@@ -94,7 +97,7 @@ def edit_distances(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         new = np.full((n, width), far, dtype=np.int32)
         for d in range(width):
             j = i + d - limit
-            if not 0 <= j <= m:
+            if not 0 <= j <= long:
                 continue
             best = np.full(n, i, dtype=np.int32) if j == 0 else band[:, d] + (a[:, i - 1] != b[:, j - 1])
             if d + 1 < width:
@@ -103,16 +106,16 @@ def edit_distances(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
                 best = np.minimum(best, new[:, d - 1] + 1)
             new[:, d] = np.minimum(best, far)
         band = new
-    return band[:, limit]
+    return band[:, limit + long - m]
 
 
 class Items:
     """A block of benchmark items, prepared for search."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], edits: float, bits: int, repeats: int) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str | None], edits: float, bits: int, repeats: int, short_texts: bool = False) -> None:
         words = _words(pa.array(texts, pa.large_string()))
         names, first = words.names(), words.first
-        self.ids, self.edits, self.bits, self.repeats = ids, edits, bits, repeats
+        self.ids, self.edits, self.bits, self.repeats, self.short_texts = ids, edits, bits, repeats, short_texts
         by_size: dict[int, list[int]] = defaultdict(list)
         for i, n in enumerate(np.diff(first).tolist()):
             if n:
@@ -139,6 +142,7 @@ class Items:
         if not n or not self.groups:
             return []
         names, first = words.names(), words.first
+        sizes = np.diff(first)
         hits = {True: self.pairs.find(window_names(names, 2)), False: self.words.find(names)}
         out = []
         for m, limit, by_pairs, own, rows, grams, tables in self.groups:
@@ -147,24 +151,39 @@ class Items:
             at = at[(at >= 0) & (at + m <= n)]
             at = at[at + m <= first[np.searchsorted(first, at, side="right")]]
             for lo in range(0, len(at), 5_000):
-                out += self._near(names, at[lo : lo + 5_000], m, limit, rows, grams, tables)
+                out += self._near(names, at[lo : lo + 5_000], m, m, limit, rows, grams, tables)
+            if not self.short_texts:
+                continue
+            # texts too short for a window, as a whole
+            short = np.flatnonzero((sizes < m) & (sizes >= max(1, m - limit)))
+            if len(short):
+                at, place = hits[by_pairs]
+                at = at[own[place]]
+                held = np.searchsorted(at, first[1:][short]) - np.searchsorted(at, first[:-1][short])
+                short = short[held >= (m - 1 - 2 * limit if by_pairs else m - limit)]
+            for size in np.unique(sizes[short]).tolist():
+                at = first[:-1][short[sizes[short] == size]]
+                for lo in range(0, len(at), 5_000):
+                    out += self._near(names, at[lo : lo + 5_000], size, m, limit, rows, grams, tables)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for start, item, m, edits in out:
+        for start, item, size, edits in out:
             text = int(np.searchsorted(first, start, side="right")) - 1
-            found = (edits, start - int(first[text]), m)
+            found = (edits, start - int(first[text]), size)
             best[text, item] = min(best.get((text, item), found), found)
-        return [(t, i, start, m, edits) for (t, i), (edits, start, m) in best.items()]
+        return [(t, i, start, size, edits) for (t, i), (edits, start, size) in best.items()]
 
-    def _near(self, names, at, m, limit, rows, grams, tables) -> list[tuple[int, int, int, int]]:
-        windows = names[at[:, None] + np.arange(m)]
-        met = [table.pairs(keys) for table, keys in zip(tables, sampled(windows, self.repeats, self.bits), strict=True)]
+    def _near(self, names, at, size, m, limit, rows, grams, tables) -> list[tuple[int, int, int, int]]:
+        """Items of m words that the windows of ``size`` words (m at most) come close to."""
+        windows = names[at[:, None] + np.arange(size)]
+        padded = np.pad(windows, ((0, 0), (0, m - size)), constant_values=_PAD)
+        met = [table.pairs(keys) for table, keys in zip(tables, sampled(padded, self.repeats, self.bits), strict=True)]
         met = np.unique(np.concatenate(met), axis=0)
         out = []
         for lo in range(0, len(met), 50_000):
             w, k = met[lo : lo + 50_000].T
             edits = edit_distances(windows[w], grams[k], limit)
             close = edits <= limit
-            out += zip(at[w[close]].tolist(), rows[k[close]].tolist(), [m] * int(close.sum()), edits[close].tolist(), strict=True)
+            out += zip(at[w[close]].tolist(), rows[k[close]].tolist(), [size] * int(close.sum()), edits[close].tolist(), strict=True)
         return out
 
 
@@ -230,13 +249,14 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[lis
         yield ids, texts
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS, bits: int = BITS, repeats: int = REPEATS) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS, bits: int = BITS, repeats: int = REPEATS, short_texts: bool = False) -> DataFrame:
     """One row for each document and item that it leaks: ``doc_id``, ``item_id``,
     ``first_word`` and ``n_words`` of the closest window, ``edits`` (its distance).
 
     ``edits``: share of an item's words that may be edited; ``bits``, ``repeats``: steps
     sampled of a walk and number of walks (more walks: more recall; more steps: fewer
-    candidates).
+    candidates); ``short_texts``: whether whole texts of fewer words than an item has are
+    compared with it, too (off: windows of the item's size only).
     """
     small_batches(documents.sparkSession)
     spark = documents.sparkSession
@@ -246,7 +266,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         sent = spark.sparkContext.broadcast((ids, texts))  # BLOCK_BYTES at most
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(*sent.value, edits, bits, repeats)
+            items = Items(*sent.value, edits, bits, repeats, short_texts)
             for piece in slices(batches, "text", 4 * SLICE_BYTES):
                 hits = items.search(_words(piece.column(1)))
                 docs = piece.column(0).to_pylist()

@@ -108,3 +108,52 @@ def test_blocks_and_edge_cases(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     bad = {r[0] for r in whole} - {None}
     assert sorted((r.doc_id for r in dc.clean(a, b, repeats=60).collect()), key=str) == sorted((d for d, _ in docs if d not in bad), key=str)
+
+
+def test_distances_of_unequal_lengths():
+    rnd = np.random.default_rng(1)
+    for m in range(1, 10):
+        a, b = rnd.integers(0, 3, (200, m)).astype(np.uint64), rnd.integers(0, 3, (200, 9)).astype(np.uint64)
+        for limit in (0, 1, 3, 9):
+            want = [min(distance(list(x), list(y)), limit + 1) for x, y in zip(a, b, strict=True)]
+            assert dc.edit_distances(a, b, limit).tolist() == want
+
+
+def test_documents_shorter_than_an_item(spark):
+    rnd = random.Random(11)
+    items = [(k, " ".join(f"q{rnd.randint(0, 900)}" for _ in range(m))) for k, m in enumerate([5, 6, 10, 20, 40])]
+    docs, want = [], []
+    for item, q in items:
+        for less in range(1, len(q.split()) // 5 + 2):
+            w = q.split()
+            for at in sorted(rnd.sample(range(len(w)), less), reverse=True):
+                w.pop(at)
+            docs.append((len(docs), " ".join(w)))
+            if less <= int(dc.EDITS * len(q.split())):
+                want.append((len(docs) - 1, item, 0, len(w), less))
+    docs += [(500, "elsewhere " * 9), (501, "q1"), (502, "")]
+    assert run(spark, docs, items, repeats=60, short_texts=True) == sorted(want, key=str)
+    near = [r for r in want if r[4] == 1]
+    assert len(near) == len(items) and set(near) <= set(run(spark, docs, items, short_texts=True))
+
+
+def test_windows_and_short_documents_together(spark):
+    docs, items = corpus()
+    want = brute(docs, items)
+    for d, t in docs:
+        w = WORDS.findall(t.lower())
+        for i, x in items:
+            q = x.lower().split()
+            if w and len(w) < len(q) and distance(w, q) <= int(dc.EDITS * len(q)):
+                want.append((d, i, 0, len(w), distance(w, q)))
+    assert any(r[3] < len(dict(items)[r[1]].split()) for r in want)
+    assert run(spark, docs, items, repeats=60, short_texts=True) == sorted(want, key=str)
+
+
+def test_query_looks_at_short_documents(spark, tmp_path):
+    from lathe.llm import queries
+
+    item = "one two three four five six seven eight"
+    spark.createDataFrame([(1, item.rsplit(" ", 1)[0]), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in queries.op6_decontamination(spark, str(tmp_path)).collect()] == [(1, 7, 0, 7, 1)]
