@@ -12,8 +12,8 @@
    projection: its length, scaled up, estimates the distance. Pairs whose estimate exceeds the
    query's bound by more than the test allows (``EPSILON`` standard deviations of the estimate,
    shrinking as more columns are read) are given up. The bound is the query's k-th distance
-   within the sample, which can't be less than the true one. Survivors get the exact distance
-   on the original vectors in double precision.
+   within the sample, a row for each id, which can't be less than the true one. Survivors get
+   the exact distance on the original vectors in double precision.
 5. The groups' best k of each query meet, and the best k of all remain.
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or do not
@@ -65,7 +65,7 @@ class Index:
         """An upper bound of each query's k-th squared distance."""
         if len(self.ids) < k + 1:
             return np.full(len(x), np.inf)
-        d = _squares(x, self.vectors)
+        d = _squares(x, self.vectors)  # a row for each id, so k of them are k candidates
         d[ids[:, None] == self.ids[None, :]] = np.inf
         return np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-9
 
@@ -100,17 +100,19 @@ def _probes(x: np.ndarray, centres: np.ndarray, k: int, target: float, rng: np.r
     return int(np.searchsorted(share, target) + 1)
 
 
-def fit(valid: DataFrame, rows: int, k: int, target: float) -> Index:
-    """Lists, rotation and probes from about ``SAMPLE`` vectors, chosen by a hash of the id."""
+def fit(distinct: DataFrame, rows: int, k: int, target: float) -> Index:
+    """Lists, rotation and probes from about ``SAMPLE`` vectors, chosen by a hash of the id;
+    ``distinct`` has a row for each id and vector."""
     spot = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000))
-    sample = valid.where(spot < math.ceil(min(1.0, SAMPLE / max(rows, 1)) * 1_000_000)).orderBy("vec_id").limit(2 * SAMPLE).toArrow()
+    sample = distinct.where(spot < math.ceil(min(1.0, SAMPLE / max(rows, 1)) * 1_000_000)).orderBy("vec_id").limit(2 * SAMPLE).toArrow()
     ids = sample.column("vec_id").to_numpy()
     x = _matrix(sample.column("vector").combine_chunks(), len(ids))
     rng = np.random.default_rng(7)
     rotation, _ = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))
     lists = max(1, min(MAX_LISTS, round(math.sqrt(rows) / 4), len(x) // 20))
     centres = _means(x, lists, rng) if len(x) else x
-    return Index(centres, rotation, _probes(x, centres, k, target, rng) if len(x) else 0, ids[:BOUNDS], x[:BOUNDS])
+    once = np.unique(ids, return_index=True)[1][:BOUNDS]
+    return Index(centres, rotation, _probes(x, centres, k, target, rng) if len(x) else 0, ids[once], x[once])
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -172,6 +174,8 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     nearest found of each row of ``table`` for which ``is_query`` (over ``vec_id``) holds."""
     spark = table.sparkSession
     valid = _valid(table, vec_id, vector)
+    # repeated rows count once, in the sample as well
+    valid = written(valid.groupBy("vec_id", "vector").agg(F.lit(1).alias("one")).select("vec_id", "vector"), "distinct")
     sizes = valid.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -179,8 +183,7 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     index = fit(valid, sizes[0].n, k, target)
     sent = spark.sparkContext.broadcast(index)  # SAMPLE bounds it
     nearest_ids = Window.partitionBy("vector").orderBy("vec_id")
-    distinct = valid.groupBy("vec_id", "vector").agg(F.lit(1).alias("one")).select("vec_id", "vector")
-    kept = distinct.withColumn("nth", F.row_number().over(nearest_ids)).where(F.col("nth") <= k + 1).select("vec_id", "vector")
+    kept = valid.withColumn("nth", F.row_number().over(nearest_ids)).where(F.col("nth") <= k + 1).select("vec_id", "vector")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +209,8 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
             rows, at = np.nonzero(picked)
             yield pa.record_batch([pa.array(ids[rows]), batch.column(1).take(pa.array(rows)), pa.array(own.bounds(ids, x, k)[rows]), pa.array(order[rows, at].astype(np.int32))], names=["vec_id", "vector", "bound", "list"])
 
-    asked = valid.where(is_query).select("vec_id", "vector").groupBy("vec_id", "vector").agg(F.lit(1).alias("one")).select("vec_id", "vector")
+    asked = valid.where(is_query)
     asked = written(asked.mapInArrow(probe, "vec_id long, vector array<double>, bound double, list int"), "queries")
-    queries = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
 
     def cut(count: dict[int, int]) -> Column:
         return F.element_at(F.array(*[F.lit(math.ceil(max(count.get(i, 0), 1) / PART)) for i in range(lists)]), F.col("list") + 1)
@@ -218,10 +220,6 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
         mine = F.pmod(F.xxhash64("vec_id"), own).cast("int").alias(names[0])
         return rows.select("*", mine, F.explode(F.sequence(F.lit(0), other.cast("int") - 1)).alias(names[1]))
 
-    parts, blocks = cut(held), cut(queries)
-    left = spread(filed, parts, blocks, ("part", "block")).groupBy("list", "part", "block")
-    right = spread(asked, blocks, parts, ("block", "part")).groupBy("list", "part", "block")
-
     def group(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         a, b = candidates.combine_chunks(), queries.combine_chunks()
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -230,6 +228,10 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
             found = _best(a.column("vec_id").to_numpy(), x, b.column("vec_id").to_numpy(), q, b.column("bound").to_numpy(), sent.value.rotation, k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
+    queries = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    parts, blocks = cut(held), cut(queries)
+    left = spread(filed, parts, blocks, ("part", "block")).groupBy("list", "part", "block")
+    right = spread(asked, blocks, parts, ("block", "part")).groupBy("list", "part", "block")
     near = left.cogroup(right).applyInArrow(group, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -71,3 +71,15 @@ def test_edge_cases(spark):
     assert got[100][0][2] == 0.0 and got[200][0][2] == 2**0.5
     for rows in ([], bad, [(100, [1.0, 2.0])]):
         assert answers(nn.search(frame(spark, rows), F.col("vec_id") % 100 == 0)) == {}
+
+
+def test_repeated_rows_do_not_tighten_the_bound(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[7]] * 200 + [r for r in rows[40:60] for _ in range(15)]
+    got = answers(nn.search(frame(spark, rows), F.col("vec_id") % 20 == 0, target=1.0))
+    want = brute(rows[:400], 20)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(want, 10)
+    hits = sum(len({j for _, j, _ in got[q]} & {j for _, j in want[q]}) for q in want)
+    assert hits >= 0.97 * 10 * len(want)
