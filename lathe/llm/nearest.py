@@ -15,6 +15,8 @@
    within the sample, a row for each id, which can't be less than the true one. Survivors get
    the exact distance on the original vectors in double precision.
 5. The groups' best k of each query meet, and the best k of all remain.
+6. A query that is left with fewer than k (true neighbours in lists it doesn't probe, or given
+   up by the test) scans its probed lists again without a bound.
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or do not
 have the most common length (the longer of equally common ones) take no part, as queries or as
@@ -228,10 +230,19 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
             found = _best(a.column("vec_id").to_numpy(), x, b.column("vec_id").to_numpy(), q, b.column("bound").to_numpy(), sent.value.rotation, k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
-    queries = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts, blocks = cut(held), cut(queries)
-    left = spread(filed, parts, blocks, ("part", "block")).groupBy("list", "part", "block")
-    right = spread(asked, blocks, parts, ("block", "part")).groupBy("list", "part", "block")
-    near = left.cogroup(right).applyInArrow(group, "query_id long, vec_id long, score double")
+    def met(asked: DataFrame) -> DataFrame:
+        """The best k of each query and group."""
+        queries = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows
+        parts, blocks = cut(held), cut(queries)
+        wanted = filed.where(F.col("list").isin(list(queries)))
+        left = spread(wanted, parts, blocks, ("part", "block")).groupBy("list", "part", "block")
+        right = spread(asked, blocks, parts, ("block", "part")).groupBy("list", "part", "block")
+        return left.cogroup(right).applyInArrow(group, "query_id long, vec_id long, score double")
+
+    near = written(met(asked), "near")
+    full = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = asked.join(full, asked.vec_id == full.query_id, "left_anti")
+    again = written(met(short.withColumn("bound", F.lit(float("inf")))), "again")
+    near = near.join(full, "query_id", "left_semi").unionByName(again)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

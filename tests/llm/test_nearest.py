@@ -83,3 +83,12 @@ def test_repeated_rows_do_not_tighten_the_bound(spark):
     assert {q: len(v) for q, v in got.items()} == dict.fromkeys(want, 10)
     hits = sum(len({j for _, j, _ in got[q]} & {j for _, j in want[q]}) for q in want)
     assert hits >= 0.97 * 10 * len(want)
+
+
+def test_neighbours_in_other_lists_leave_no_holes(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = answers(nn.search(frame(spark, rows), F.col("vec_id") % 10 == 0, target=0.7))
+    assert len(got) == 150
+    for found in got.values():
+        assert [r for r, *_ in found] == list(range(1, 11)) and len({j for _, j, _ in found}) == 10
