@@ -17,6 +17,10 @@ Fit, on a bounded sample of labelled rows:
 3. A logistic curve maps evidence to a score from 0 to 1. Tail and curve are measured on each
    half of the sample with terms counted on the other half.
 
+The sample's classes are bounded apart, so a large table's sample has another mix of classes
+than its rows. A row counts as often in prior and curve as its class stands for training rows
+(``weights``, 1 on the average), so the score does not depend on where the bound cuts.
+
 The model that reaches executors has ``MAX_TERMS`` terms at most, whatever the corpus.
 
 Edge cases: a null or empty text has no passages and the score of no evidence; labels that are
@@ -166,12 +170,14 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _terms(counts: pa.Table, side: str, docs: dict[str, tuple[int, int]]) -> Terms:
-    """Scores from counts of the other half (``side`` a or b) or of all (empty side)."""
+def _terms(counts: pa.Table, side: str, docs: dict[str, tuple[int, int]], weights: tuple[float, float]) -> Terms:
+    """Scores from counts of the other half (``side`` a or b) or of all (empty side);
+    ``weights``: of a toxic and a clean row."""
     a = counts.column(f"toxic{side}").to_numpy().astype(float)
     b = counts.column(f"clean{side}").to_numpy().astype(float)
     n_a, n_b = docs[side]
-    prior, whole = FLAT + INFORMED * (a + b), INFORMED * (n_a + n_b)
+    w_a, w_b = weights
+    prior, whole = FLAT + INFORMED * (w_a * a + w_b * b), INFORMED * (w_a * n_a + w_b * n_b)
     odds = np.log((a + prior) / (n_a + whole)) - np.log((b + prior) / (n_b + whole))
     error = np.sqrt(1 / (a + prior) + 1 / (b + prior))
     shrunk = np.where(odds > 0, np.maximum(odds - Z * error, 0), np.minimum(odds + Z * error, 0))
@@ -183,18 +189,20 @@ def _terms(counts: pa.Table, side: str, docs: dict[str, tuple[int, int]]) -> Ter
     return Terms(names[order], shrunk[keep][order])
 
 
-def _sample(documents: DataFrame, labels: DataFrame, train: Column, rows: int) -> DataFrame:
-    """At most about ``rows`` training rows of each class: text, toxic, half (0 or 1)."""
+def _sample(documents: DataFrame, labels: DataFrame, train: Column, rows: int) -> tuple[DataFrame, dict[int, float]]:
+    """At most about ``rows`` training rows of each class (text, toxic, half: 0 or 1), and the
+    share of each class that they are."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(train)
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1.0, rows / n) for y, n in sizes.items()}
+    cut = {y: max(1, int(min(1.0, rows / n) * 1_000_000)) for y, n in sizes.items()}
     spot = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    limit = F.when(F.col("toxic") == 1, F.lit(int(share.get(1, 1) * 1_000_000))).otherwise(int(share.get(0, 1) * 1_000_000))
+    limit = F.when(F.col("toxic") == 1, F.lit(cut.get(1, 1_000_000))).otherwise(cut.get(0, 1_000_000))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
     picked = known.where(spot < limit).select("doc_id", "toxic", half.alias("half"))
     # about 2 * rows ids: small enough to broadcast, so texts are not shuffled
-    return documents.join(F.broadcast(picked), "doc_id").select("text", "toxic", "half")
+    sample = documents.join(F.broadcast(picked), "doc_id").select("text", "toxic", "half")
+    return sample, {y: n / 1_000_000 for y, n in cut.items()}
 
 
 def fit(documents: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = SAMPLE_ROWS) -> Model:
@@ -206,13 +214,16 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column | None = None, ro
     train = ~held_out(F.col("doc_id")) if train is None else train
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    sample = written(_sample(documents, labels, train, rows), "sample")
+    sample, share = _sample(documents, labels, train, rows)
+    sample = written(sample, "sample")
     n = {(r.toxic, r.half): r.n for r in sample.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
     toxic, clean = (n.get((y, 0), 0) + n.get((y, 1), 0) for y in (1, 0))
     if not toxic or not clean:
         share = toxic / (toxic + clean) if toxic + clean else 0.0
         level = math.log(share / (1 - share)) if 0 < share < 1 else (40.0 if share else -800.0 + 100)
         return Model(Terms(np.zeros(0, np.uint64), np.zeros(0)), 1.0, 1.0, 0.0, level)
+    mean = (toxic / share[1] + clean / share[0]) / (toxic + clean)
+    weights = (1 / share[1] / mean, 1 / share[0] / mean)
     # counted on a half, to score the other
     docs = {"": (toxic, clean), "_0": (n.get((1, 0), 0), n.get((0, 0), 0)), "_1": (n.get((1, 1), 0), n.get((0, 1), 0))}
 
@@ -240,12 +251,13 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column | None = None, ro
     telling = F.lit(False)
     for side, (n_a, n_b) in docs.items():
         a, b = F.col(f"toxic{side}"), F.col(f"clean{side}")
-        prior, whole = F.lit(FLAT) + F.lit(INFORMED) * (a + b), INFORMED * (n_a + n_b)
+        w_a, w_b = weights
+        prior, whole = F.lit(FLAT) + F.lit(INFORMED) * (F.lit(w_a) * a + F.lit(w_b) * b), INFORMED * (w_a * n_a + w_b * n_b)
         odds = F.log((a + prior) / F.lit(n_a + whole)) - F.log((b + prior) / F.lit(n_b + whole))
         telling = telling | (F.abs(odds) > F.lit(Z) * F.sqrt(1 / (a + prior) + 1 / (b + prior)))
     weight = F.abs(F.log((F.col("toxic") + 1) / F.lit(toxic + 2)) - F.log((F.col("clean") + 1) / F.lit(clean + 2)))
     table = counts.where(telling).orderBy(weight.desc(), "name").limit(MAX_TERMS).toArrow().combine_chunks()
-    halves = [_terms(table, "_1", docs), _terms(table, "_0", docs)]
+    halves = [_terms(table, "_1", docs, weights), _terms(table, "_0", docs, weights)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -258,8 +270,9 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column | None = None, ro
     toxic_flags, sizes, found = (seen.column(c).to_pylist() for c in ("toxic", "n_words", "found"))
     rate, often = _tail([s for y, p in zip(toxic_flags, found, strict=True) if not y for s in p], sum(n for y, n in zip(toxic_flags, sizes, strict=True) if not y))
     x = np.log1p([evidence(n, p, rate, often) for n, p in zip(sizes, found, strict=True)])
-    slope, level = _logistic(x, np.array(toxic_flags, dtype=float))
-    return Model(_terms(table, "", docs), rate, often, slope, level)
+    y = np.array(toxic_flags, dtype=float)
+    slope, level = _logistic(x, y, np.where(y > 0, *weights))
+    return Model(_terms(table, "", docs, weights), rate, often, slope, level)
 
 
 def _tail(scores: list[float], n_words: int) -> tuple[float, float]:
@@ -274,15 +287,16 @@ def _tail(scores: list[float], n_words: int) -> tuple[float, float]:
     return rate, often
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0) and level, by Newton steps with a small ridge on the slope."""
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope (at least 0) and level of weighted rows, by Newton steps with a small ridge on
+    the slope."""
     w = np.zeros(2)
     rows = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
         ridge = np.array([0.05, 1e-3])
-        slope = rows.T @ (p - y) + ridge * w
-        bend = (rows * (p * (1 - p))[:, None]).T @ rows + np.diag(ridge)
+        slope = rows.T @ (weights * (p - y)) + ridge * w
+        bend = (rows * (weights * p * (1 - p))[:, None]).T @ rows + np.diag(ridge)
         step = np.linalg.solve(bend, slope)
         w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:

@@ -91,3 +91,17 @@ def test_one_class_or_none(spark):
     for labels, want in (([], 0.0), ([(2, 0), (3, 0)], 0.0), ([(2, 1)], 1.0)):
         model = tx.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
         assert abs(tx.score(df, model).first().score - want) < 1e-6
+
+
+def test_bounded_classes_keep_their_weight(spark):
+    docs, labels = corpus(1200, 9)
+    rnd = random.Random(3)
+    # labels that the text can't tell, so that the curve's level shows in the scores
+    noisy = [(d, int(rnd.random() < (0.8 if y else 0.05))) for d, y in labels]
+    df, known = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(noisy, "doc_id long, toxic int")
+    share = sum(y for _, y in noisy) / len(noisy)
+    means = []
+    for rows in (tx.SAMPLE_ROWS, 200):
+        model = tx.fit(df, known, F.lit(True), rows=rows)
+        means.append(np.mean([r.score for r in tx.score(df, model).collect()]))
+    assert abs(means[0] - share) < 0.02 and abs(means[1] - share) < 0.05
