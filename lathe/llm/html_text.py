@@ -4,7 +4,10 @@
    style), comments, implied ends of paragraphs and list items, stray end tags.
 2. Every block element's subtree is hashed (its tag and, in order, its texts and its children's
    hashes). Spark counts on how many pages of a host each hash stands; a subtree on at least
-   ``MIN_PAGES`` pages and ``SHARE`` of the host's pages belongs to the site's template.
+   ``MIN_PAGES`` pages and ``SHARE`` of the host's pages belongs to the site's template. So
+   does a container (``div``, ``ul``, ...) of one section, language or rotation: one on at
+   least ``MANY_PAGES`` pages that differ and ``MANY_SHARE`` of the host's pages. Copies of a
+   page count once there, as all of a page's own text recurs with it.
 3. A page's text is that of its article (else its main element, else its body) without
    template subtrees and without what its markup itself calls something else: navigation,
    headers and footers of the page, asides, forms, notices, adverts, comments of readers.
@@ -12,7 +15,7 @@
    and stay, however often the site repeats them; so does a subtree with half of the article.
 
 Counts are partial sums, so one host with a third of all pages is no large group, and a host's
-template has at most a page's elements / SHARE hashes. The join of pages with their host's
+template has at most a page's elements / MANY_SHARE hashes. The join of pages with their host's
 template is Spark's choice by size.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
@@ -40,6 +43,8 @@ from lathe.llm.url_filter import host_of
 
 MIN_PAGES = 10
 SHARE = 0.5
+MANY_PAGES = 20
+MANY_SHARE = 0.02
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -228,12 +233,18 @@ def _roots(nodes: list[Node]) -> tuple[list[Node], set[int]]:
     return nodes[:1], out
 
 
-def subtrees(html: str) -> set[int]:
-    """Hashes of the blocks that may be template: with text, and not said to be something else."""
+def _candidates(html: str) -> tuple[set[int], set[int]]:
+    """Hashes of the blocks that may be template, and of the containers among them."""
     nodes = parse(html)
     _measure(nodes)
     _, out = _roots(nodes)
-    return {x.key for x in nodes if x.size and x.tag in BLOCKS and x.tag not in ("html", "body") and id(x) not in out}
+    found = [x for x in nodes if x.size and x.tag in BLOCKS and x.tag not in ("html", "body") and id(x) not in out]
+    return {x.key for x in found}, {x.key for x in found if x.tag in _CONTAINERS}
+
+
+def subtrees(html: str) -> set[int]:
+    """Hashes of the blocks that may be template: with text, and not said to be something else."""
+    return _candidates(html)[0]
 
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -282,7 +293,7 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
     return "\n".join(blocks)
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of each page."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
@@ -291,18 +302,24 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
-                host, page, texts = (batch.column(i).slice(lo, 128) for i in range(3))
-                found = [sorted(x - 2**63 for x in subtrees(t)) for t in texts.to_pylist()]
-                yield pa.record_batch([host, page, pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "keys"])
+                host, page, body, texts = (batch.column(i).slice(lo, 128) for i in range(4))
+                both = [_candidates(t) for t in texts.to_pylist()]
+                # containers first
+                found = [[x - 2**63 for part in (boxes, every - boxes) for x in sorted(part)] for every, boxes in both]
+                yield pa.record_batch([host, page, body, pa.array(found, pa.list_(pa.int64())), pa.array([len(b) for _, b in both], pa.int32())], names=["host", "page", "body", "keys", "boxes"])
 
     known = rows.where("host <> '' AND html IS NOT NULL AND html <> ''")
     once = F.xxhash64("page_id", "html").alias("page")
-    seen = known.select("host", once, "html").mapInArrow(hashes, "host string, page long, keys array<long>")
+    body = F.xxhash64("html").alias("body")
+    seen = known.select("host", once, body, "html").mapInArrow(hashes, "host string, page long, body long, keys array<long>, boxes int")
     # a repeated page counts once
-    seen = written(seen.groupBy("host", "page").agg(F.first("keys").alias("keys")), "subtrees")
+    seen = written(seen.groupBy("host", "page").agg(*[F.first(c).alias(c) for c in ("body", "keys", "boxes")]), "subtrees")
     sizes = seen.groupBy("host").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    counted = seen.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = counted.join(sizes, "host").where(F.col("n") >= F.col("n_pages") * share)
+    bodies = seen.groupBy("host", "body").agg(F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("boxes").alias("boxes"))
+    counted = bodies.select("host", "copies", "boxes", F.posexplode("keys").alias("at", "key")).groupBy("host", "key")
+    counted = counted.agg(F.sum("copies").alias("n"), F.count_if(F.col("at") < F.col("boxes")).alias("n_boxes")).where(F.col("n") >= min_pages)
+    many = (F.col("n_boxes") >= many_pages) & (F.col("n_boxes") >= F.col("n_pages") * many_share)
+    common = counted.join(sizes, "host").where((F.col("n") >= F.col("n_pages") * share) | many)
     template = written(common.groupBy("host").agg(F.collect_set("key").alias("template")), "template")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,3 +73,19 @@ def test_template_of_a_host(spark):
     assert texts[3] == "Title 3\nOwn text 3" and "Imprint" in texts[101] and "Imprint" in texts[201]
     assert texts[305] == "Same line\nown 5"
     assert ht.extract(df.limit(0)).collect() == []
+
+
+def test_unmarked_boilerplate_of_a_part_of_a_host(spark):
+    rows, own = [], {}
+    for i in range(200):
+        extra = "<div><p>Words of the travel desk</p><p>Call the desk</p></div>" if i % 10 == 0 else ""
+        extra += f"<div>Rotation {i % 5 // 2}</div>" if i % 5 < 4 else ""
+        own[i] = [f"Title {i}", f"Own text {i}", *["A common saying"] * (i % 4 == 0)]
+        words = "".join(f"<p>{x}</p>" for x in own[i])
+        words, own[i] = (f"<article>{words}<p>{'tail ' * 30}{i}</p>{extra}</article>", [*own[i], "tail " * 30 + str(i)]) if i % 2 else (f"<div>{words}</div>{extra}", own[i])
+        rows.append((i, "http://a.org/x", f"<html><body>{words}</body></html>"))
+    # copies of one page are no boilerplate
+    rows += [(1000 + i, "http://a.org/y", "<body><div>Copied title</div><div>Copied text</div></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in own} == {i: "\n".join(x) for i, x in own.items()}
+    assert got[1000] == "Copied title\nCopied text"
