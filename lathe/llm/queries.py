@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import byte_bpe, decontaminate, html_text, license_scan, line_dedup, nearest, simhash, substring_dedup, toxicity, url_filter
+from lathe.llm import byte_bpe, decontaminate, html_text, license_scan, line_dedup, nearest, simhash, substring_dedup, top_k, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -72,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_exact_top_k": op11_exact_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.drop_recurring_sql(),
     "op9_url_filter": url_filter.judge_sql(),
+    "op11_exact_top_k": top_k.search_sql(),
 }
