@@ -6,13 +6,14 @@ duplicate rows), Insert an empty user or assistant turn (3); a truncated row tha
 The cheapest edits are taken, of equally cheap ones those with the ASCII-least initials.
 
 1. Equal rows of a turn are one row with a count, so repeats are combined before any shuffle.
-   A row is the first of its role and text if its turn is the least of theirs; that is a join
-   on the row's whole key, which no two rows share.
+   A row is the first of its role and text if its turn is the least of theirs; such keys are
+   joined with the rows on the whole key, which no two rows share.
 2. Rows that may stay (without their texts) are repartitioned by conversation and sorted by turn,
    last first. ``mapInPandas`` carries the costs from each of four states to the end across
    Arrow batches; for each row it leaves one byte, the edit to take in each state. Bytes are
    put out in blocks of ``BLOCK`` rows, so a giant conversation holds one block in memory.
-3. Rows with texts and the blocks, each ahead of its first row, are sorted first turn first. A
+3. Rows with texts, the keys of first rows and the blocks, each ahead of its row, are sorted
+   first turn first, so that texts are never joined. A
    second ``mapInPandas`` follows the edits from the start state and carries the state, the
    running digest and the audit.
 
@@ -102,6 +103,7 @@ class _Conversation:
         self.blank = self.duplicate = self.truncated = self.illegal = self.cost = 0
         self.low = self.high = self.before = None
         self.distinct = 0
+        self.first = False  # of the next row: no equal role and text came before
 
     def put(self, role: str, text: str) -> tuple[str, int, str, str]:
         self.sha.update(("\n" if self.turns else "").encode() + f"{role}:{text}".encode())
@@ -119,12 +121,13 @@ class _Conversation:
         self.cost += 3
         return self.put(role, "")
 
-    def row(self, turned: bool, turn: int, role: str, n: int, blank: bool, first: bool, truncated: bool, text: str) -> list[tuple[str, int, str, str]]:
+    def row(self, turned: bool, turn: int, role: str, n: int, blank: bool, truncated: bool, text: str) -> list[tuple[str, int, str, str]]:
         if turned and turn != self.high:
             self.low, self.high = turn if self.low is None else self.low, turn
             self.distinct += 1
         self.illegal += (self.before is not None and self.before + role[:1] not in _LEGAL) + n - 1
         self.before = role[:1]
+        first, self.first = self.first, False
         if blank or not first:
             self.blank += n * blank
             self.duplicate += n * (not blank)
@@ -173,14 +176,16 @@ def _replay(batches: Iterator[pd.DataFrame], summaries: bool) -> Iterator[pd.Dat
 
     for batch in batches:
         out: list[tuple] = []
-        for conv, turned, turn, role, _, kind, edits, n, blank, first, truncated, text in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+        for conv, turned, turn, role, _, kind, edits, n, blank, truncated, text in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
             if now is None or conv != now.conv:
                 out += closed()
                 now = _Conversation(conv)
             if kind == 1:
                 now.edits, now.at = edits, 0
             elif kind == 2:
-                turns = now.row(turned, turn, role, n, blank, first, truncated, text)
+                now.first = True
+            elif kind == 3:
+                turns = now.row(turned, turn, role, n, blank, truncated, text)
                 if not summaries:
                     out += turns
         if out:
@@ -189,30 +194,28 @@ def _replay(batches: Iterator[pd.DataFrame], summaries: bool) -> Iterator[pd.Dat
         yield pd.DataFrame(out, columns=columns)
 
 
-def faulty(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The distinct rows of each turn: how often (``n``), and the flags ``blank``, ``first`` (of
-    its role and text) and ``truncated``. ``conv`` is ``+id``, ``-`` for null."""
+def turns_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The distinct rows of each turn: how often (``n``), and whether ``blank`` or ``truncated``.
+    ``conv`` is ``+id``, ``-`` for null."""
     words = F.coalesce(F.col(text).cast("string"), F.lit(" "))
     base = rows.select(
         F.coalesce(F.concat(F.lit("+"), F.col(conv_id).cast("string")), F.lit("-")).alias("conv"),
         F.col(turn).isNotNull().alias("turned"),
         F.coalesce(F.col(turn).cast("long"), F.lit(0)).alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit(" ")).alias("role"),
-        F.sha2(words, 256).alias("digest"),
+        F.unhex(F.sha2(words, 256)).alias("digest"),
         words.alias("text"),
     )
-    once = written(base.groupBy(*_KEY).agg(F.count("*").alias("n"), F.first("text").alias("text")), "turns")
-    least = once.groupBy("conv", "role", "digest").agg(F.min(F.struct("turned", "turn")).alias("least"))
-    least = least.select("conv", "least.turned", "least.turn", "role", "digest", F.lit(True).alias("first"))
+    once = base.groupBy(*_KEY).agg(F.count("*").alias("n"), F.first("text").alias("text"))
     trimmed = F.rtrim("text", F.lit(_SPACES))
-    return once.join(least, _KEY, "left").select(
-        *_KEY,
-        "n",
-        (trimmed == "").alias("blank"),
-        F.coalesce("first", F.lit(False)).alias("first"),
-        ((trimmed != "") & ~F.substring(trimmed, -1, 1).isin(".", "!", "?")).alias("truncated"),
-        "text",
-    )
+    late = (trimmed != "") & ~F.substring(trimmed, -1, 1).isin(".", "!", "?")
+    return once.select(*_KEY, "n", (trimmed == "").alias("blank"), late.alias("truncated"), "text")
+
+
+def first_of(turns: DataFrame) -> DataFrame:
+    """The keys of the rows whose role and text no earlier turn of the conversation holds."""
+    least = turns.groupBy("conv", "role", "digest").agg(F.min(F.struct("turned", "turn")).alias("least"))
+    return least.select("conv", "least.turned", "least.turn", "role", "digest")
 
 
 def _code() -> Column:
@@ -224,20 +227,21 @@ def _code() -> Column:
 def _streams(rows: DataFrame, every: DataFrame | None, names: tuple[str, str, str, str]) -> DataFrame:
     """Rows and blocks of edits in the order of the second pass."""
     small_batches(rows.sparkSession)
-    flagged = written(faulty(rows, *names), "flagged")
-    live = flagged.where(~F.col("blank") & F.col("first")).select(*_KEY, _code())
+    turns = written(turns_of(rows, *names), "turns")
+    first = written(first_of(turns), "first")
+    live = turns.where(~F.col("blank")).select(*_KEY, _code()).join(first, _KEY)
     down = live.repartition("conv").sortWithinPartitions("conv", *[F.desc(c) for c in _KEY[1:]])
-    blocks = written(down.mapInPandas(_edit_blocks, "conv string, turned boolean, turn long, role string, digest string, edits binary"), "edits")
-    nothing = {"edits": F.lit(b""), "n": F.lit(0).cast("long"), "blank": F.lit(False), "first": F.lit(False), "truncated": F.lit(False), "text": F.lit("")}
+    blocks = written(down.mapInPandas(_edit_blocks, "conv string, turned boolean, turn long, role string, digest binary, edits binary"), "edits")
+    nothing = {"edits": F.lit(b""), "n": F.lit(0).cast("long"), "blank": F.lit(False), "truncated": F.lit(False), "text": F.lit("")}
 
     def shaped(df: DataFrame, kind: int) -> DataFrame:
         rest = [F.col(c) if c in df.columns else value.alias(c) for c, value in nothing.items()]
         return df.select(*_KEY, F.lit(kind).alias("kind"), *rest)
 
-    both = shaped(blocks, 1).unionByName(shaped(flagged, 2))
+    both = shaped(blocks, 1).unionByName(shaped(first, 2)).unionByName(shaped(turns, 3))
     if every is not None:
         ids = every.select(F.coalesce(F.concat(F.lit("+"), F.col(names[0]).cast("string")), F.lit("-")).alias("conv")).distinct()
-        ids = ids.select("conv", F.lit(False).alias("turned"), F.lit(0).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("digest"))
+        ids = ids.select("conv", F.lit(False).alias("turned"), F.lit(0).cast("long").alias("turn"), F.lit("").alias("role"), F.lit(b"").alias("digest"))
         both = both.unionByName(shaped(ids, 0))
     return both.repartition("conv").sortWithinPartitions(*_KEY, "kind")
 
