@@ -73,13 +73,13 @@ def _back(after: tuple[int, ...], code: int) -> tuple[tuple[int, ...], int]:
     return tuple(c - least for c in cost), edits
 
 
-def _edit_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _edit_blocks(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
     """Rows last first -> blocks of edits, each with the key of its first row."""
     conv, after, edits, key = None, _END, bytearray(), None
     for batch in batches:
         out = []
         for row in zip(*(batch[c].tolist() for c in (*_KEY, "code")), strict=True):
-            if row[0] != conv or len(edits) == BLOCK:
+            if row[0] != conv or len(edits) == block:
                 if edits:
                     out.append((*key, bytes(reversed(edits))))
                     edits.clear()
@@ -231,7 +231,7 @@ def _streams(rows: DataFrame, every: DataFrame | None, names: tuple[str, str, st
     first = written(first_of(turns), "first")
     live = turns.where(~F.col("blank")).select(*_KEY, _code()).join(first, _KEY)
     down = live.repartition("conv").sortWithinPartitions("conv", *[F.desc(c) for c in _KEY[1:]])
-    blocks = written(down.mapInPandas(_edit_blocks, "conv string, turned boolean, turn long, role string, digest binary, edits binary"), "edits")
+    blocks = written(down.mapInPandas(lambda batches: _edit_blocks(batches, BLOCK), "conv string, turned boolean, turn long, role string, digest binary, edits binary"), "edits")
     nothing = {"edits": F.lit(b""), "n": F.lit(0).cast("long"), "blank": F.lit(False), "truncated": F.lit(False), "text": F.lit("")}
 
     def shaped(df: DataFrame, kind: int) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import byte_bpe, conversation_repair, decontaminate, html_text, license_scan, line_dedup, nearest, simhash, substring_dedup, top_k, toxicity, url_filter
+from lathe.llm import byte_bpe, collocations, conversation_repair, decontaminate, html_text, license_scan, line_dedup, nearest, simhash, substring_dedup, top_k, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations")
     return conversation_repair.repair(conversation_repair.damage(table), every=table)
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_exact_top_k": op11_exact_top_k,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -89,5 +94,6 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.drop_recurring_sql(),
     "op9_url_filter": url_filter.judge_sql(),
     "op11_exact_top_k": top_k.search_sql(),
+    "op12_phrase_collocations": collocations.phrases_sql(),
     "op13_conversation_repair": conversation_repair.repair_sql(),
 }

@@ -156,13 +156,13 @@ def survivors(blocks: list[np.ndarray], rests: list[np.ndarray], q_blocks: list[
         at += 1
 
 
-def best(candidates: Part, queries: Part, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(candidates: Part, queries: Part, k: int, pairs: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids and scores: the part's k best of each query."""
     m = len(queries.ids)
     floors = queries.floors.copy()
     # few queries a tile, so that a tile spans many candidates and can compact them
     wide = min(m, 256)
-    tall = max(1, TILE // max(wide, 1))
+    tall = max(1, pairs // max(wide, 1))
     found = []
     for q_lo in range(0, m, wide):
         cut = slice(q_lo, q_lo + wide)
@@ -231,7 +231,7 @@ def search(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     def meet(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found = (np.zeros(0, np.int64),) * 3
         if candidates.num_rows and queries.num_rows:
-            found = best(unpack(candidates, sent.value), unpack(queries, sent.value), k)
+            found = best(unpack(candidates, sent.value), unpack(queries, sent.value), k, TILE)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
     near = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, "query_id long, vec_id long, score long")
