@@ -245,7 +245,7 @@ def _pair_rows(lang: str, chunk: int, symbols: np.ndarray, buckets: int, ids: in
 
 def _paired(buckets: int, ids: int, dtype: str, last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        tokens.release()
         if not own.num_rows:
             return _table([], _SENT_ARROW)
         seq = np.frombuffer(own.column("seq")[0].as_buffer(), "<i4")
@@ -303,7 +303,7 @@ def _ranked(buckets: int, ids: int, dtype: str, min_count: int, answer: bool) ->
                 at += size
                 if len(some):
                     rows.append({"lang": lang, "chunk": chunk, "at": (some + start).astype("<i4").tobytes(), "ids": mine[some].astype("<i8").tobytes()})
-        pa.default_memory_pool().release_unused()  # workers live on for other groups
+        tokens.release()
         return _table(rows, _ANSWER_ARROW)
 
     return run

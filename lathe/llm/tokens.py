@@ -6,7 +6,9 @@ string for each word. All separators used here are ASCII, so bytes and character
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import cache
 
@@ -72,25 +74,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes over which letters are added up at once; bounds the tables of powers, too.
+_SPAN = 1 << 17
+
+
 @cache
-def _powers(which: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n, base = 1 << bits, _BASES[which]
-    inverse = pow(base, -1, 2**64)
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
     out = []
-    for b in (base, inverse):
-        x = np.full(n, b, dtype=np.uint64)
+    for b in (_BASES[which], pow(_BASES[which], -1, 2**64)):
+        x = np.full(_SPAN, b, dtype=np.uint64)
         x[0] = 1
         out.append(np.multiply.accumulate(x))
     return out[0], out[1]
 
 
 def _poly(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(which, max(16, int(len(buf)).bit_length()))
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_TABLES[which][buf] * power[: len(buf)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * inverse[starts]
+    """Polynomials of the bytes from ``starts`` to ``ends`` (in order), span by span of ``buf``."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    power, inverse = _powers(which)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, base + _SPAN, side="right")))
+        own, last = slice(at, stop), int(ends[stop - 1])
+        if last - base > _SPAN:  # one word alone is longer
+            out[at] = _long(buf[base:last], which)
+        else:
+            sums = np.zeros(last - base + 1, dtype=np.uint64)
+            np.cumsum(_TABLES[which][buf[base:last]] * power[: last - base], out=sums[1:])
+            first = starts[own] - base
+            # an empty word at the very end has no power of its own, and needs none
+            out[own] = (sums[ends[own] - base] - sums[first]) * inverse[np.minimum(first, _SPAN - 1)]
+        at = stop
+    return out
+
+
+def _long(word: np.ndarray, which: int) -> np.uint64:
+    power = _powers(which)[0]
+    total, scale = 0, 1
+    for lo in range(0, len(word), _SPAN):
+        part = word[lo : lo + _SPAN]
+        total += scale * int(np.sum(_TABLES[which][part] * power[: len(part)], dtype=np.uint64))
+        scale = scale * pow(_BASES[which], len(part), 2**64) % 2**64
+    return np.uint64(total % 2**64)
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +161,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
-    pa.default_memory_pool().release_unused()  # workers live on for other tasks
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def window_names(names: np.ndarray, size: int, which: int = 0) -> np.ndarray:
