@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.llm.scratch import small_batches
+from lathe.llm.tokens import slices
 
 LEAF = 48
 #: Pieces whose ids a worker remembers (about 200 bytes each).
@@ -141,6 +142,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+#: Bytes of text (or rows of ids) that a worker turns over at once.
+_PIECE_BYTES = 500_000
+_PIECE_ROWS = 256
+
+
+def _encoded(own: Codec, splitter, texts: pa.Array) -> pa.ListArray:  # noqa: ANN001
+    ids = [own.encode(t or "", splitter) for t in texts.to_pylist()]
+    offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def _decoded(own: Codec, lists: pa.ListArray) -> pa.Array:
+    data, offsets = own.decode(lists.flatten())
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    cuts = offsets[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return pa.array([data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out``, the ids (array of int) of the whole ``text``.
 
@@ -153,15 +172,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         import regex
 
         splitter, own = regex.compile(pattern), codec(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                ids = [own.encode(t or "", splitter) for t in piece.column(position).to_pylist()]
-                offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.record_batch([*piece.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*piece.schema.names, out])
+        for piece in slices(batches, text, _PIECE_BYTES):
+            yield pa.record_batch([*piece.columns, _encoded(own, splitter, piece.column(position))], names=[*piece.schema.names, out])
 
-    return _added(df, run, out, "array<int>")
+    return _added(df, run, {out: "array<int>"})
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -171,23 +185,34 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                lists = piece.column(position)
-                data, offsets = own.decode(lists.flatten())
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-                cuts = offsets[np.concatenate([[0], np.cumsum(sizes)])].tolist()
-                raw = [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.record_batch([*piece.columns, pa.array(raw, pa.binary())], names=[*piece.schema.names, out])
+            for lo in range(0, batch.num_rows, _PIECE_ROWS):
+                piece = batch.slice(lo, _PIECE_ROWS)
+                yield pa.record_batch([*piece.columns, _decoded(own, piece.column(position))], names=[*piece.schema.names, out])
+
+    return _added(df, run, {out: "binary"})
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of the ids in one pass: rows go to a worker and back once."""
+    position = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        splitter, own = regex.compile(pattern), codec(path)
+        for piece in slices(batches, text, _PIECE_BYTES):
+            lists = _encoded(own, splitter, piece.column(position))
+            yield pa.record_batch([*piece.columns, lists, _decoded(own, lists)], names=[*piece.schema.names, ids, decoded])
 
-    return _added(df, run, out, "binary")
+    return _added(df, run, {ids: "array<int>", decoded: "binary"})
 
 
-def _added(df: DataFrame, run, out: str, kind: str) -> DataFrame:
-    if out in df.columns:
-        raise ValueError(f"there is a column {out} already: name another")
+def _added(df: DataFrame, run, columns: dict[str, str]) -> DataFrame:
+    for out in columns:
+        if out in df.columns:
+            raise ValueError(f"there is a column {out} already: name another")
     small_batches(df.sparkSession)
-    schema = df.select("*", F.lit(None).cast(kind).alias(out)).schema
+    schema = df.select("*", *[F.lit(None).cast(kind).alias(out) for out, kind in columns.items()]).schema
     return df.mapInArrow(run, schema)
 
 

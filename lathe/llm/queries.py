@@ -26,8 +26,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.digests(byte_bpe.decode(ids, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    both = byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    return byte_bpe.digests(both).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

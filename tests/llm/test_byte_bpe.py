@@ -54,6 +54,8 @@ def test_frames(spark, oracle):
     assert len(got) == len(rows)
     want = sorted((r[0] is None, r[0], hashlib.sha256(",".join(map(str, oracle.encode_ordinary(r[1] or ""))).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
     assert sorted((r.doc_id is None, r.doc_id, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    once = byte_bpe.digests(byte_bpe.round_trip(df, PATH, public_tokenizers.PATTERN))
+    assert sorted(map(str, once.collect())) == sorted(map(str, got)) and once.columns == byte_bpe.digests(both).columns
     odd = spark.createDataFrame([([0, 1],), (None,), ([],)], "ids array<int>")
     assert [bytes(r.decoded) for r in byte_bpe.decode(odd, PATH).collect()] == [oracle.decode_bytes([0, 1]), b"", b""]
     assert byte_bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).collect() == []

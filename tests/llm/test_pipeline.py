@@ -87,13 +87,13 @@ def test_tokens(steps):
 def test_run_and_registry(spark, sf):
     out = cp.run(spark, sf)
     assert out.columns == [*COLUMNS, "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, sf, name):
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {table} AS FROM '{sf}/{table}.parquet'")
     got = queries.QUERIES[name](spark, sf)
     assert rows(got, *sorted(got.columns)) == sorted(db.execute(f"SELECT {', '.join(sorted(got.columns))} FROM ({queries.ORACLES[name]})").fetchall(), key=str)
