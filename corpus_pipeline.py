@@ -2,6 +2,13 @@
 
 Each stage takes all rows that the stage before kept and returns the columns of ``documents``
 (``n_chars`` follows the text); the last one adds what the tokeniser made of each text.
+
+Edge cases, alike in all stages: a null or empty text is kept (it is not toxic, has no lines to
+drop, leaks nothing and has no ids) unless a near-duplicate of a smaller doc_id (empty texts are
+copies of one another); rows without a doc_id stay where a stage names rows by it; repeated rows
+are judged alike, and one of them stays after the near-duplicates; texts are never cut; an empty
+table stays empty. Other columns pass through, whatever their names; only the last stage replaces
+columns named as its own (``ids``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``).
 """
 
 from __future__ import annotations
@@ -28,8 +35,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template recurs across documents."""
-    out = line_dedup.drop_recurring(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_dropped")}  # a user's columns of these names
+    out = line_dedup.drop_recurring(docs.withColumnsRenamed(own)).drop(*own).withColumnsRenamed({v: k for k, v in own.items()})
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +52,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and digests of the ids and of the bytes decoded again."""
-    path = public_tokenizers.path(VOCABULARY)
-    both = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return byte_bpe.digests(both).drop("decoded")
+    docs = docs.drop("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    decoded = "__decoded"
+    both = byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, decoded=decoded)
+    return byte_bpe.digests(both, decoded=decoded).drop(decoded)
 
 
 STAGES: list[tuple[str, Stage]] = [
