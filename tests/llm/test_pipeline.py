@@ -84,6 +84,21 @@ def test_tokens(steps):
     assert rows(after, "doc_id", "ids", "decoded_sha256") == sorted(want, key=str)
 
 
+def test_clashing_names_and_empty_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    own = {"n_lines": F.lit(777), "n_dropped": F.col("doc_id"), "ids": F.lit("x"), "decoded": F.lit(1), "score": F.lit(2), "fp": F.lit(3), "item_id": F.lit(4)}
+    for table in (docs.withColumns(own), docs.withColumns(own).where("false")):
+        for name, stage in cp.STAGES:
+            out = stage(spark, table, sf)
+            if name != "byte_bpe":
+                assert out.columns == table.columns
+                assert {tuple(r) for r in out.select("doc_id", *own).collect()} <= {tuple(r) for r in table.select("doc_id", *own).collect()}
+            else:
+                assert out.columns == [c for c in table.columns if c != "ids"] + ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+                assert out.where("decoded <> 1 or n_lines <> 777").count() == 0
+            assert (out.count() == 0) == (table.count() == 0)
+
+
 def test_run_and_registry(spark, sf):
     out = cp.run(spark, sf)
     assert out.columns == [*COLUMNS, "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
