@@ -5,6 +5,9 @@ brings only its parameters to the driver: a mean, a median, a category list per
 Applying a fitted chain is a single projection of literals, so it also runs on a
 streaming DataFrame.
 
+Encodings of more than ``MAX_CATEGORIES`` categories are the exception: their categories stay a
+table (``value``, ``code``), numbered in order without a global sort and joined to the rows.
+
 Column order follows the reference's per-step column transformer: a step's output
 columns come first, the untouched columns follow in their previous order.
 """
@@ -15,6 +18,7 @@ import json
 import math
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +32,10 @@ from ..functions.columns import (
     is_numeric_type,
 )
 from ..functions.quantiles import exact_quantiles
+from ..functions.ranking import HOT_SHARE, looked_up, numbered
+from ..session import cut_lineage
 
-MAX_CATEGORIES = 1000  # one-hot / ordinal category lists are literals in the plan
+MAX_CATEGORIES = 1000  # longer category lists are tables, shorter ones literals in the plan
 
 IMPUTE = ("mean", "median", "mode", "constant")
 SCALE = ("standard", "minmax", "robust")
@@ -63,6 +69,7 @@ class Fitted:
     kind: str
     columns: list[str]
     params: dict = field(default_factory=dict)
+    tables: dict = field(default_factory=dict)  # name -> DataFrame, for what is too long for a plan
 
     def outputs(self, df: DataFrame) -> list[tuple[str, Column]]:
         """``(name, expression)`` of this step's output columns."""
@@ -79,7 +86,7 @@ class Fitted:
         return df.select(*[e.alias(n) for n, e in outs], *rest)
 
     def to_json(self) -> dict:
-        return {"kind": self.kind, "columns": self.columns, "params": self.params}
+        return {"kind": self.kind, "columns": self.columns, "params": self.params, "tables": sorted(self.tables)}
 
 
 def _need(df: DataFrame, cols, pred, what: str):
@@ -191,59 +198,122 @@ class _FittedImpute(Fitted):
 
 @dataclass
 class OneHot(Step):
+    """``output``: ``columns`` makes a column for each category, ``vector`` one sparse vector
+    ``<column>_onehot`` in which the categories have the same order; ``auto`` takes columns up to
+    ``MAX_CATEGORIES`` categories. Unseen values have no 1 anywhere."""
+
+    output: str = "auto"
     kind = "one_hot"
     family = "encode"
 
     def check(self, df):
+        if self.output not in ("auto", "columns", "vector"):
+            raise PrepError(f"unknown one-hot output {self.output!r}")
         _need(df, self.columns, is_categorical_type, "one-hot encoding")
 
     def fit(self, df):
-        return _FittedOneHot("one_hot", self.columns, {"categories": categories(df, self.columns)})
+        found = categories(df, self.columns, {"auto": MAX_CATEGORIES, "columns": None, "vector": 0}[self.output])
+        return _FittedOneHot("one_hot", self.columns, {"categories": found.lists, "sizes": found.sizes, "missing": found.missing}, found.tables)
 
 
-def categories(df: DataFrame, cols: list[str]) -> dict:
-    """Sorted distinct training values per column (``None`` last when missing occurs).
+@dataclass
+class Categories:
+    """Categories in order: ``lists`` of short columns, ``tables`` of the others (by column:
+    ``codes`` and the ``hot`` part of it), how many there are (``sizes``; missing counts), and
+    whether missing is one of them."""
+
+    lists: dict = field(default_factory=dict)
+    sizes: dict = field(default_factory=dict)
+    missing: dict = field(default_factory=dict)
+    tables: dict = field(default_factory=dict)
 
-    One distinct over the unpivoted ``(column, value)`` pairs; the result is bounded by
-    ``MAX_CATEGORIES`` per column (checked) since it becomes literals of the plan.
+
+def categories(df: DataFrame, cols: list[str], limit: int | None) -> Categories:
+    """Sorted distinct training values per column, missing last where it occurs.
+
+    Columns of up to ``limit`` categories (null: any number) get a list of texts with ``None``
+    for missing; the others a table ``value``, ``code`` without missing, whose code is the last
+    one. Values are counted once for all columns, combined map-side.
     """
-    card = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), rsd=0.01).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    wide = [c for i, c in enumerate(cols) if card[f"d{i}"] > MAX_CATEGORIES * 1.05]
-    if wide:  # checked with one sketch pass before any distinct is shuffled
-        raise PrepError(f"{wide} have more than {MAX_CATEGORIES} categories; use a vector encoding instead")
-    parts = [F.struct(F.lit(i).alias("g"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(cols)]
-    long = df.select(F.explode(F.array(*parts)).alias("_c")).select("_c.*").distinct()
-    limit = (MAX_CATEGORIES + 1) * len(cols)
-    rows = long.limit(limit + 1).collect()
-    out = {c: [] for c in cols}
-    for r in rows:
-        out[cols[r["g"]]].append(r["v"])
+    by_type: dict = {}
     for c in cols:
-        if len(out[c]) > MAX_CATEGORIES:
-            raise PrepError(f"{c!r} has more than {MAX_CATEGORIES} categories; use a vector encoding instead")
-        dt = df.schema[c].dataType
-        present = [v for v in out[c] if v is not None]
-        if isinstance(dt, T.BooleanType):
-            present = sorted(present, key=lambda s: s == "true")
-        elif is_number_type(dt):
-            present = sorted(present, key=float)
-        else:
-            present = sorted(present)
-        out[c] = present + ([None] if None in out[c] else [])
+        by_type.setdefault(df.schema[c].dataType, []).append(c)
+    out = Categories()
+    for dtype, own in by_type.items():
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(own)]))
+        counts = cut_lineage(df.select(cells.alias("_c")).select("_c.*").groupBy("g", "v").agg(F.count("*").alias("n")))
+        sizes = {r["g"]: r for r in counts.groupBy("g").agg(F.count("v").alias("k"), F.count("*").alias("all"), F.sum("n").alias("n")).collect()}
+        short = [i for i in range(len(own)) if i not in sizes or limit is None or sizes[i]["all"] <= limit]
+        lists: dict = {i: [] for i in short}
+        for r in counts.where(F.col("g").isin(short)).orderBy("g", F.col("v").asc_nulls_last()).select("g", F.col("v").cast("string")).collect() if short else []:
+            lists[r["g"]].append(r[1])
+        long = [i for i in range(len(own)) if i not in lists]
+        ranked = numbered(counts.where(F.col("g").isin(long) & F.col("v").isNotNull()), ["v"], "code", "g") if long else None
+        for i, c in enumerate(own):
+            out.sizes[c] = sizes[i]["all"] if i in sizes else 0
+            out.missing[c] = i in sizes and sizes[i]["all"] > sizes[i]["k"]
+            if i in lists:
+                out.lists[c] = lists[i]
+                continue
+            table = ranked.where(F.col("g") == i).select(F.col("v").cast("string").alias("value"), "code", "n")
+            out.tables[f"{c}.codes"] = table.select("value", "code")
+            out.tables[f"{c}.hot"] = table.where(F.col("n") >= max(1.0, HOT_SHARE * sizes[i]["n"])).select("value", "code")
+            out.lists[c] = None
     return out
 
 
-class _FittedOneHot(Fitted):
+class _FittedCategories(Fitted):
+    """Short columns are projections; long ones are joined with their tables."""
+
+    def short(self) -> list[str]:
+        return [c for c in self.columns if self.params["categories"][c] is not None]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        outs = dict(self.outputs(df))
+        rest = [c for c in df.columns if c not in self.columns and c not in outs]
+        names = list(outs)
+        df = df.withColumns({f"_out{i}": e for i, e in enumerate(outs.values())}) if outs else df
+        made = {n: F.col(f"_out{i}") for i, n in enumerate(names)}
+        order = {c: [n for n, _ in self.outputs_of(df, c)] for c in self.short()}
+        for j, c in enumerate(self.columns):
+            if c in order:
+                continue
+            df = looked_up(df, F.col(f"`{c}`").cast("string"), self.tables[f"{c}.codes"], self.tables[f"{c}.hot"], f"_code{j}")
+            df, name, value = self.coded(df, c, f"_code{j}")
+            order[c], made[name] = [name], value
+        return df.select(*[made[n].alias(n) for c in self.columns for n in order[c]], *[F.col(f"`{c}`") for c in rest])
+
+    def outputs_of(self, df: DataFrame, c: str) -> list[tuple[str, Column]]:
+        raise NotImplementedError
+
+    def coded(self, df: DataFrame, c: str, code: str) -> tuple[DataFrame, str, Column]:
+        """The output of a long column, given the codes of its rows."""
+        raise NotImplementedError
+
     def outputs(self, df):
+        return [o for c in self.short() for o in self.outputs_of(df, c)]
+
+
+class _FittedOneHot(_FittedCategories):
+    def outputs_of(self, df, c):
+        s = F.col(f"`{c}`").cast("string")
         out = []
-        for c in self.columns:
-            s = F.col(f"`{c}`").cast("string")
-            for v in self.params["categories"][c]:
-                name = f"{c}_{'nan' if v is None else v}"
-                cond = s.isNull() if v is None else (s == F.lit(v))
-                out.append((name, F.when(cond, 1.0).otherwise(0.0)))
+        for v in self.params["categories"][c]:
+            name = f"{c}_{'nan' if v is None else v}"
+            cond = s.isNull() if v is None else (s == F.lit(v))
+            out.append((name, F.when(cond, 1.0).otherwise(0.0)))
         return out
 
+    def coded(self, df, c, code):
+        size = self.params["sizes"][c]
+        # missing has the last place if it occurred in training; what has no place is a vector of zeros
+        place = F.when(F.col(f"`{c}`").isNull(), F.lit(size - 1 if self.params["missing"][c] else size)).otherwise(F.coalesce(code, F.lit(size)))
+        df = df.withColumn(code, place.cast("double"))
+        # the encoder learns the number of places only
+        last = df.sparkSession.createDataFrame([(float(max(size - 1, 0)),)], f"{code} double")
+        encoder = OneHotEncoder(inputCols=[code], outputCols=[f"{code}_vector"], handleInvalid="keep", dropLast=True)
+        return encoder.fit(last).transform(df), f"{c}_onehot", F.col(f"{code}_vector")
+
 
 @dataclass
 class Ordinal(Step):
@@ -254,22 +324,23 @@ class Ordinal(Step):
         _need(df, self.columns, is_categorical_type, "ordinal encoding")
 
     def fit(self, df):
-        cats = {c: [v for v in vs if v is not None] for c, vs in categories(df, self.columns).items()}
-        return _FittedOrdinal("ordinal", self.columns, {"categories": cats})
+        found = categories(df, self.columns, MAX_CATEGORIES)
+        lists = {c: None if vs is None else [v for v in vs if v is not None] for c, vs in found.lists.items()}
+        return _FittedOrdinal("ordinal", self.columns, {"categories": lists}, found.tables)
 
 
-class _FittedOrdinal(Fitted):
-    def outputs(self, df):
-        out = []
-        for c in self.columns:
-            cats = self.params["categories"][c]
-            s = F.col(f"`{c}`").cast("string")
-            code = F.lit(-1.0)
-            if cats:
-                m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))])
-                code = F.coalesce(F.try_element_at(m, s), F.lit(-1.0))
-            out.append((c, F.when(s.isNull(), F.lit(None).cast("double")).otherwise(code)))
-        return out
+class _FittedOrdinal(_FittedCategories):
+    def outputs_of(self, df, c):
+        cats = self.params["categories"][c]
+        s = F.col(f"`{c}`").cast("string")
+        code = F.lit(-1.0)
+        if cats:
+            m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))])
+            code = F.coalesce(F.try_element_at(m, s), F.lit(-1.0))
+        return [(c, F.when(s.isNull(), F.lit(None).cast("double")).otherwise(code))]
+
+    def coded(self, df, c, code):
+        return df, c, F.when(F.col(f"`{c}`").isNull(), F.lit(None).cast("double")).otherwise(F.coalesce(F.col(code).cast("double"), F.lit(-1.0)))
 
 
 @dataclass
@@ -348,13 +419,15 @@ _FITTED = {
 }
 
 
-def _fitted_from_json(d: dict) -> Fitted:
+def _fitted_from_json(d: dict, tables: dict | None = None) -> Fitted:
     k = d["kind"]
     cls = _FITTED.get(k) or (_FittedImpute if k.startswith("impute_") else _FittedScale)
     params = d["params"]
     if k.startswith("scale_"):
         params = {"shift_scale": {c: tuple(v) for c, v in params["shift_scale"].items()}}
-    return cls(k, d["columns"], params)
+    if missing := set(d.get("tables", ())) - set(tables or {}):
+        raise PrepError(f"the tables {sorted(missing)} of step {k} are not in its text; save and load the model")
+    return cls(k, d["columns"], params, tables or {})
 
 
 # ----------------------------------------------------------------------------------- chain
@@ -424,8 +497,13 @@ class PrepModel:
         return cls([_fitted_from_json(d) for d in json.loads(s)])
 
     def save(self, spark, path: str) -> None:
-        spark.createDataFrame([(self.to_json(),)], "params string").coalesce(1).write.mode("overwrite").json(path)
+        """Parameters as text, and the tables of long category lists."""
+        spark.createDataFrame([(self.to_json(),)], "params string").coalesce(1).write.mode("overwrite").json(f"{path}/params")
+        for i, f in enumerate(self.fitted):
+            for j, name in enumerate(sorted(f.tables)):
+                f.tables[name].write.mode("overwrite").parquet(f"{path}/tables/{i}-{j}")
 
     @classmethod
     def load(cls, spark, path: str) -> "PrepModel":
-        return cls.from_json(spark.read.json(path).first()["params"])
+        steps = json.loads(spark.read.json(f"{path}/params").first()["params"])
+        return cls([_fitted_from_json(d, {name: spark.read.parquet(f"{path}/tables/{i}-{j}") for j, name in enumerate(d["tables"])}) for i, d in enumerate(steps)])

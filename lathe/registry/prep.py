@@ -68,7 +68,24 @@ def _fe(steps, outs):
     return run
 
 
+def _wide(s, sf):
+    """Tens of categories a thousand rows: one for each place of a text of two numbers, some
+    unseen in the older rows, some missing; and one value that a third of the rows share."""
+    own = F.concat_ws("/", F.col("l_partkey") % 5000, F.col("l_orderkey") % 97, "l_linenumber")
+    value = F.when(F.col("l_orderkey") % 3 == 0, "common").when(F.col("l_orderkey") % 11 != 1, own)
+    return T(s, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", value.alias("place"))
+
+
+def _one_hot_wide(s, sf):
+    df = _wide(s, sf)
+    out = _fit_apply(df, "l_shipdate", [prep.OneHot(["place"], output="vector")])
+    vec = F.unwrap_udt("place_onehot")
+    return out.select("l_orderkey", "l_linenumber", F.get(vec["indices"], 0).alias("place"), vec["size"].alias("size"))
+
+
 QUERIES = {
+    "one_hot_wide": _one_hot_wide,
+    "ordinal_wide": lambda s, sf: _fit_apply(_wide(s, sf), "l_shipdate", [prep.Ordinal(["place"])]).select("l_orderkey", "l_linenumber", "place"),
     "impute_mean": _li_prep([prep.Impute(["l_discount"], strategy="mean")], ["l_discount"]),
     "impute_median": _li_prep([prep.Impute(["l_discount"], strategy="median")], ["l_discount"]),
     "impute_mode": _orders_prep([prep.Impute(["o_orderpriority"], strategy="mode")], ["o_orderpriority"]),
@@ -152,7 +169,17 @@ _A = "(l_quantity * l_discount)"
 _B = f"(CASE WHEN l_tax = 0 THEN NULL ELSE {_A} / l_tax END)"
 _C = f"({_B} - l_quantity)"
 
+_WIDE = """(SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_orderkey % 3 = 0 THEN 'common'
+  WHEN l_orderkey % 11 <> 1 THEN concat_ws('/', l_partkey % 5000, l_orderkey % 97, l_linenumber) END AS place FROM lineitem)"""
+_CODES = f"(SELECT place, row_number() OVER (ORDER BY place) - 1 AS code FROM (SELECT DISTINCT place FROM {_WIDE} WHERE l_shipdate < TIMESTAMP '{CUT}' AND place IS NOT NULL))"
+
 ORACLES = {
+    "one_hot_wide": f"""WITH codes AS {_CODES}, k AS (SELECT count(*) AS k FROM codes),
+      m AS (SELECT count(*) > 0 AS missing FROM {_WIDE} WHERE l_shipdate < TIMESTAMP '{CUT}' AND place IS NULL)
+    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN w.place IS NULL AND missing THEN k ELSE code END AS INTEGER) AS place,
+      CAST(k + CAST(missing AS INT) AS INTEGER) AS size FROM {_WIDE} w LEFT JOIN codes USING (place), k, m""",
+    "ordinal_wide": f"""WITH codes AS {_CODES} SELECT l_orderkey, l_linenumber,
+      CASE WHEN w.place IS NOT NULL THEN coalesce(CAST(code AS DOUBLE), -1.0) END AS place FROM {_WIDE} w LEFT JOIN codes USING (place)""",
     "impute_mean": _impute_li("avg"),
     "impute_median": _impute_li("median"),
     "impute_mode": f"SELECT o_orderkey, coalesce(o_orderpriority, {_MODE}) AS o_orderpriority FROM {_OR}",

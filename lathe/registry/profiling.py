@@ -23,6 +23,14 @@ def _scan_csv(spark, sf):
     return io.read_table(spark, out, schema="r_regionkey int, r_name string")
 
 
+def _scan_csv_quoted(spark, sf):
+    """Cells with separators, doubled quotes and line breaks, written and read back."""
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scan_csv-{uuid.uuid4().hex}.csv"
+    said = F.concat(F.lit('He said "'), "lang", F.lit('", \\ok\r\n"" '), "text", F.lit(' "'))
+    io.write_csv(T(spark, sf, "documents").select("doc_id", said.alias("said"), F.concat(F.lit('"'), "source").alias("q"), "n_chars"), out)
+    return io.read_table(spark, out, schema="doc_id long, said string, q string, n_chars long")
+
+
 def _scan_csv_missing(spark, sf):
     """Cells that say ``NA`` or ``null``, and types inferred after those are missing."""
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scan_csv-{uuid.uuid4().hex}.csv"
@@ -72,6 +80,7 @@ QUERIES = {
     "scan_parquet": lambda s, sf: io.read_table(s, f"{sf}/orders.parquet"),
     "merge_tables": _merge,
     "scan_csv_missing": _scan_csv_missing,
+    "scan_csv_quoted": _scan_csv_quoted,
     "merge_tables_mixed": _merge_mixed,
     "sample_values_fine": _sample_fine,
     "preview": lambda s, sf: io.preview(T(s, sf, "orders"), "o_orderkey", 5),
@@ -249,6 +258,8 @@ def _sample_sql():
 
 
 ORACLES = {
+    "scan_csv_quoted": "SELECT doc_id, 'He said \"' || lang || '\", \\ok' || chr(13) || chr(10) || '\"\" ' || text || ' \"' AS said, "
+    "'\"' || source AS q, n_chars FROM documents",
     "scan_csv": "SELECT * FROM region",
     "scan_parquet": "SELECT * FROM orders",
     "merge_tables": "SELECT * FROM orders",

@@ -41,10 +41,40 @@ def _check_path(path: str) -> str:
     return SUFFIXES[suffix]
 
 
+#: CSV as spreadsheets and databases write it: cells with separators, quotes or line breaks stand
+#: in quotes, and a quote inside is doubled.
+_CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
+def cells_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a cell may hold a line break: only then has some line an odd number of quotes.
+
+    One pass over the lines, without parsing them; quotes are ASCII, so any encoding that keeps
+    ASCII will do."""
+    line = F.col("value")
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
+    """Write CSV (a header row in each file) that :func:`read_table` reads back cell by cell:
+    cells with separators, quotes, line breaks or outer blanks are quoted, quotes doubled.
+    Missing cells are empty; a text that is a missing-value token reads back as missing."""
+    plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    df.write.mode(mode).options(**_CSV, **plain).csv(path)
+    return path
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = True,
-               check: bool = True) -> DataFrame:
+               check: bool = True, multiline: bool | None = None) -> DataFrame:
     """Scan one CSV (header row) or Parquet file, chosen by suffix (case-insensitive).
 
+    Quoted CSV cells may hold separators, doubled quotes and line breaks. A file in which no cell
+    spans lines is cut into splits at line ends; one in which some does is read by one task (so
+    large tables of that kind belong in many files). Line breaks in cells are kept, but in a file
+    whose lines end in CR LF those are read as LF. ``multiline`` says which it is; None finds
+    out by one more pass (:func:`cells_span_lines`).
+
     CSV takes an explicit ``schema`` when given, else infers types after the missing-value
     tokens (``MISSING``) were set to null (one extra pass; prefer a schema at scale); with a
     schema the tokens are null as well. With ``check``, a table without columns or rows is an
@@ -52,7 +82,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     """
     fmt = _check_path(path)
     if fmt == "csv":
-        df = _without_tokens(spark.read.option("header", True).option("mode", "FAILFAST").csv(path))
+        whole = cells_span_lines(spark, path) if multiline is None else multiline
+        df = _without_tokens(spark.read.options(**_CSV, mode="FAILFAST", multiLine=whole).csv(path))
         if schema is not None:
             kinds = spark.createDataFrame([], schema).schema
             if len(kinds) != len(df.columns):
@@ -99,7 +130,8 @@ _READS = {
 }
 
 
-def read_tables(spark: SparkSession, paths: list[str] | str, schema=None, check: bool = True) -> DataFrame:
+def read_tables(spark: SparkSession, paths: list[str] | str, schema=None, check: bool = True,
+                multiline: bool | None = None) -> DataFrame:
     """Several files (a list or a comma-separated string): the sets of column names must be
     equal; rows are concatenated in file order with columns aligned by name (first file's
     column order)."""
@@ -107,7 +139,7 @@ def read_tables(spark: SparkSession, paths: list[str] | str, schema=None, check:
         paths = [p.strip() for p in paths.split(",") if p.strip()]
     if not paths:
         raise SourceError("no paths given")
-    frames = [read_table(spark, p, schema, check=check) for p in paths]
+    frames = [read_table(spark, p, schema, check=check, multiline=multiline) for p in paths]
     return merge_tables(frames)
 
 
