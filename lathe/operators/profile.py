@@ -21,6 +21,7 @@ from ..functions.columns import (
     require_columns,
 )
 from ..functions.quantiles import quantiles
+from ..sources.io import POSITION
 from .quality import duplicate_report, missing_report
 
 _STATS_SCHEMA = (
@@ -183,6 +184,54 @@ def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
     return spark.createDataFrame(found, "column_name string, position int, rank int, num_value double, text_value string")
 
 
+def first_values(df: DataFrame, n: int = 5, position: tuple[str, ...] = POSITION, head: int = 10_000) -> DataFrame:
+    """Up to ``n`` distinct present values per column in the order in which they first occur, by
+    ``position`` (the columns that order the rows; a table read with its position has them).
+    Columns as in :func:`sample_values`.
+
+    The first ``head`` rows settle every column that shows ``n`` values there. Only the others
+    are scanned whole, in passes of one wide ``min_by`` that each find the next value of every
+    column; nothing but running minima is held, and no column is shuffled.
+    """
+    spark = df.sparkSession
+    fields = {i: f for i, f in enumerate(f for f in df.schema.fields if f.name not in position)
+              if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))}
+    place = F.struct(*position)
+    rows = df
+    if position == POSITION:  # only the first file can hold the first rows
+        start = df.agg(F.min(POSITION[0])).first()[0]
+        rows = df.where(F.col(POSITION[0]) == F.lit(start))
+    top = rows.orderBy(*position).limit(head)
+
+    def cell(f: T.StructField) -> Column:
+        key = _sample_key(f)
+        number = isinstance(f.dataType, T.BooleanType) or is_numeric_type(f.dataType)
+        return F.struct(key.cast("string").alias("k"), (key.cast("double") if number else F.lit(None).cast("double")).alias("num"), _sample_text(key, f.dataType).alias("text"))
+
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), cell(f).alias("c")) for i, f in fields.items()])
+    seen = top.select(place.alias("p"), F.explode(cells).alias("_c")).select("p", "_c.i", "_c.c").where("c.k is not null") if fields else None
+    found: dict[int, list] = {i: [] for i in fields}
+    if seen is not None:
+        firsts = seen.groupBy("i", "c").agg(F.min("p").alias("p"))
+        rank = F.row_number().over(Window.partitionBy("i").orderBy("p"))
+        for r in firsts.withColumn("rank", rank).where(F.col("rank") <= n).orderBy("i", "rank").collect():
+            found[r.i].append(r.c)
+    live = [i for i in fields if len(found[i]) < n]
+    while live:
+        aggs = []
+        for i in live:
+            c = cell(fields[i])
+            new = c["k"].isNotNull() & ~c["k"].isin([v.k for v in found[i]]) if found[i] else c["k"].isNotNull()
+            aggs.append(F.min_by(c, F.when(new, place)).alias(f"v{i}"))
+        row = df.agg(*aggs).first()
+        for i in live:
+            if row[f"v{i}"] is not None:
+                found[i].append(row[f"v{i}"])
+        live = [i for i in live if row[f"v{i}"] is not None and len(found[i]) < n]
+    out = [(fields[i].name, i, rank, v.num, v.text) for i, values in found.items() for rank, v in enumerate(values, 1)]
+    return spark.createDataFrame(out, "column_name string, position int, rank int, num_value double, text_value string")
+
+
 def _sample_text(value: Column, dt: T.DataType) -> Column:
     if isinstance(dt, (T.FloatType, T.DoubleType, T.BooleanType)):
         return F.lit(None).cast("string")

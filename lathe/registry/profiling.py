@@ -98,6 +98,8 @@ QUERIES = {
     "column_profile": lambda s, sf: profile.column_profile(T(s, sf, "orders")),
     "column_profile_approx": lambda s, sf: profile.column_profile(T(s, sf, "orders"), exact=False),
     "sample_values": lambda s, sf: profile.sample_values(T(s, sf, "orders")),
+    "first_values": lambda s, sf: profile.first_values(io.read_table(s, f"{sf}/lineitem.parquet", position=True)),
+    "preview_file_order": lambda s, sf: io.preview(io.read_table(s, f"{sf}/events.parquet", position=True)),
     "class_balance": lambda s, sf: profile.class_balance(T(s, sf, "labels"), "toxic"),
     "class_balance_events": lambda s, sf: profile.class_balance(T(s, sf, "events"), "event_type"),
     "imbalance_flag": lambda s, sf: profile.imbalance_flag(T(s, sf, "events"), "event_type"),
@@ -238,9 +240,9 @@ def _actions_sql():
     )
 
 
-def _sample_sql():
+def _sample_sql(table="orders", order="num_value, text_value"):
     parts = []
-    for i, (c, t) in enumerate(TABLE_COLUMNS["orders"]):
+    for i, (c, t) in enumerate(TABLE_COLUMNS[table]):
         if t in NUMERIC:
             num = f"CAST({c} AS DOUBLE) + 0.0"
             txt = "CAST(NULL AS VARCHAR)" if t in ("double", "float", "boolean") else f"CAST({c} AS VARCHAR)"
@@ -248,11 +250,11 @@ def _sample_sql():
             num, txt = "CAST(NULL AS DOUBLE)", f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%f')"
         else:
             num, txt = "CAST(NULL AS DOUBLE)", f"CAST({c} AS VARCHAR)"
-        parts.append(f"SELECT DISTINCT {q(c)} AS column_name, {i} AS position, {num} AS num_value, {txt} AS text_value "
-                     f"FROM orders WHERE {c} IS NOT NULL")
+        parts.append(f"SELECT {q(c)} AS column_name, {i} AS position, {num} AS num_value, {txt} AS text_value, min(file_row) AS seen "
+                     f"FROM (SELECT *, row_number() OVER () AS file_row FROM {table}) WHERE {c} IS NOT NULL GROUP BY ALL")
     return (
         "SELECT column_name, position, CAST(rank AS INTEGER) AS rank, num_value, text_value FROM ("
-        "SELECT *, row_number() OVER (PARTITION BY position ORDER BY num_value, text_value) AS rank FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY position ORDER BY {order}) AS rank FROM ("
         + " UNION ALL ".join(parts) + ")) WHERE rank <= 5"
     )
 
@@ -291,6 +293,8 @@ ORACLES = {
     "numeric_stats_missing": stats_sql(f"(SELECT l_discount, l_tax FROM {_LI_NULLIF})", [("l_discount", "double"), ("l_tax", "double")]),
     "column_profile": profile_sql("orders"),
     "sample_values": _sample_sql(),
+    "first_values": _sample_sql("lineitem", "seen"),
+    "preview_file_order": "SELECT * FROM events LIMIT 5",
     "class_balance": _balance_sql("labels", "toxic"),
     "class_balance_events": _balance_sql("events", "event_type"),
     "imbalance_flag": "WITH c AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1) "

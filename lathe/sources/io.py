@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,7 +66,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = True,
-               check: bool = True, multiline: bool | None = None) -> DataFrame:
+               check: bool = True, multiline: bool | None = None, position: bool = False) -> DataFrame:
     """Scan one CSV (header row) or Parquet file, chosen by suffix (case-insensitive).
 
     Quoted CSV cells may hold separators, doubled quotes and line breaks. A file in which no cell
@@ -78,21 +78,28 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     CSV takes an explicit ``schema`` when given, else infers types after the missing-value
     tokens (``MISSING``) were set to null (one extra pass; prefer a schema at scale); with a
     schema the tokens are null as well. With ``check``, a table without columns or rows is an
-    error.
+    error. With ``position``, two more columns (``POSITION``) say where in the source a row
+    stands: sorted by them, rows are in file order.
     """
     fmt = _check_path(path)
     if fmt == "csv":
         whole = cells_span_lines(spark, path) if multiline is None else multiline
-        df = _without_tokens(spark.read.options(**_CSV, mode="FAILFAST", multiLine=whole).csv(path))
+        df = spark.read.options(**_CSV, mode="FAILFAST", multiLine=whole).csv(path)
+        cells = df.columns
+        # a task numbers the rows of each block of a file in their order
+        df = df.select(*[_without_tokens(c) for c in cells], *_place(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
         if schema is not None:
             kinds = spark.createDataFrame([], schema).schema
-            if len(kinds) != len(df.columns):
-                raise SourceError(f"the schema has {len(kinds)} columns, {path} has {len(df.columns)}")
-            df = df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(df.columns, kinds)])
+            if len(kinds) != len(cells):
+                raise SourceError(f"the schema has {len(kinds)} columns, {path} has {len(cells)}")
+            df = df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(cells, kinds)], *POSITION)
         elif infer:
-            df = infer_types(df)
+            df = infer_types(df, cells)
     else:
         df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
+        df = df.select("*", *_place(F.lit(0).cast("long"), F.col("_metadata.row_index")))
+    if not position:
+        df = df.drop(*POSITION)
     if check:
         if not df.columns:
             raise SourceError(f"no columns in {path}")
@@ -101,23 +108,30 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return df
 
 
-def _without_tokens(df: DataFrame) -> DataFrame:
-    return df.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns])
+#: Columns that place a row in its source: the file, and block and number in it.
+POSITION = ("_file", "_row")
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """Cast text columns to the narrowest type that reads all their present values: int,
-    bigint, double, boolean, date, timestamp, else text. One wide aggregation."""
+def _place(block: Column, at: Column) -> list[Column]:
+    return [F.col("_metadata.file_path").alias(POSITION[0]), F.struct(block.alias("block"), at.alias("at")).alias(POSITION[1])]
+
+
+def _without_tokens(name: str) -> Column:
+    cell = F.col(f"`{name}`")
+    return F.when(~cell.isin(*MISSING), cell).alias(name)
+
+
+def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Cast text ``columns`` (all by default) to the narrowest type that reads all their present
+    values: int, bigint, double, boolean, date, timestamp, else text. One wide aggregation."""
+    columns = df.columns if columns is None else columns
     aggs = []
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         x = F.col(f"`{c}`")
         aggs += [F.count(x).alias(f"n{i}"), *[F.count_if(test(x)).alias(f"{kind}{i}") for kind, test in _READS.items()]]
     row = df.agg(*aggs).first() if aggs else None
-    out = []
-    for i, c in enumerate(df.columns):
-        kind = next((k for k in _READS if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), "string")
-        out.append(F.col(f"`{c}`").cast(kind).alias(c))
-    return df.select(*out)
+    kinds = {c: next((k for k in _READS if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), "string") for i, c in enumerate(columns)}
+    return df.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns])
 
 
 _READS = {
@@ -167,10 +181,13 @@ def _compatible(kinds: list[T.DataType]) -> bool:
     return all(isinstance(k, (T.DateType, T.TimestampType)) for k in kinds)
 
 
-def preview(df: DataFrame, key: list[str] | str, n: int = 5) -> DataFrame:
-    """The first ``n`` rows in ``key`` order (a top-n: each task keeps n rows)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return df.orderBy(*keys).limit(n)
+def preview(df: DataFrame, key: list[str] | str | None = None, n: int = 5) -> DataFrame:
+    """The first ``n`` rows in ``key`` order (a top-n: each task keeps n rows); without a key in
+    file order, for tables read with ``position``."""
+    keys = [key] if isinstance(key, str) else list(key or POSITION)
+    if missing := [c for c in keys if c not in df.columns]:
+        raise SourceError(f"no column {missing}: name a key, or read the table with its position")
+    return df.orderBy(*keys).limit(n).drop(*(() if key else POSITION))
 
 
 def shape(df: DataFrame) -> tuple[int, int]:

@@ -1,5 +1,8 @@
 import datetime as dt
+import os
+import random
 
+import pandas as pd
 import pytest
 
 from lathe.operators import profile
@@ -82,3 +85,44 @@ def test_dataset_context_and_report(spark, sf):
     rep = profile.analyze(o, "o_orderstatus")
     sections = {r["section"] for r in rep.collect()}
     assert {"duplicates", "statistics", "profile", "balance"} <= sections
+
+
+def firsts(rows, columns, n):
+    out = {}
+    for i, c in enumerate(columns):
+        seen = []
+        for r in rows:
+            if r[i] is not None and r[i] == r[i] and r[i] not in seen:
+                seen.append(r[i])
+        out[c] = seen[:n]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+@pytest.mark.parametrize("head", [3, 10_000])
+def test_first_values_in_file_order(spark, tmp_path, kind, head):
+    """Several files of several splits each; few values, late values, ties with missing cells."""
+    rng = random.Random(6)
+    rows = [(rng.choice([3, 1, 2]), rng.choice(["b", "a", None]), i // 700, None if i < 3999 else 1.5, float(i % 2) or -0.0, rng.random() < 0.5) for i in range(4000)]
+    columns = ["few", "text", "late", "last", "zero", "flag"]
+    path = str(tmp_path / f"t.{kind}")
+    for i in range(4):
+        part = pd.DataFrame(rows[i * 1000 : (i + 1) * 1000], columns=columns).astype({"last": float})
+        os.makedirs(path, exist_ok=True)
+        name = f"{path}/part-{i}.{kind}"
+        part.to_parquet(name, row_group_size=200) if kind == "parquet" else part.to_csv(name, index=False)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6k")
+    try:
+        table = io.read_table(spark, path, schema="few int, text string, late int, last double, zero double, flag boolean" if kind == "csv" else None, position=True)
+        got = {}
+        for r in profile.first_values(table, 4, head=head).orderBy("position", "rank").collect():
+            got.setdefault(r.column_name, []).append(r.text_value if r.column_name == "text" else r.num_value)
+        assert got == firsts(rows, columns, 4)
+        assert [r[:5] for r in map(tuple, io.preview(table, n=1500).select(columns).collect())] == [(a, b, c, d, e) for a, b, c, d, e, _ in rows[:1500]]
+        assert io.preview(table).columns == columns
+        assert profile.first_values(table.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(io.SourceError):
+        io.preview(spark.range(3))
