@@ -1,8 +1,9 @@
-"""Arithmetic feature engineering: products, ratios, differences, log1p, squares.
+"""Feature engineering: products, ratios, differences, log1p, squares, datetime parts.
 
 Steps run in order and may read the outputs of earlier steps; the whole chain is one
-``withColumns`` projection per step (Catalyst collapses them into one). Two checks need
-the data — log1p's domain and square's missing values — and run as one aggregation each.
+``withColumns`` projection per step (Catalyst collapses them into one). What depends on the
+data (log1p's domain, square's missing values) is checked in the projection itself: a bad row
+raises when it is computed, and no step starts a job of its own.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean, is_missing
+from ..functions.columns import clean, is_datetime_type, is_missing
+from .prep import DATETIME_PARTS, datetime_parts
 
-OPERATIONS = ("interaction", "ratio", "difference", "log1p", "square")
+OPERATIONS = ("interaction", "ratio", "difference", "log1p", "square", "datetime_parts")
 
 
 class EngineeringError(ValueError):
@@ -49,6 +51,16 @@ def Square(a, out, step_id=""):
     return Feature("square", (a,), out, step_id)
 
 
+def DatetimeParts(a, out, step_id=""):
+    """Year, month, day, day of week and hour of ``a`` as ``<out>_year`` and so on."""
+    return Feature("datetime_parts", (a,), out, step_id)
+
+
+def outputs(f: Feature) -> list[str]:
+    """The columns that a step adds."""
+    return [f"{f.output}_{p}" for p in DATETIME_PARTS] if f.operation == "datetime_parts" else [f.output]
+
+
 def _x(df, c):
     return clean(c, df.schema[c].dataType).cast("double")
 
@@ -70,16 +82,30 @@ def _expr(df: DataFrame, f: Feature):
     raise EngineeringError(f"unsupported operation {op!r}")
 
 
+def _checked(df: DataFrame, f: Feature):
+    """The expression, which raises on a value that the operation does not take."""
+    a, value = f.inputs[0], _expr(df, f)
+    if f.operation == "log1p":
+        bad, what = _x(df, a) < -1.0, "values below -1"
+    elif f.operation == "square":
+        bad, what = is_missing(a, df.schema[a].dataType), "missing values"
+    else:
+        return value
+    return F.when(bad, F.raise_error(F.lit(f"{f.operation} input {a!r} has {what}")).cast("double")).otherwise(value)
+
+
 def engineer(df: DataFrame, steps: list[Feature], target: str | None = None, raw_columns=None,
              check: bool = True) -> tuple[DataFrame, list[dict]]:
     """Apply the steps in order. Returns the table and the lineage ``[{step_id, output,
-    inputs, status}]``. A step whose input existed in the raw table but was dropped
-    earlier is skipped; an unknown input is an error; ``custom`` is always rejected.
+    inputs, status}]``, an entry for each column made. A step whose input existed in the raw
+    table but was dropped earlier is skipped; an unknown input is an error; ``custom`` is always
+    rejected. With ``check``, a value below -1 (log1p) or missing (square) is an error of the
+    action that computes it.
     """
     ids = [s.step_id for s in steps if s.step_id]
     if len(ids) != len(set(ids)):
         raise EngineeringError("step ids must be unique")
-    outs = [s.output for s in steps]
+    outs = [c for s in steps for c in outputs(s)]
     if len(outs) != len(set(outs)):
         raise EngineeringError("output names must be unique")
     raw = set(raw_columns or [])
@@ -89,23 +115,20 @@ def engineer(df: DataFrame, steps: list[Feature], target: str | None = None, raw
             raise EngineeringError("custom operations are not supported; add the column with withColumn")
         if s.operation not in OPERATIONS:
             raise EngineeringError(f"unsupported operation {s.operation!r}")
-        if target is not None and (target in s.inputs or s.output == target):
+        if target is not None and (target in s.inputs or target in outputs(s)):
             raise EngineeringError("the target may be neither input nor output of a feature")
-        if s.output in df.columns:
-            raise EngineeringError(f"output {s.output!r} already exists")
+        if taken := [c for c in outputs(s) if c in df.columns]:
+            raise EngineeringError(f"output {', '.join(map(repr, taken))} already exists")
         missing = [c for c in s.inputs if c not in df.columns]
-        if missing:
-            if all(c in raw for c in missing):
-                lineage.append({"step_id": s.step_id, "output": s.output, "inputs": list(s.inputs), "status": "skipped"})
-                continue
+        skipped = bool(missing) and all(c in raw for c in missing)
+        if missing and not skipped:
             raise EngineeringError(f"unknown input column(s) {missing}")
-        if check and s.operation in ("log1p", "square"):
-            a = s.inputs[0]
-            x = _x(df, a)
-            cond = (x < -1.0) if s.operation == "log1p" else is_missing(a, df.schema[a].dataType)
-            if df.where(cond).limit(1).count() > 0:
-                what = "values below -1" if s.operation == "log1p" else "missing values"
-                raise EngineeringError(f"{s.operation} input {a!r} has {what}")
-        df = df.withColumn(s.output, _expr(df, s))
-        lineage.append({"step_id": s.step_id, "output": s.output, "inputs": list(s.inputs), "status": "applied"})
+        if not skipped and s.operation == "datetime_parts":
+            if not is_datetime_type(df.schema[s.inputs[0]].dataType):
+                raise EngineeringError(f"datetime parts need {s.inputs[0]!r} to be a date or a timestamp")
+            df = df.withColumns(dict(datetime_parts(s.inputs[0], s.output)))
+        elif not skipped:
+            df = df.withColumn(s.output, _checked(df, s) if check else _expr(df, s))
+        status = "skipped" if skipped else "applied"
+        lineage += [{"step_id": s.step_id, "output": c, "inputs": list(s.inputs), "status": status} for c in outputs(s)]
     return df, lineage

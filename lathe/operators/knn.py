@@ -18,6 +18,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +64,9 @@ class KNNModel:
     def _vector(self, df: DataFrame):
         if len(self.features) == 1 and isinstance(df.schema[self.features[0]].dataType, T.ArrayType):
             return F.col(self.features[0]).cast("array<double>")
-        return F.array(*[F.col(f).cast("double") for f in self.features])
+        vectors = [f for f in self.features if isinstance(df.schema[f].dataType, VectorUDT)]
+        plain = [F.col(f"`{f}`").cast("double") for f in self.features if f not in vectors]
+        return F.concat(F.array(*plain).cast("array<double>"), *[vector_to_array(F.col(f"`{f}`")) for f in vectors])
 
     def neighbours(self, df: DataFrame) -> DataFrame:
         """``df`` with ``_near``: the k nearest training rows' labels, the nearest first."""
@@ -108,7 +112,8 @@ class KNNModel:
     def vote(self, found: DataFrame, k: int | None = None) -> DataFrame:
         """Predictions from :meth:`neighbours`, by the nearest ``k`` of them."""
         near = F.slice("_near", 1, k or self.k)
-        rest = [c for c in found.columns if c != "_near"]
+        made = ("prediction", "probabilities", "score") if self.problem_type == "classification" else ("prediction",)
+        rest = [F.col(f"`{c}`") for c in found.columns if c not in ("_near", *made)]
         if self.problem_type != "classification":
             mean = F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / F.size(near)
             return found.select(*rest, mean.alias("prediction"))

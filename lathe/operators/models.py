@@ -153,14 +153,18 @@ class FittedModel:
         """Predictions: the input columns plus ``prediction`` (label text for
         classification, double for regression), for classification ``probabilities`` (array
         in class order; one-vs-rest models' raw scores through a logistic, summing to one)
-        and ``score`` (of the last class, the positive one of two)."""
+        and ``score`` (of the last class, the positive one of two). They replace columns so
+        named."""
         if self.knn is not None:
             return self.knn.transform(df)
         clash = [c for c in ("rawPrediction", "probability", "prediction") if c in df.columns]
-        out = self.pipeline.transform(df.drop(*clash) if clash else df)
+        # without the stage that indexes the label: rows to score need none
+        out = PipelineModel(self.pipeline.stages[1:]).transform(df.drop(*clash) if clash else df)
+        made = ("prediction", "probabilities", "score") if self.problem_type == "classification" else ("prediction",)
+        kept = [F.col(f"`{c}`") for c in df.columns if c not in clash and c not in made]
         if self.problem_type == "classification":
-            return out.select(*[c for c in df.columns if c not in clash], F.col("pred_label").alias("prediction"), *class_scores(out))
-        return out.select(*[c for c in df.columns if c not in clash], F.col("prediction").cast("double").alias("prediction"))
+            return out.select(*kept, F.col("pred_label").alias("prediction"), *class_scores(out))
+        return out.select(*kept, F.col("prediction").cast("double").alias("prediction"))
 
     @property
     def estimator_model(self):
@@ -171,7 +175,7 @@ class FittedModel:
         that is the training table and the settings."""
         head = {"family": self.family, "problem_type": self.problem_type, "features": self.features, "target": self.target, "classes": self.classes}
         if self.knn is not None:
-            head["k"], spark = self.knn.k, self.knn.train.sparkSession
+            head["k"], head["id_col"], spark = self.knn.k, self.knn.id_col, self.knn.train.sparkSession
             self.knn.train.write.mode("overwrite").parquet(f"{path}/train")
         else:
             spark = SparkSession.getActiveSession()
@@ -231,7 +235,7 @@ def fit_model(train: DataFrame, features: list[str], target: str, family: str, p
     if family == "knn":
         from .knn import KNNModel
 
-        knn = KNNModel.fit(train, features, target, problem_type, int(params.get("n_neighbors", 5)))
+        knn = KNNModel.fit(train, features, target, problem_type, int(params.get("n_neighbors", 5)), params.get("id_col"))
         return FittedModel(family, problem_type, features, target, knn=knn, classes=knn.classes)
     classes = class_labels(train, target) if problem_type == "classification" else None
     n, y_std = label_stats(train, target, problem_type)
@@ -243,13 +247,13 @@ def fit_model(train: DataFrame, features: list[str], target: str, family: str, p
 def load_model(spark: SparkSession, path: str) -> FittedModel:
     """A model written by :meth:`FittedModel.save`."""
     head = json.loads(spark.read.text(f"{path}/head").first()[0])
-    k = head.pop("k", None)
+    k, id_col = head.pop("k", None), head.pop("id_col", None)
     if k is None:
         return FittedModel(**head, pipeline=PipelineModel.load(f"{path}/model"))
     from .knn import KNNModel
 
     train = spark.read.parquet(f"{path}/train")
-    return FittedModel(**head, knn=KNNModel(train, head["features"], head["target"], head["problem_type"], k, None, head["classes"]))
+    return FittedModel(**head, knn=KNNModel(train, head["features"], head["target"], head["problem_type"], k, id_col, head["classes"]))
 
 
 def importances(fm: FittedModel) -> list[tuple[str, float]]:

@@ -407,10 +407,15 @@ class DatetimeParts(Step):
         return _FittedDatetime("datetime_parts", self.columns)
 
 
+def datetime_parts(column: str, prefix: str) -> list[tuple[str, Column]]:
+    """``(name, expression)`` of the parts of a date or timestamp."""
+    fns = {"year": F.year, "month": F.month, "day": F.dayofmonth, "dayofweek": F.dayofweek, "hour": F.hour}
+    return [(f"{prefix}_{p}", fns[p](F.col(f"`{column}`"))) for p in DATETIME_PARTS]
+
+
 class _FittedDatetime(Fitted):
     def outputs(self, df):
-        fns = {"year": F.year, "month": F.month, "day": F.dayofmonth, "dayofweek": F.dayofweek, "hour": F.hour}
-        return [(f"{c}_{p}", fns[p](F.col(f"`{c}`"))) for c in self.columns for p in DATETIME_PARTS]
+        return [o for c in self.columns for o in datetime_parts(c, c)]
 
 
 _FITTED = {

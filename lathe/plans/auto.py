@@ -10,12 +10,14 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compare, engineer, evaluate, prep, problem, profile, select, split, tune
 from ..operators.models import check_candidates, fit_model, importances
 from ..operators.quality import drop_missing_target
+from .champion import Champion
 from .config import CLASSIFICATION_METRICS, REGRESSION_METRICS, RunConfig, default_config, scale_sensitive
 
 
@@ -60,6 +62,14 @@ class RunResult:
     warnings: list[str]
     seconds: float
     prep_model: prep.PrepModel | None = None
+    key: str | None = None
+
+    def champion(self) -> Champion:
+        """The best candidate with its preparation, as one artifact that scores raw rows."""
+        best = next((c for c in self.candidates if c.candidate_id == self.best_id), None)
+        if best is None:
+            raise RuntimeError("no candidate was completed")
+        return Champion(self.prep_model, self.config.features, best.model, self.key)
 
     @property
     def status(self) -> str:
@@ -143,7 +153,8 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
     for f in pm.fitted:
         for c in f.columns:
             if f.kind == "one_hot":
-                lineage[c] = [f"{c}_{'nan' if v is None else v}" for v in f.params["categories"][c]]
+                values = f.params["categories"][c]
+                lineage[c] = [f"{c}_onehot"] if values is None else [f"{c}_{'nan' if v is None else v}" for v in values]
             elif f.kind == "datetime_parts":
                 lineage[c] = [f"{c}_{p}" for p in prep.DATETIME_PARTS]
     if cfg.features:
@@ -154,13 +165,15 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
                 for i in item["inputs"]:
                     lineage.setdefault(i, []).append(item["output"])
     # engineered outputs come in through their inputs' lineage
-    cands = cfg.selection.candidates or list(prob.features) + [f.output for f in cfg.features]
+    cands = cfg.selection.candidates or list(prob.features) + [c for f in cfg.features for c in engineer.outputs(f)]
     fallback = [c for c in train.columns if c not in (prob.target, key)]
     selected, _ = select.select_features(
-        train.select(*[c for c in train.columns if c != key]), cands, prob.target, cfg.selection.method,
+        train.select(*[f.name for f in train.schema.fields if f.name != key and not isinstance(f.dataType, VectorUDT)]), cands, prob.target, cfg.selection.method,
         cfg.selection.threshold, cfg.selection.max_features, prob.problem_type, lineage)
     selected = [c for c in selected if c in fallback]
-    features = _numeric_features(train, selected)
+    # a long category list is one vector, which no selection method scores: it stays whole
+    vectors = [c for c in fallback if isinstance(train.schema[c].dataType, VectorUDT)]
+    features = _numeric_features(train, selected) + vectors
     if not features:
         raise ValueError("no numeric features remain after preparation")
     cols = [key, prob.target] + features
@@ -212,7 +225,7 @@ def auto_train(df: DataFrame, target: str | None = None, key: str | None = None,
     test.unpersist()
     best = best_candidate(results, cfg.metric)
     return RunResult(prob, cfg, n_train + n_test, n_train, n_test, features, results, best, warnings,
-                     time.time() - t0, pm)
+                     time.time() - t0, pm, key)
 
 
 def score_all(pred: DataFrame, prob, metrics, classes: list | None = None) -> dict:

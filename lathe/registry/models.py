@@ -12,9 +12,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import compare, models, prep, select, split, tune
-from ..operators.engineer import Interaction, Ratio
+from ..operators.engineer import Interaction, Ratio, engineer
 from ..operators.knn import KNNModel
 from ..plans import auto, report
+from ..plans.champion import Champion
 from ..plans.config import RunConfig, SplitConfig
 from ..session import ensure_checkpoint_dir
 from ..sources import io
@@ -118,6 +119,27 @@ def _roundtrip(s, sf):
     return a.join(b, "doc_id").select("doc_id", (F.col("p_fit") == F.col("p_loaded")).alias("equal"))
 
 
+def _champion(family):
+    """Raw test rows scored by a champion before it is saved and after it is loaded."""
+    def run(s, sf):
+        d = _docs(s, sf).drop("quality")
+        sp = split.split_stratified(d, "doc_id", "toxic", 0.2, 42)
+        train, raw = sp.where("split = 'train'").drop("split"), sp.where("split = 'test'").drop("split", "toxic")
+        steps = [prep.OneHot(["lang"]), prep.Scale(["n_chars", "n_len"], method="standard")]
+        pm = prep.PrepPipeline(steps, target="toxic").fit(train)
+        made = [Ratio("n_chars", "n_words", "chars_a_word")]
+        ready, _ = engineer(pm.transform(train), made)
+        feats = [c for c in ready.columns if c not in ("doc_id", "toxic")]
+        model = models.fit_model(ready, feats, "toxic", family, "classification", {"id_col": "doc_id"} if family == "knn" else {})
+        champion = Champion(pm, made, model, "doc_id")
+        path = f"{ensure_checkpoint_dir(s).rstrip('/')}/champion-{uuid.uuid4().hex}"
+        champion.write().save(path)
+        before, after = (c.transform(raw).select("doc_id", "n_chars", F.struct("prediction", "probabilities", "score").alias(n))
+                         for c, n in ((champion, "a"), (Champion.load(path), "b")))
+        return before.join(after.drop("n_chars"), "doc_id").select("doc_id", "n_chars", F.col("a").eqNullSafe(F.col("b")).alias("equal"))
+    return run
+
+
 def _predictions(s, sf):
     """What holds exactly of any model's predictions: the keys, the labels' domain, shares."""
     train, test, feats = _prepared(s, sf)
@@ -203,6 +225,8 @@ QUERIES = {
     "feature_importance_linear": _importance_linear,
     "predictions": _predictions,
     "model_roundtrip": _roundtrip,
+    "champion_roundtrip": _champion("logistic_regression"),
+    "champion_roundtrip_knn": _champion("knn"),
     "tune_grid": _tune("grid"),
     "tune_random": _tune("random"),
     "cv_results": _cv_knn,
@@ -248,6 +272,7 @@ test AS (SELECT doc_id FROM d JOIN quota USING (toxic) WHERE rn < take)
 ORACLES = {
     "feature_importance_linear": f"SELECT 'l_quantity' AS feature, 0 AS position, {R('regr_slope(-l_extendedprice, l_quantity)', 4)} AS importance FROM lineitem",
     "predictions": _TESTED + "SELECT doc_id, TRUE AS in_domain, TRUE AS sums_to_one, TRUE AS agrees FROM test",
+    **{n: _TESTED + "SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, TRUE AS equal FROM test JOIN documents USING (doc_id)" for n in ("champion_roundtrip", "champion_roundtrip_knn")},
     "model_roundtrip": _TESTED + "SELECT doc_id, TRUE AS equal FROM test",
     "tune_grid": f"SELECT 3 AS n_sets, 1 AS n_best, n > 0 AS best_is_best, 3 AS n_in_range FROM {_N}",
     "tune_random": f"SELECT 10 AS n_sets, 1 AS n_best, n > 0 AS best_is_best, 10 AS n_in_range FROM {_N}",

@@ -108,6 +108,8 @@ QUERIES = {
     "fe_difference": _fe([fe.Difference("l_extendedprice", "l_tax", "price_minus_tax")], ["price_minus_tax"]),
     "fe_log1p": _fe([fe.Log1p("l_discount_m1", "log_disc")], ["log_disc"]),
     "fe_square": _fe([fe.Square("l_quantity", "qty_sq")], ["qty_sq"]),
+    "fe_datetime": lambda s, sf: fe.engineer(T(s, sf, "events"), [fe.DatetimeParts("ts", "at"), fe.Interaction("at_hour", "value", "hour_value")])[0]
+    .select("event_id", *[f"at_{p}" for p in prep.DATETIME_PARTS], F.round("hour_value", 6).alias("hour_value")),
     "fe_chain": _fe(
         [fe.Interaction("l_quantity", "l_discount", "a"), fe.Ratio("a", "l_tax", "b"), fe.Difference("b", "l_quantity", "c"),
          fe.Square("a", "d"), fe.Log1p("l_discount", "e")],
@@ -191,6 +193,8 @@ ORACLES = {
     "scale_robust": _scale("quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"),
     "datetime_extract": "SELECT event_id, year(ts) AS ts_year, month(ts) AS ts_month, day(ts) AS ts_day, "
     "dayofweek(ts) + 1 AS ts_dayofweek, hour(ts) AS ts_hour FROM events",
+    "fe_datetime": "SELECT event_id, year(ts) AS at_year, month(ts) AS at_month, day(ts) AS at_day, dayofweek(ts) + 1 AS at_dayofweek, "
+    f"hour(ts) AS at_hour, {R('hour(ts) * value', 6)} AS hour_value FROM events",
     "prep_drop": "SELECT * EXCLUDE (l_tax, l_linestatus) FROM lineitem",
     "prep_passthrough": "SELECT * FROM lineitem",
     "prep_chain": _CHAIN,
