@@ -8,13 +8,11 @@ intermediate: a handful of rows per model whatever the size of the test part.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..functions.ranking import running_sums
 
 # Fixed values (metric directions and aliases must equal the reference's).
 HIGHER_IS_BETTER = ("accuracy", "precision", "recall", "f1", "roc_auc", "r2")
@@ -24,9 +22,6 @@ ALIASES = {
     "auc": "roc_auc", "mae": "mae", "mean_absolute_error": "mae", "mse": "mse", "mean_squared_error": "mse",
     "rmse": "rmse", "root_mean_squared_error": "rmse", "r2": "r2", "r_squared": "r2",
 }
-#: Rows of ``(group, score)`` counts that one prefix-sum bucket holds, and the most buckets.
-BUCKET_ROWS = 200_000
-MAX_BUCKETS = 2_000
 
 
 class MetricError(ValueError):
@@ -157,44 +152,17 @@ def class_report(df: DataFrame, label="label", prediction="prediction", model: s
     return rows.unionByName(acc).unionByName(mac).unionByName(wei)
 
 
-def _bucketed(by_score: DataFrame) -> DataFrame:
-    """``by_score`` (written once) with a bucket: each group's scores are cut at its own
-    sketch quantiles into as many buckets as its rows need, ascending in score."""
-    by_score = cut_lineage(by_score)
-    sizes = by_score.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
-    most = sizes.agg(F.max("rows")).first()[0] or 0
-    n = min(MAX_BUCKETS, math.ceil(most / BUCKET_ROWS))
-    if n < 2:
-        return by_score.withColumn("bucket", F.lit(0))
-    cuts = by_score.groupBy("g").agg(F.percentile_approx("score", [j / n for j in range(1, n)], 20 * n).alias("cuts"))
-    joined = by_score.join(cuts, by_score["g"].eqNullSafe(cuts["g"]), "left").drop(cuts["g"])
-    at = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("score")))
-    return joined.withColumn("bucket", F.coalesce(at, F.lit(0))).drop("cuts")
-
-
-def _prefix(by_score: DataFrame, sums: dict[str, str], upto: int) -> DataFrame:
-    """Running sums within each group in score order, up to the row before (-1) or the row
-    itself (0): bucket offsets plus windows inside (group, bucket)."""
-    rows = _bucketed(by_score)
-    totals = rows.groupBy("g", "bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    before = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("g").alias("_g"), F.col("bucket").alias("_b"), *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
-    inside = Window.partitionBy("g", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, upto)
-    joined = rows.join(offsets, rows["g"].eqNullSafe(offsets["_g"]) & (rows["bucket"] == offsets["_b"]))
-    return joined.select(*by_score.columns, *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(out) for c, out in sums.items()])
-
-
 def auc_by_group(df: DataFrame, group: Column, positive: Column, score: Column) -> DataFrame:
     """Tie-aware ROC AUC per group: ``g, auc`` (NULL when a group lacks either class).
 
     Rows are first grouped by ``(g, score)`` into positive and negative counts, so a
     score shared by a third of the rows is one row. Negatives below each score are a
-    prefix sum over buckets of the group's own score quantiles; their number follows the
-    largest group, so a window task holds about ``BUCKET_ROWS`` rows.
+    running sum over range partitions of (group, score), so a window task holds a partition
+    whatever the groups' sizes.
     """
     by_score = df.groupBy(group.alias("g"), score.cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    ranked = _prefix(by_score, {"neg": "below"}, -1)
+    ranked = running_sums(by_score, "g", "score", {"neg": "below"}, -1)
     return ranked.groupBy("g").agg(
         (F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
          / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"),
@@ -210,11 +178,11 @@ def _positive(df: DataFrame, label: str, pos_label) -> str | None:
 def roc_curve(df: DataFrame, label="label", score="score", pos_label=None) -> DataFrame:
     """ROC curve points ``threshold, fpr, tpr`` (one per distinct score, highest first),
     from the same per-score counts as :func:`roc_auc`; cumulative counts from the top are
-    prefix sums over buckets, never a global window."""
+    running sums over range partitions, never a global window."""
     pos = F.col(label).cast("string") == F.lit(_positive(df, label, pos_label))
     by_score = df.groupBy(F.lit(0).alias("g"), (-F.col(score).cast("double")).alias("score")).agg(
         F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
-    cum = _prefix(by_score, {"neg": "fp", "pos": "tp"}, 0)
+    cum = running_sums(by_score, "g", "score", {"neg": "fp", "pos": "tp"}, 0)
     total = df.agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n")).first()
     return cum.select((-F.col("score")).alias("threshold"), (F.col("fp") / F.lit(float(total["n"]) or float("nan"))).alias("fpr"),
                       (F.col("tp") / F.lit(float(total["p"]) or float("nan"))).alias("tpr"))

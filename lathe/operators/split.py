@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_datetime_type, require_columns
+from ..functions.ordering import before, hash_order, lexi_cutoffs, small_table
+from ..functions.ranking import HOT_SHARE, looked_up, numbered, running_sums
 from ..session import cut_lineage
-from ..functions.ordering import MAX_GROUPS, before, hash_order, lexi_cutoffs, small_table
 
 TRAIN, TEST = "train", "test"
 
@@ -66,16 +67,79 @@ def split_random(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42
     return df.withColumn(col, F.when(before(h, F.col(key), cut), TEST).otherwise(TRAIN))
 
 
-def _class_counts(df: DataFrame, target: str) -> dict:
-    rows = df.groupBy(target).count().limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} classes in {target!r}")
+#: Classes whose counts and cut points the driver keeps; more are tables, with the same result.
+DRIVER_CLASSES = 1_000
+
+
+def _class_counts(df: DataFrame, target: str) -> dict | None:
+    """Rows per class; None if there are more than ``DRIVER_CLASSES``."""
+    rows = df.groupBy(target).count().limit(DRIVER_CLASSES + 1).collect()
+    if len(rows) > DRIVER_CLASSES:
+        return None
     counts = {r[0]: r[1] for r in rows}
     if None in counts:
         raise ValueError(f"target {target!r} has missing values; drop them first")
     return counts
 
 
+def _class_table(df: DataFrame, target: str) -> tuple[DataFrame, int, int, int]:
+    """A table ``cls, n`` of the classes, and the number of rows, of classes, and of rows of the
+    smallest class."""
+    table = cut_lineage(df.groupBy(F.col(f"`{target}`").alias("cls")).agg(F.count("*").alias("n")))
+    row = table.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.min("n").alias("least"), F.count_if(F.col("cls").isNull()).alias("missing")).first()
+    if row["missing"]:
+        raise ValueError(f"target {target!r} has missing values; drop them first")
+    return table, row["n"], row["k"], row["least"]
+
+
+def _quota_table(classes: DataFrame, n: int, n_test: int) -> DataFrame:
+    """:func:`stratified_quotas` of a table of classes: ``cls, n, quota``."""
+    share = F.col("n").cast("decimal(19,0)") * F.lit(n_test).cast("decimal(19,0)")
+    rows = classes.withColumns({"base": F.expr(f"cast(n as decimal(19,0)) * cast({n_test} as decimal(19,0)) div {n}").cast("long"), "rest": -(share % F.lit(n).cast("decimal(19,0)"))})
+    placed = numbered(rows, ["rest", "cls"], "place")
+    extra = n_test - (placed.agg(F.sum("base")).first()[0] or 0)
+    return placed.select("cls", "n", (F.col("base") + F.when(F.col("place") < extra, 1).otherwise(0)).alias("quota"))
+
+
+def _fold_table(classes: DataFrame, k: int) -> DataFrame:
+    """:func:`stratified_fold_sizes` of a table of classes: ``cls, n, bounds`` (rows before each
+    fold but the first)."""
+    rows = classes.withColumns({"g": F.lit(0), "q": F.expr(f"n div {k}"), "e": F.col("n") % k})
+    start = F.col("given") % k
+    placed = running_sums(rows, "g", "cls", {"e": "given"}, -1)
+
+    def bound(j: int) -> Column:
+        extra = F.filter(F.sequence(F.lit(0), F.lit(j - 1)), lambda f: F.pmod(f - start, F.lit(k)) < F.col("e"))
+        return j * F.col("q") + F.size(extra)
+
+    return placed.select("cls", "n", F.array(*[bound(j) for j in range(1, k)]).alias("bounds"))
+
+
+def _cut_by_table(df: DataFrame, target: str, h: Column, key: str, wanted: DataFrame, n: int, col: str, label) -> DataFrame:
+    """Cut every class at its ``bounds`` (rows before a cut), all per-class state in tables.
+
+    Rows (order, key and class only) are numbered within their class, the rows at the bounds are
+    the cut points, and each row of ``df`` is compared with those of its class. Classes that
+    hold many rows are looked up in a broadcast part of the table, so none is one join key.
+    """
+    text = F.col(f"`{target}`").cast("string")
+
+    def coded(table: DataFrame, code: str) -> tuple[DataFrame, DataFrame]:
+        codes = table.select(F.col("cls").cast("string").alias("value"), F.col(code).alias("code"), "n")
+        return codes.drop("n"), codes.where(F.col("n") >= max(2.0, HOT_SHARE * n)).drop("n")
+
+    narrow = df.select(F.col(f"`{target}`").alias("_cls"), h.alias("a"), F.col(f"`{key}`").alias("b"))
+    placed = numbered(narrow, ["a", "b"], "_n", "_cls")
+    at = looked_up(placed, F.col("_cls").cast("string"), *coded(wanted, "bounds"), "_bounds").where(F.array_contains("_bounds", F.col("_n")))
+    cuts = at.groupBy("_cls").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))  # at most as many as bounds
+    # a bound at the class's end has no row to cut at: no row lies behind it; one at 0 cuts at the first
+    table = wanted.join(cuts, wanted["cls"] == cuts["_cls"], "left").select("cls", "n", F.col("cuts").alias("code"))
+    codes, hot = coded(cut_lineage(table), "code")
+    found = looked_up(df.withColumn("_h", h), text, codes, hot, "_code")
+    before_it = F.coalesce(F.array_size(F.filter("_code", lambda c: (c["a"] < F.col("_h")) | ((c["a"] == F.col("_h")) & (c["b"] <= F.col(f"`{key}`"))))), F.lit(0))
+    return found.withColumn(col, label(before_it)).drop("_h", "_code")
+
+
 def stratified_quotas(counts: dict, n_test: int) -> dict:
     """Test rows per class: ``floor(n_c * T / n)`` plus one for the classes with the
     largest remainders (ties: smaller class value) so that the quotas sum to ``T``."""
@@ -114,6 +178,16 @@ def split_stratified(df: DataFrame, key: str, target: str, test_size: float = 0.
     _check_share(test_size)
     require_columns(df, [key, target])
     counts = _class_counts(df, target)
+    h = hash_order(key, seed)
+    if counts is None:
+        classes, n, _, least = _class_table(df, target)
+        if least < 2:
+            return split_random(df, key, test_size, seed, col=col)
+        n_test = math.ceil(test_size * n)
+        if n_test >= n:
+            raise ValueError("no training rows left")
+        wanted = _quota_table(classes, n, n_test).select("cls", "n", F.array("quota").alias("bounds"))
+        return _cut_by_table(df, target, h, key, wanted, n, col, lambda i: F.when(i == 0, TEST).otherwise(TRAIN))
     n = sum(counts.values())
     if min(counts.values()) < 2:
         return split_random(df, key, test_size, seed, col=col)
@@ -121,7 +195,6 @@ def split_stratified(df: DataFrame, key: str, target: str, test_size: float = 0.
     if n_test >= n:
         raise ValueError("no training rows left")
     quotas = stratified_quotas(counts, n_test)
-    h = hash_order(key, seed)
     inner = [(c, q) for c, q in quotas.items() if 0 < q < counts[c]]
     found = {}
     if inner:
@@ -201,13 +274,19 @@ def kfold_stratified(df: DataFrame, key: str, target: str, k: int = 5, seed: int
     class has fewer than k rows, k becomes max(2, smallest); below 2, plain k-fold."""
     require_columns(df, [key, target])
     counts = _class_counts(df, target)
-    smallest = min(counts.values())
+    h = hash_order(key, seed)
+    classes = n = None
+    if counts is None:
+        classes, n, _, smallest = _class_table(df, target)
+    else:
+        smallest = min(counts.values())
     if smallest < 2:
         return kfold(df, key, k, seed, col)
     if smallest < k:
         k = max(2, smallest)
+    if counts is None:
+        return _cut_by_table(df, target, h, key, _fold_table(classes, k), n, col, lambda i: i.cast("int"))
     sizes = stratified_fold_sizes(counts, k)
-    h = hash_order(key, seed)
     targets = [(c, b) for c in sorted(counts) for b in _bounds(sizes[c])]
     ordered = df.select(F.col(target).alias("_g"), h.alias("_h"), F.col(key).alias("_k"))
     cuts = lexi_cutoffs(ordered, ("_h", "_k"), targets, group="_g", counts=counts)

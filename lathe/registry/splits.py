@@ -21,6 +21,12 @@ def _without_key(s, sf):
     return test.join(folds, F.lit(True))
 
 
+def _lines(s, sf):
+    """Lines with a key and their part: thousands of classes, of which one has a third of the rows."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return T(s, sf, "lineitem").select(line.alias("line"), F.when(F.col("l_suppkey") % 3 == 0, -1).otherwise(F.col("l_partkey") % 1200).alias("l_partkey"))
+
+
 QUERIES = {
     "split_without_key": _without_key,
     "split_random": lambda s, sf: split.split_random(T(s, sf, "orders"), "o_orderkey", 0.2, 42).select("o_orderkey", "split"),
@@ -32,6 +38,8 @@ QUERIES = {
     .select("n_nationkey", "n_name", "split"),
     "split_time": lambda s, sf: split.split_time(T(s, sf, "events"), "ts", "event_id", 0.2).select("event_id", "ts", "split"),
     "kfold": lambda s, sf: split.kfold(T(s, sf, "orders"), "o_orderkey", 5, 42).select("o_orderkey", "fold"),
+    "split_many_classes": lambda s, sf: split.split_stratified(_lines(s, sf), "line", "l_partkey", 0.2, 42).select("line", "l_partkey", "split"),
+    "kfold_many_classes": lambda s, sf: split.kfold_stratified(_lines(s, sf), "line", "l_partkey", 5, 42).select("line", "l_partkey", "fold"),
     "kfold_stratified": lambda s, sf: split.kfold_stratified(T(s, sf, "orders"), "o_orderkey", "o_orderstatus", 5, 42)
     .select("o_orderkey", "o_orderstatus", "fold"),
 }
@@ -83,7 +91,16 @@ SELECT x.o_orderkey, x.o_orderstatus, CAST(cum.fold AS INTEGER) AS fold
 FROM x JOIN cum ON x.o_orderstatus = cum.cls AND x.rn >= cum.lo AND x.rn < cum.hi
 """
 
+_LINES = "(SELECT l_orderkey * 10 + l_linenumber AS o_orderkey, CASE WHEN l_suppkey % 3 = 0 THEN -1 ELSE l_partkey % 1200 END AS o_orderstatus FROM lineitem)"
+
+
+def _of_lines(sql, out):
+    return f"SELECT o_orderkey AS line, o_orderstatus AS l_partkey, {out} FROM ({sql.replace('FROM orders', 'FROM ' + _LINES)})"
+
+
 ORACLES = {
+    "split_many_classes": _of_lines(_STRATIFIED, "split"),
+    "kfold_many_classes": _of_lines(_KFOLD_STRAT, "fold"),
     "split_without_key": "SELECT CAST(ceil(0.25 * count(*)) AS BIGINT) AS n_test, count(*) // 4 AS smallest, (count(*) + 3) // 4 AS largest FROM lineitem",
     "split_random": _random_sql("orders", "o_orderkey"),
     "split_random_hash": "SELECT o_orderkey, CASE WHEN CAST(('0x' || substr(" + _h("o_orderkey")

@@ -108,3 +108,37 @@ def test_thirty_thousand_classes(spark):
     df = spark.range(5 * n).withColumn("c", F.col("id") % n)
     got = split.kfold_stratified(df, "id", "c", 5).groupBy("c").agg(F.count_distinct("fold").alias("k")).groupBy("k").count().collect()
     assert [(r["k"], r["count"]) for r in got] == [(5, n)]
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "timestamp"])
+def test_class_tables_equal_the_driver_s(spark, monkeypatch, kind):
+    """The same rows for classes kept in tables; one class holds a third of the rows."""
+    i = F.col("id")
+    n = F.when(i % 3 == 0, 0).otherwise(1 + (i * 31) % 57)
+    cls = {"int": n.cast("int"), "string": F.concat(F.lit("c"), n), "timestamp": F.timestamp_seconds(n * 1000)}[kind]
+    df = spark.range(4001).select(F.concat(F.lit("k"), i).alias("key"), cls.alias("y"), i.alias("rest"))
+    calls = (lambda d: split.split_stratified(d, "key", "y", 0.3, 7), lambda d: split.split_stratified(d, "key", "y", 0.004), lambda d: split.kfold_stratified(d, "key", "y", 5),
+             lambda d: split.kfold_stratified(d.where("rest < 400"), "key", "y", 4))
+    want = [sorted(map(str, call(df).collect())) for call in calls]
+    monkeypatch.setattr(split, "DRIVER_CLASSES", 3)
+    got = [call(df) for call in calls]
+    assert [sorted(map(str, g.collect())) for g in got] == want and got[0].columns == ["key", "y", "rest", "split"]
+    with pytest.raises(ValueError, match="missing"):
+        split.split_stratified(df.withColumn("y", F.when(F.col("rest") % 2 == 0, F.col("y"))), "key", "y")
+
+
+def test_fallbacks_of_class_tables(spark, monkeypatch):
+    monkeypatch.setattr(split, "DRIVER_CLASSES", 3)
+    df = spark.range(50).select("id", (F.col("id") % 49).alias("y"))
+    assert split.split_stratified(df, "id", "y", 0.2).where("split = 'test'").count() == 10
+    assert sorted(r["count"] for r in split.kfold_stratified(df, "id", "y", 5).groupBy("fold").count().collect()) == [10] * 5
+
+
+def test_many_classes(spark):
+    """100,000 classes of three or four rows and a hot one: sizes of all parts are exact."""
+    i = F.col("id")
+    df = spark.range(450_000).where(i % 9 != 5).select("id", F.when(i < 400_000, i % 100_000).otherwise(-1).alias("y"))
+    got = split.split_stratified(df, "id", "y", 0.25)
+    sizes = got.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t"))
+    row = sizes.agg(F.sum("t").alias("t"), F.count_if(F.abs(F.col("t") - 0.25 * F.col("n")) >= 1).alias("off"), F.count("*").alias("k")).first()
+    assert tuple(row) == (-(-df.count() // 4), 0, 100_001)

@@ -30,6 +30,19 @@ def test_numbered_is_the_global_order(spark):
     assert ranking.numbered(df.where("false"), ["x"]).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [None, 3000])
+def test_running_sums(spark, partitions):
+    """One group of nearly all rows and small ones (missing is a group), over many partitions."""
+    df = spark.range(6000).select(F.when(F.col("id") % 100 != 0, 1).when(F.col("id") % 200 == 0, 2).alias("g"), ((F.col("id") * 7919) % 6007).alias("x"), (F.col("id") % 5).alias("n"))
+    for upto in (-1, 0):
+        seen = {}
+        for r in sorted(ranking.running_sums(df, "g", "x", {"n": "s"}, upto, partitions).collect(), key=lambda r: (r.g is None, r.g, r.x)):
+            before = seen.get(r.g, 0)
+            seen[r.g] = before + r.n
+            assert r.s == (before if upto else seen[r.g])
+        assert len(seen) == 3
+
+
 def test_wide_ordinal_and_one_hot(spark, table):
     train = table.where("id < 300000")
     want = codes(r.c for r in train.select("c").distinct().collect())
@@ -88,4 +101,4 @@ def test_hot_rows_are_spread(spark, table):
                               spark.createDataFrame([("hot", 5)], "value string, code long"), "code")
     assert keyed.where("c = 'hot' and code = 5").count() == table.where("c = 'hot'").count()
     plan = keyed._jdf.queryExecution().analyzed().toString()
-    assert "_spread" in plan and "xxhash64" in plan
+    assert "_lk_spread" in plan and "xxhash64" in plan
