@@ -8,11 +8,16 @@
    does a container (``div``, ``ul``, ...) of one section, language or rotation: one on at
    least ``MANY_PAGES`` pages that differ and ``MANY_SHARE`` of the host's pages. Copies of a
    page count once there, as all of a page's own text recurs with it.
+   Every block is counted, whatever its markup says of it.
 3. A page's text is that of its article (else its main element, else its body) without
    template subtrees and without what its markup itself calls something else: navigation,
    headers and footers of the page, asides, forms, notices, adverts, comments of readers.
    Paragraphs, headings, list items and the like within an article are the page's own words
    and stay, however often the site repeats them; so does a subtree with half of the article.
+   Class, id and role say so as whole names (``comments``) or as parts of one that states no
+   condition (``post-comments``, but not ``comments-open`` or ``no-sidebar``). They never speak
+   of headings, of what holds the page's first article (else its main element), or, as parts of
+   a name, of what holds most of the page's text.
 
 Counts are partial sums, so one host with a third of all pages is no large group, and a host's
 template has at most a page's elements / MANY_SHARE hashes. The join of pages with their host's
@@ -70,6 +75,9 @@ ASIDE_WORDS = frozenset(
     "share sharing social related recommended widget toolbar pagination pager search login contentinfo complementary".split()
 )
 _HEADER = frozenset(["header"])
+#: Parts of a name that state a condition of the page or its layout: ``has-sidebar``, ``comments-closed``.
+_CONDITIONS = frozenset("no not has have with without is are open opened closed enabled disabled layout off hide hidden".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Inside an article: what can be template.
 _CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center address menu".split())
 
@@ -77,19 +85,28 @@ _CONTAINERS = frozenset("div section ul ol dl table figure details fieldset cent
 class Node:
     """An element: its children are nodes and texts."""
 
-    __slots__ = ("tag", "words", "parent", "children", "key", "size")
+    __slots__ = ("tag", "names", "parent", "children", "key", "size")
 
-    def __init__(self, tag: str, words: frozenset, parent: Node | None) -> None:
-        self.tag, self.words, self.parent = tag, words, parent
+    def __init__(self, tag: str, names: frozenset, parent: Node | None) -> None:
+        self.tag, self.names, self.parent = tag, names, parent
         self.children: list[Node | str] = []
         self.key = self.size = 0
 
 
-def _words(attributes: str) -> frozenset:
+def _class_names(attributes: str) -> frozenset:
+    """The classes, id and role, each whole."""
     if "=" not in attributes:
         return frozenset()
-    found = " ".join(a or b or c for _, a, b, c in _NAMES.findall(attributes)).lower()
-    return frozenset(re.split(r"[^a-z0-9]+", found)) if found else frozenset()
+    return frozenset(" ".join(a or b or c for _, a, b, c in _NAMES.findall(attributes)).lower().split())
+
+
+def _says(names: frozenset, words: frozenset) -> tuple[bool, bool]:
+    """Whether a name is one of ``words``, and whether one has such a part and states no condition."""
+    whole, part = bool(names & words), False
+    for name in names - words:
+        parts = set(re.split(r"[^a-z0-9]+", name))
+        part |= bool(parts & words and not parts & _CONDITIONS)
+    return whole, part
 
 
 def parse(html: str) -> list[Node]:
@@ -165,7 +182,7 @@ def parse(html: str) -> list[Node]:
                 close(other)
         if tag == "body" and open_.get("head"):
             close(nearest({"head"}, set()))
-        node = Node(tag, _words(m.group(3)), here)
+        node = Node(tag, _class_names(m.group(3)), here)
         here.children.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -189,11 +206,31 @@ def _inside(node: Node, tag: str) -> bool:
     return False
 
 
-def _aside(node: Node, article: bool) -> bool:
-    """Whether the markup says that this is not the article."""
+def _holders(nodes: list[Node]) -> set[int]:
+    """The ids of the page's first article (else main element) outside of what its tags call
+    something else, and of all that holds it: never the page's asides."""
+    barred: set[int] = set()
+    found: dict[str, Node] = {}
+    for node in nodes:
+        if node.tag in ASIDE_TAGS or node.parent is not None and id(node.parent) in barred:
+            barred.add(id(node))
+        elif node.tag in ("article", "main") and node.size:
+            found.setdefault(node.tag, node)
+    node, out = found.get("article") or found.get("main"), set()
+    while node is not None:
+        out.add(id(node))
+        node = node.parent
+    return out
+
+
+def _aside(node: Node, article: bool, holders: set[int], size: int) -> bool:
+    """Whether the markup says that this is not the article; ``size``: the page's text."""
     if node.tag in ASIDE_TAGS or node.tag == "header" and not article:
         return True
-    return node.tag not in ("", "html", "body", "main") and bool(node.words & ASIDE_WORDS or not article and node.words & _HEADER)
+    if not node.names or node.tag in ("", "html", "body", "main") or node.tag in _HEADINGS or id(node) in holders:
+        return False
+    whole, part = _says(node.names, ASIDE_WORDS if article else ASIDE_WORDS | _HEADER)
+    return whole or part and 2 * node.size <= size
 
 
 def _clean(text: str) -> str:
@@ -219,14 +256,15 @@ def _measure(nodes: list[Node]) -> None:
 def _roots(nodes: list[Node]) -> tuple[list[Node], set[int]]:
     """The elements that hold the main text, and the ids of those that are out of it."""
     out: set[int] = set()
+    holders = _holders(nodes)
     for node in nodes:
         parent = node.parent
-        if parent is not None and id(parent) in out or _aside(node, _inside(parent, "article") if parent else False):
+        if parent is not None and id(parent) in out or _aside(node, _inside(parent, "article") if parent else False, holders, nodes[0].size):
             out.add(id(node))
     for tag in ("article", "main"):
         found = [x for x in nodes if x.tag == tag and id(x) not in out]
         if tag == "main" and not found:
-            found = [x for x in nodes if "main" in x.words and id(x) not in out and x.tag in BLOCKS]
+            found = [x for x in nodes if any("main" in re.split(r"[^a-z0-9]+", c) for c in x.names) and id(x) not in out and x.tag in BLOCKS]
         found = [x for x in found if x.size and not (x.parent and _inside(x.parent, tag))]
         if found:
             return found, out
@@ -237,13 +275,12 @@ def _candidates(html: str) -> tuple[set[int], set[int]]:
     """Hashes of the blocks that may be template, and of the containers among them."""
     nodes = parse(html)
     _measure(nodes)
-    _, out = _roots(nodes)
-    found = [x for x in nodes if x.size and x.tag in BLOCKS and x.tag not in ("html", "body") and id(x) not in out]
+    found = [x for x in nodes if x.size and x.tag in BLOCKS and x.tag not in ("html", "head", "body")]
     return {x.key for x in found}, {x.key for x in found if x.tag in _CONTAINERS}
 
 
 def subtrees(html: str) -> set[int]:
-    """Hashes of the blocks that may be template: with text, and not said to be something else."""
+    """Hashes of the blocks that may be template: all with text."""
     return _candidates(html)[0]
 
 

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 from html import escape
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,6 +28,34 @@ def test_main_text():
     assert ht.main_text("<article><div class='x'>" + "long " * 50_000 + "</div></article>") == ("long " * 50_000).strip()
 
 
+KEPT = ["post type-post comments-open", "post comments-closed", "layout no-sidebar", "content-wrap has-sidebar", "with-sidebar", "hentry has-ads", "without-ads entry", "sidebar-off",
+        "page is-menu", "no-comments", "site-content nav-open", "wrap layout-sidebar-right", "comments-disabled single", "article-body share-enabled", "menu-hidden content", "not-sponsored"]
+GONE = ["comments", "comment-list", "site-footer", "main-nav", "cookie-banner", "share-buttons", "related-posts", "widget sidebar-widget", "ad", "ad-slot top", "newsletter-signup", "post-comments"]
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_names_that_state_a_condition(name):
+    for html in (f'<article class="{name}"><p>Own text</p></article>', f'<div class="{name}"><p>Own text</p></div>', f'<div class="{name}"><article><p>Own text</p></article></div>',
+                 f'<body id="x"><main role="main"><section class="{name}"><h2 id="related">Own</h2><p>text</p></section></main></body>'):
+        assert ht.main_text(html).replace("\n", " ") == "Own text"
+
+
+@pytest.mark.parametrize("name", GONE)
+def test_names_of_something_else(name):
+    """Gone beside the article and within it, even if it holds articles of readers."""
+    other = f'<div class="{name}"><article><p>Not this</p></article></div>'
+    long = "<p>" + "Own text " * 9 + "</p>"
+    assert ht.main_text(f"<body><article>{long}{other}</article>{other}</body>") == ("Own text " * 9).strip()
+    assert ht.main_text(f"<body>{long}{other.replace('article', 'div')}</body>") == ("Own text " * 9).strip()
+
+
+def test_holders_are_never_asides():
+    """What holds the first article stays whatever it is called; a second one in an aside goes."""
+    assert ht.main_text('<div class="sidebar"><article class="widget"><p>Own</p></article></div><div class="comments"><article>No</article></div>') == "Own"
+    assert ht.main_text('<div class="post-sidebar-wrap"><p>' + "Most of the page. " * 5 + "</p></div><p>rest</p>").startswith("Most of")
+    assert ht.main_text('<aside><article>No</article></aside><div class="related"><main><h1 class="alert">Own</h1></main></div>') == "Own"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/!-ap b\"'=&;p", max_size=60))
 def test_never_raises(html):
