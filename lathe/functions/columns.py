@@ -89,3 +89,11 @@ def require_columns(df: DataFrame, names) -> None:
     unknown = [n for n in names if n not in df.columns]
     if unknown:
         raise ValueError(f"unknown column(s): {unknown}")
+
+
+def hashable(col: Column, dt: T.DataType) -> Column:
+    """What a hash of the cell is taken of: nested values as JSON, since hashes of arrays and
+    structs pass over missing elements, and maps have none; -0.0 as 0.0."""
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(col, {"ignoreNullFields": "false"})
+    return col + F.lit(0.0) if is_floating(dt) else col

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .columns import clean, is_floating
@@ -24,24 +24,39 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
 ACCURACY = 10_000  # of the sketches that bracket the wanted ranks
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict | None = None) -> dict:
+def bracket_grid(probs: list[float]) -> list[float]:
+    """The shares at which the sketch of :func:`exact_quantiles` is read."""
+    step = 2 / ACCURACY
+    return sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-step, step)})
+
+
+def sketched(xs: list[Column], probs: list[float]) -> list[Column]:
+    """The aggregates that :func:`exact_quantiles` starts from, for callers that scan the table
+    for more: counts ``n0`` ... and sketches ``q0`` ... of the values."""
+    grid = bracket_grid(probs)
+    return [*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)], *[F.percentile_approx(x, grid, ACCURACY).alias(f"q{i}") for i, x in enumerate(xs)]]
+
+
+def present(df: DataFrame, c: str) -> Column:
+    """A number column as double, missing cells null."""
+    x = clean(c, df.schema[c].dataType).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], row: Row | None = None) -> dict:
     """Linear-interpolated quantiles (pandas / numpy default, SQL ``quantile_cont``).
 
     Returns ``{column: [value per prob]}``; a column without present values gives Nones.
     One wide sketch brackets the wanted ranks, one wide count proves the brackets, and only
-    the cells inside them (a few in ``ACCURACY``) are unpivoted and ranked. ``counts`` is
-    accepted for callers that know the present cells; the sketch pass counts them anyway.
+    the cells inside them (a few in ``ACCURACY``) are unpivoted and ranked. ``row`` holds the
+    :func:`sketched` aggregates if the caller has them already.
     """
     if not cols:
         return {}
-    xs = []
-    for c in cols:
-        x = clean(c, df.schema[c].dataType).cast("double")
-        xs.append(F.when(~F.isnan(x), x))
-    step = 2 / ACCURACY
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-step, step)})
-    row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-                 *[F.percentile_approx(x, grid, ACCURACY).alias(f"q{i}") for i, x in enumerate(xs)]).first()
+    xs = [present(df, c) for c in cols]
+    step, grid = 2 / ACCURACY, bracket_grid(probs)
+    if row is None:
+        row = df.agg(*sketched(xs, probs)).first()
     brackets = []  # column, prob, lo, hi
     for i in range(len(cols)):
         for p in probs if row[f"n{i}"] else []:
@@ -99,8 +114,8 @@ def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accurac
     return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)) for i, c in enumerate(cols)}
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True, counts=None) -> dict:
-    return exact_quantiles(df, cols, probs, counts) if exact else approx_quantiles(df, cols, probs)
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True) -> dict:
+    return exact_quantiles(df, cols, probs) if exact else approx_quantiles(df, cols, probs)
 
 
 __all__ = ["exact_quantiles", "approx_quantiles", "quantiles", "long_values", "is_floating"]

@@ -7,22 +7,23 @@ aggregations over the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
     clean,
+    hashable,
     is_categorical_type,
     is_datetime_type,
-    is_floating,
     is_missing,
     is_numeric_type,
     require_columns,
 )
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import ACCURACY, exact_quantiles, present, sketched
+from ..session import cut_lineage
 from ..sources.io import POSITION
-from .quality import duplicate_report, missing_report
+from .quality import row_hashes
 
 _STATS_SCHEMA = (
     "column_name string, position int, mean double, median double, std double, min double, max double"
@@ -42,39 +43,42 @@ def numeric_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per numeric column: mean, median, sample std, min, max, rounded to 2 decimals;
     missing cells skipped; an undefined value gives 0.0.
 
-    One wide aggregation for mean/std/min/max/count; the median is an exact order
-    statistic (:mod:`lathe.functions.ordering`) or, with ``exact=False``, a sketch.
+    One wide aggregation for mean/std/min/max and the sketch that brackets the median, which is
+    an exact order statistic (:func:`lathe.functions.quantiles.exact_quantiles`) or, with
+    ``exact=False``, the sketch's.
     """
-    spark = df.sparkSession
     cols = numeric_columns(df)
     if not cols:
-        return spark.createDataFrame([], _STATS_SCHEMA)
+        return df.sparkSession.createDataFrame([], _STATS_SCHEMA)
+    row = df.agg(*_stats_aggs(df, cols, exact)).first()
+    return _stats_table(df, cols, _stats_of(df, cols, row, exact))
+
+
+def _stats_aggs(df: DataFrame, cols: list[str], exact: bool) -> list[Column]:
     aggs = []
     for i, c in enumerate(cols):
         x = _num(df, c)
-        aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}"), F.count(x).alias(f"n{i}")]
-    row = df.agg(*aggs).first()
-    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    med = quantiles(df, cols, [0.5], exact=exact, counts=counts)
-    pos = {c: i for i, c in enumerate(df.columns)}
-
-    def r2(v):
-        return 0.0 if v is None or v != v else float(v)
-
-    rows = [
-        (c, pos[c], r2(row[f"a{i}"]), r2(med[c][0]), r2(row[f"s{i}"]), r2(row[f"lo{i}"]), r2(row[f"hi{i}"]))
-        for i, c in enumerate(cols)
-    ]
-    out = spark.createDataFrame(rows, _STATS_SCHEMA)
+        aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    xs = [present(df, c) for c in cols]
+    return aggs + (sketched(xs, [0.5]) if exact else [F.percentile_approx(x, 0.5, ACCURACY).alias(f"med{i}") for i, x in enumerate(xs)])
+
+
+def _stats_of(df: DataFrame, cols: list[str], row: Row, exact: bool) -> list[tuple]:
+    """Mean, median, std, min, max of each column; 0.0 where undefined."""
+    medians = exact_quantiles(df, cols, [0.5], row) if exact else {c: [row[f"med{i}"]] for i, c in enumerate(cols)}
+    found = [(row[f"a{i}"], medians[c][0], row[f"s{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)]
+    return [tuple(0.0 if v is None or v != v else float(v) for v in values) for values in found]
+
+
+def _stats_table(df: DataFrame, cols: list[str], stats: list[tuple]) -> DataFrame:
+    out = df.sparkSession.createDataFrame([(c, df.columns.index(c), *values) for c, values in zip(cols, stats, strict=True)], _STATS_SCHEMA)
     return out.select("column_name", "position", *[F.round(c, 2).alias(c) for c in ("mean", "median", "std", "min", "max")])
 
 
-def _text_value(name: str, dt: T.DataType):
-    col = F.col(name)
-    if is_floating(dt):
-        col = F.nanvl(col, F.lit(None).cast(dt)) + F.lit(0.0)  # -0.0 and 0.0 are one value
-    return col.cast("string")
+def _cell(i: int, f: T.StructField) -> Column:
+    """``position`` and two 64-bit hashes of a present cell; null for a missing one."""
+    col = hashable(clean(f.name, f.dataType), f.dataType)
+    return F.when(col.isNotNull(), F.struct(F.lit(i).alias("position"), F.xxhash64(col).alias("a"), F.xxhash64(F.lit("second"), col).alias("b")))
 
 
 def profile_flags(df: DataFrame) -> list[tuple]:
@@ -91,10 +95,11 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: dtype, distinct non-missing values and their share, missing count and
     share (shares in percent, 2 decimals), and the numeric / categorical / datetime flags.
 
-    ``exact=True``: the table is unpivoted to ``(position, value as text)`` and distinct
-    values are counted per position (the shuffle is keyed by the value, so a column whose
-    values are all distinct still spreads over all tasks). ``exact=False``: one pass of
-    HyperLogLog sketches (``approx_count_distinct``).
+    ``exact=True``: distinct 128-bit hashes of the cells are counted per position, combined
+    map-side, so long texts stay where they are and a column whose values are all distinct
+    still spreads over all tasks. Different values are taken for equal if both 64-bit hashes
+    agree: a chance below 10^-14 among 10^12 values. ``exact=False``: one pass of HyperLogLog
+    sketches (``approx_count_distinct``).
     """
     spark = df.sparkSession
     flags = profile_flags(df)
@@ -103,12 +108,9 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     )
     n_cols = len(df.columns)
     if exact:
-        cells = F.explode(
-            F.array(*[F.struct(F.lit(i).alias("position"), _text_value(f.name, f.dataType).alias("v"))
-                      for i, f in enumerate(df.schema.fields)])
-        )
-        long = df.select(cells.alias("_c")).select("_c.position", "_c.v")
-        distinct = long.where(F.col("v").isNotNull()).groupBy("position").agg(F.count_distinct("v").alias("unique_values"))
+        cells = F.explode(F.array_compact(F.array(*[_cell(i, f) for i, f in enumerate(df.schema.fields)])))
+        long = df.select(cells.alias("_c")).select("_c.*").distinct()
+        distinct = long.groupBy("position").agg(F.count("*").alias("unique_values"))
     else:
         row_aggs = [
             F.approx_count_distinct(clean(f.name, f.dataType), rsd=0.01).alias(f"d{i}") for i, f in enumerate(df.schema.fields)
@@ -281,40 +283,71 @@ def imbalance_flag(df: DataFrame, target: str, threshold: float = 20.0) -> DataF
     )
 
 
+_PROFILED = ["column_name", "position", "dtype", "unique_values", "unique_percentage", "missing_count", "missing_percentage", "is_numeric", "is_categorical", "is_datetime"]
+_STATISTICS = ["mean", "median", "std", "min", "max"]
+
+
+def _facts(df: DataFrame, exact: bool) -> tuple[DataFrame, int, int]:
+    """The column profile with the statistics (null for other columns), rows and duplicate rows.
+
+    One wide aggregation gives missing cells, moments and sketches, one count of hashes the
+    distinct values of all columns and the distinct rows; the rest are the medians' proof and
+    their few cells. What reaches the driver is a row for each column.
+    """
+    spark, fields = df.sparkSession, df.schema.fields
+    cols = numeric_columns(df)
+    missing = [F.count_if(is_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)]
+    sketches = [] if exact else [F.approx_count_distinct(clean(f.name, f.dataType), rsd=0.01).alias(f"d{i}") for i, f in enumerate(fields)]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *missing, *sketches, *_stats_aggs(df, cols, exact)).first()
+    whole = F.struct(F.lit(-1).alias("position"), *[h.alias(n) for n, h in zip("ab", row_hashes(df), strict=True)])
+    cells = F.array(whole, *([_cell(i, f) for i, f in enumerate(fields)] if exact else []))
+    hashes = df.select(F.explode(F.array_compact(cells)).alias("_c")).select("_c.*").distinct()
+    found = {r["position"]: r["n"] for r in hashes.groupBy("position").agg(F.count("*").alias("n")).collect()}
+    stats = dict(zip(cols, _stats_of(df, cols, row, exact), strict=True)) if cols else {}
+    rows = [(*flags, found.get(i, 0) if exact else row[f"d{i}"], row[f"m{i}"], *stats.get(flags[0], (None,) * 5)) for i, flags in enumerate(profile_flags(df))]
+    schema = ("column_name string, position int, dtype string, is_numeric boolean, is_categorical boolean, is_datetime boolean, unique_values long, missing_count long, "
+              + ", ".join(f"{c} double" for c in _STATISTICS))
+    n = row["rows"]
+    share = {c: (F.round(F.col(v) * 100.0 / n, 2) if n else F.lit(0.0)).alias(c) for c, v in (("unique_percentage", "unique_values"), ("missing_percentage", "missing_count"))}
+    table = spark.createDataFrame(rows, schema).select(*[share.get(c, c) for c in _PROFILED], *[F.round(c, 2).alias(c) for c in _STATISTICS])
+    return table, n, n - found.get(-1, 0)
+
+
 def analyze(df: DataFrame, target: str | None = None, exact: bool = True) -> DataFrame:
     """The combined profile report as one long table ``(section, column_name, metric, value)``:
     missing, duplicates, numeric stats, column profile and, with a target, class balance.
     """
-    if df.isEmpty():
-        raise ValueError("the table is empty")
     if target is not None and target not in df.columns:
         raise ValueError(f"target column {target!r} does not exist")
-    src = df
-    parts = []
-    miss = missing_report(src)
-    parts.append(miss.select(F.lit("missing").alias("section"), "column_name", F.lit("missing_count").alias("metric"),
-                             F.col("missing_count").cast("double").alias("value")))
-    parts.append(miss.select(F.lit("missing"), "column_name", F.lit("missing_percentage"), F.col("missing_percentage")))
-    dup = duplicate_report(src)
-    parts.append(dup.select(F.lit("duplicates"), F.lit(None).cast("string"), F.lit("duplicate_rows"), F.col("duplicate_rows").cast("double")))
-    parts.append(dup.select(F.lit("duplicates"), F.lit(None).cast("string"), F.lit("duplicate_percentage"), F.col("duplicate_percentage")))
-    stats = numeric_stats(src, exact=exact)
-    stack = "stack(5, 'mean', mean, 'median', median, 'std', std, 'min', min, 'max', max) as (metric, value)"
-    parts.append(stats.selectExpr("'statistics' as section", "column_name", stack))
-    prof = column_profile(src, exact=exact)
-    pstack = (
-        "stack(7, 'unique_values', cast(unique_values as double), 'unique_percentage', unique_percentage, "
-        "'missing_count', cast(missing_count as double), 'missing_percentage', missing_percentage, "
-        "'is_numeric', cast(is_numeric as double), 'is_categorical', cast(is_categorical as double), "
-        "'is_datetime', cast(is_datetime as double)) as (metric, value)"
-    )
-    parts.append(prof.selectExpr("'profile' as section", "column_name", pstack))
+    spark = df.sparkSession
+    prof, n, extra = _facts(df, exact)
+    if not n:
+        raise ValueError("the table is empty")
+    lines = "section string, column_name string, metric string, value double"
+    repeats = spark.createDataFrame([("duplicates", None, "duplicate_rows", float(extra)), ("duplicates", None, "duplicate_percentage", extra * 100.0 / n)], lines)
+    parts = [
+        prof.where("missing_count > 0").selectExpr("'missing' as section", "column_name",
+                                                   "stack(2, 'missing_count', cast(missing_count as double), 'missing_percentage', missing_percentage) as (metric, value)"),
+        repeats.withColumn("value", F.round("value", 2)),
+        prof.where("mean is not null").selectExpr("'statistics' as section", "column_name", "stack(5, 'mean', mean, 'median', median, 'std', std, 'min', min, 'max', max) as (metric, value)"),
+        prof.selectExpr(
+            "'profile' as section", "column_name",
+            "stack(7, 'unique_values', cast(unique_values as double), 'unique_percentage', unique_percentage, "
+            "'missing_count', cast(missing_count as double), 'missing_percentage', missing_percentage, "
+            "'is_numeric', cast(is_numeric as double), 'is_categorical', cast(is_categorical as double), "
+            "'is_datetime', cast(is_datetime as double)) as (metric, value)"),
+    ]
     if target is not None:
-        bal = class_balance(src, target)
-        parts.append(bal.select(F.lit("balance"), "class_value", F.lit("count"), F.col("count").cast("double")))
-        parts.append(bal.select(F.lit("balance"), "class_value", F.lit("percentage"), F.col("percentage")))
-        parts.append(imbalance_flag(src, target).select(F.lit("balance"), F.lit(None).cast("string"), F.lit("imbalanced"),
-                                                        F.col("imbalanced").cast("double")))
+        dt = df.schema[target].dataType
+        # classes may be many: counted once, judged by one more row
+        counts = cut_lineage(df.where(~is_missing(target, dt)).groupBy(F.col(f"`{target}`").cast("string").alias("class_value")).count())
+        total = counts.agg(F.sum("count").alias("total"), F.min("count").alias("smallest")).first()
+        if total["total"] is None:
+            raise ValueError(f"target column {target!r} has no present values")
+        flag = float(total["smallest"] * 100.0 / total["total"] < 20.0)
+        parts.append(counts.withColumn("share", F.round(F.col("count") * 100.0 / F.lit(total["total"]), 2)).selectExpr(
+            "'balance' as section", "class_value as column_name", "stack(2, 'count', cast(count as double), 'percentage', share) as (metric, value)"))
+        parts.append(spark.createDataFrame([("balance", None, "imbalanced", flag)], lines))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p.toDF(*out.columns))
@@ -328,16 +361,8 @@ def dataset_context(df: DataFrame, exact: bool = True) -> DataFrame:
     """
     if not df.columns:
         raise ValueError("the profile is empty: the table has no columns")
-    prof = column_profile(df, exact=exact)
-    stats = numeric_stats(df, exact=exact).drop("column_name")
-    dup = duplicate_report(df).first()
-    return (
-        prof.join(F.broadcast(stats), "position", "left")
-        .select("position", "column_name", "dtype", "unique_values", "unique_percentage", "missing_count",
-                "missing_percentage", "is_numeric", "is_categorical", "is_datetime", "mean", "median", "std", "min",
-                "max", F.lit(dup["total_rows"]).cast("long").alias("n_rows"),
-                F.lit(dup["duplicate_rows"]).cast("long").alias("duplicate_rows"))
-    )
+    prof, n, extra = _facts(df, exact)
+    return prof.select("position", *[c for c in _PROFILED if c != "position"], *_STATISTICS, F.lit(n).cast("long").alias("n_rows"), F.lit(extra).cast("long").alias("duplicate_rows"))
 
 
 __all__ = [

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_missing, require_columns
+from ..functions.columns import hashable, is_missing, require_columns
 
 
 class ValidationError(ValueError):
@@ -115,6 +115,18 @@ def drop_identical_columns(df: DataFrame) -> DataFrame:
     return df.drop(*drop) if drop else df
 
 
+def row_hashes(df: DataFrame, cols: list[str] | None = None) -> list[Column]:
+    """The two 64-bit hashes ``_a``, ``_b`` by which :func:`duplicate_report` tells rows apart."""
+    cols = list(cols or df.columns)
+    require_columns(df, cols)
+    bad = [c for c in cols if isinstance(df.schema[c].dataType, T.MapType)]
+    if bad:
+        raise ValueError(f"map columns cannot be compared for duplicates: {bad}")
+    hin = [hashable(F.col(f"`{c}`"), df.schema[c].dataType) for c in cols]
+    holes = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in cols])
+    return [F.xxhash64(holes, *hin).alias("_a"), F.xxhash64(F.lit("second"), *reversed(hin), holes).alias("_b")]
+
+
 def duplicate_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Repeats after the first occurrence over ``cols`` (all by default): one row with
     ``duplicate_rows, total_rows, duplicate_percentage``. An empty table gives 0.
@@ -124,16 +136,7 @@ def duplicate_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     repeated in a third of the table is one partial count per task. Different rows are taken
     for equal if both 64-bit hashes agree: a chance below 10^-14 among 10^12 distinct rows.
     """
-    cols = list(cols or df.columns)
-    require_columns(df, cols)
-    bad = [c for c in cols if isinstance(df.schema[c].dataType, T.MapType)]
-    if bad:
-        raise ValueError(f"map columns cannot be compared for duplicates: {bad}")
-    # hash inputs with -0.0 folded into 0.0, as grouping (and pandas) treat them as equal
-    hin = [F.col(f"`{c}`") + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
-           else F.col(f"`{c}`") for c in cols]
-    holes = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in cols])
-    by_hash = df.groupBy(F.xxhash64(holes, *hin).alias("_a"), F.xxhash64(F.lit("second"), *reversed(hin), holes).alias("_b")).count()
+    by_hash = df.groupBy(*row_hashes(df, cols)).count()
     total, extra = F.coalesce(F.sum("count"), F.lit(0)).cast("long"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long")
     share = F.when(F.col("total_rows") > 0, F.round(F.col("duplicate_rows") * 100.0 / F.col("total_rows"), 2)).otherwise(0.0)
     return by_hash.agg(extra.alias("duplicate_rows"), total.alias("total_rows")).withColumn("duplicate_percentage", share)

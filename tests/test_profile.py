@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lathe.operators import profile
 from lathe.sources import io
@@ -126,3 +127,37 @@ def test_first_values_in_file_order(spark, tmp_path, kind, head):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     with pytest.raises(io.SourceError):
         io.preview(spark.range(3))
+
+
+def test_few_passes(spark, sf):
+    """The report and the context scan the table a few times, whatever the number of columns."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    counts = {}
+    for name, call in (("report", lambda: profile.analyze(orders, "o_orderstatus").collect()), ("context", lambda: profile.dataset_context(orders).collect())):
+        group = f"{name}-{random.random()}"
+        spark.sparkContext.setJobGroup(group, name)
+        call()
+        counts[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts["report"] <= 16 and counts["context"] <= 12, counts
+
+
+def test_report_agrees_with_its_parts(spark, sf):
+    table = spark.read.parquet(f"{sf}/part.parquet").withColumn("p_size", F.expr("nullif(p_size, 7)"))
+    for exact in (True, False):
+        got = {(r.section, r.column_name, r.metric): r.value for r in profile.analyze(table, "p_brand", exact).collect()}
+        for r in profile.column_profile(table, exact).collect():
+            assert got["profile", r.column_name, "unique_values"] == r.unique_values and got["profile", r.column_name, "missing_percentage"] == r.missing_percentage
+        for r in profile.numeric_stats(table, exact).collect():
+            assert [got["statistics", r.column_name, m] for m in ("mean", "median", "std", "min", "max")] == [r.mean, r["median"], r["std"], r["min"], r["max"]]
+        assert got["missing", "p_size", "missing_count"] == table.where("p_size is null").count() and ("missing", "p_name", "missing_count") not in got
+    with pytest.raises(ValueError, match="empty"):
+        profile.analyze(table.where("false"))
+    assert profile.dataset_context(table.where("false")).agg(F.max("unique_values")).first()[0] == 0
+
+
+def test_distinct_cells_by_hash(spark):
+    nan = float("nan")
+    rows = [(0.0, "", {"a": 1}, [1.0, None]), (-0.0, None, {"a": 1}, [1.0]), (nan, "", None, None), (None, "x", {"b": 1}, [1.0])]
+    df = spark.createDataFrame(rows, "d double, s string, m map<string,int>, a array<double>")
+    assert {r.column_name: r.unique_values for r in profile.column_profile(df).collect()} == {"d": 1, "s": 2, "m": 2, "a": 2}

@@ -65,3 +65,10 @@ def test_duplicates_tell_missing_cells_apart(spark):
     df = spark.createDataFrame([("x", None), (None, "x"), ("x", None), (None, None)], "a string, b string")
     assert quality.duplicate_report(df).first()["duplicate_rows"] == 1
     assert quality.duplicate_report(df.limit(0)).first()["duplicate_percentage"] == 0.0
+
+
+def test_nested_values_are_compared_whole(spark):
+    """A missing element or field tells rows apart."""
+    rows = [(1, [1, None], ("a", None)), (1, [1], ("a", None)), (1, [None, 1], (None, "a")), (1, [1], ("a", None)), (1, None, None)]
+    df = spark.createDataFrame(rows, "x int, a array<int>, s struct<p:string,q:string>")
+    assert quality.duplicate_report(df).first()["duplicate_rows"] == 1
