@@ -10,10 +10,10 @@
 3. A template that ``min_docs`` documents have recurs; its lines are dropped, but for the first
    line of the smallest document that has it (so each text survives once).
 
-Lines leave their document as two 64-bit hashes (tree path, masked line) with their positions;
-both must agree. A document's lines of one template are one row, spread by document, and are
-then counted per template with partial sums, so a line that a third of all documents have is
-a few rows of a task. Words are looked at in leaves of several masked lines and ``min_docs``
+Lines leave their document as two 64-bit hashes (tree path, masked line) and their position;
+both must agree. Equal lines of a document are combined, spread by document, and then counted
+per template with partial sums, so a line that a third of all documents have is a few rows of
+a task. Words are looked at in leaves of several masked lines and ``min_docs``
 documents only, once for each masked line. Texts move to show those lines, and to meet the
 positions of their dropped lines.
 
@@ -42,13 +42,18 @@ PART_ROWS = 10_000
 
 _SPACE = r"[\x09-\x0D\x20]"
 _FIELD = r"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*"
+#: The same words, found without going back: from a word's start, past what is no digit.
+_FIELD_JAVA = r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+"
 _LAST = 2**63 - 1
 
 
 def template(line: Column) -> Column:
     """The line with one space between words and ``<*>`` for variable fields."""
-    spaced = F.trim(F.regexp_replace(line, _SPACE + "+", " "))
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, _FIELD, "<*>")).otherwise(spaced)
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(mark))
+    spaced = F.trim(F.when(odd, F.regexp_replace(line, _SPACE + "+", " ")).otherwise(line))
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, _FIELD_JAVA, "<*>")).otherwise(spaced)
 
 
 def _path(masked: Column, depth: int) -> Column:
@@ -75,7 +80,7 @@ def _generalised(rows: DataFrame, text: str, counted: DataFrame, min_docs: int,
     leaves = counted.groupBy("_h1").agg(F.count("*").alias("_rows"), F.sum("_n").alias("_docs")).where((F.col("_rows") > 1) & (F.col("_docs") >= min_docs))
     members = _dealt(counted, leaves.withColumn("_k", F.col("_rows")), ["_h1"], "_h2")
     # a document shows the masked lines that it is the first to have
-    lines = F.collect_list(F.struct("_h1", "_h2", "_n", "_docs", "_k", F.col("_first._at").alias("_at"))).alias("_lines")
+    lines = F.collect_list(F.struct("_h1", "_h2", "_n", "_docs", "_k", F.col("_first._pos").alias("_at"))).alias("_lines")
     owners = members.groupBy(F.col("_first.__ld_doc").alias("__ld_doc"), F.col("_first.__ld_th").alias("__ld_th")).agg(lines)
     shown = rows.select("__ld_doc", "__ld_th", F.split(F.col(text), "\n").alias("_split")).join(owners, ["__ld_doc", "__ld_th"])
     words = F.transform("_lines", lambda x: F.struct(x["_h1"].alias("_h1"), x["_h2"].alias("_h2"), x["_n"].alias("_n"), x["_docs"].alias("_docs"), x["_k"].alias("_k"),
@@ -100,28 +105,23 @@ def drop_recurring(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     rows = documents.withColumns({"__ld_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "__ld_th": F.xxhash64(F.col(text))})
     lines = rows.select("__ld_doc", "__ld_th", F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "_line"))
     masked = lines.select("__ld_doc", "__ld_th", "_pos", template(F.col("_line")).alias("_m")).where("_m <> ''")
-    keyed = masked.select("__ld_doc", "__ld_th", "_pos", _path(F.col("_m"), depth).alias("_h1"), F.xxhash64("_m").alias("_h2"))
-    found = keyed.groupBy("__ld_doc", "__ld_th", "_h1", "_h2").agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
-    found = written(found, "lines")
+    lines = written(masked.select("__ld_doc", "__ld_th", "_pos", _path(F.col("_m"), depth).alias("_h1"), F.xxhash64("_m").alias("_h2")), "lines")
 
-    first = F.min(F.struct("__ld_doc", "__ld_th", F.get("_at", F.lit(0)).alias("_at"))).alias("_first")
-    counted = written(found.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), first), "masked")
+    place = F.struct("__ld_doc", "__ld_th", "_pos")
+    once = lines.groupBy("__ld_doc", "__ld_th", "_h1", "_h2").agg(F.min("_pos").alias("_pos"))
+    counted = written(once.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min(place).alias("_first")), "masked")
     general = written(_generalised(rows, text, counted, min_docs, depth), "general")
 
-    owner = F.struct("__ld_doc", "__ld_th")
     # lines of a leaf's template: their documents are counted together
-    seen = _dealt(found, general, ["_h1", "_h2"], "__ld_doc").select("_h1", owner.alias("_owner"))
-    leaf = seen.groupBy("_h1").agg(F.count_distinct("_owner").alias("_n"), F.min("_owner").alias("_first")).where(F.col("_n") >= min_docs)
+    seen = _dealt(lines, general, ["_h1", "_h2"], "__ld_doc").groupBy("_h1", "__ld_doc", "__ld_th").agg(F.min("_pos").alias("_pos"))
+    leaf = seen.groupBy("_h1").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where(F.col("_n") >= min_docs)
     held = general.groupBy("_h1").agg(F.count("*").alias("_held"))
     leaf = written(leaf.join(held, "_h1").select("_h1", "_first", F.col("_held").alias("_rows")), "recurring")
-    kinds = _dealt(general.withColumnRenamed("_rows", "_n"), leaf, ["_h1"], "_h2").select("_h1", "_h2", F.lit(0).cast("long").alias("_h3"), "_first", F.col("_n").alias("_rows"))
+    kinds = _dealt(general.withColumnRenamed("_rows", "_n"), leaf, ["_h1"], "_h2").select("_h1", "_h2", "_first", F.col("_n").alias("_rows"))
     alone = counted.where(F.col("_n") >= min_docs).join(general.select("_h1", "_h2"), ["_h1", "_h2"], "left_anti")
-    alone = alone.select("_h1", "_h2", F.col("_h2").alias("_h3"), F.struct("_first.__ld_doc", "_first.__ld_th").alias("_first"), F.col("_n").alias("_rows"))
-    met = _dealt(found, written(kinds.unionByName(alone), "templates"), ["_h1", "_h2"], "__ld_doc")
-    # a document's lines of one template, whichever masked lines they are
-    met = met.groupBy("__ld_doc", "__ld_th", "_h1", "_h3").agg(F.sort_array(F.flatten(F.collect_list("_at"))).alias("_at"), F.first("_first").alias("_first"))
-    drops = met.select("__ld_doc", "__ld_th", F.when(F.col("_first") == owner, F.slice("_at", 2, F.size("_at"))).otherwise(F.col("_at")).alias("_at"))
-    drops = drops.where(F.size("_at") > 0).groupBy("__ld_doc", "__ld_th").agg(F.flatten(F.collect_list("_at")).alias("__ld_drop"))
+    alone = alone.select("_h1", "_h2", "_first", F.col("_n").alias("_rows"))
+    met = _dealt(lines, written(kinds.unionByName(alone), "templates"), ["_h1", "_h2"], "__ld_doc").where(F.col("_first") != place)
+    drops = met.groupBy("__ld_doc", "__ld_th").agg(F.collect_set("_pos").alias("__ld_drop"))
 
     joined = rows.drop("n_lines", "n_dropped").join(drops, ["__ld_doc", "__ld_th"], "left")
     split = F.split(F.col(text), "\n")
