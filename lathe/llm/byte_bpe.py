@@ -32,7 +32,7 @@ from lathe.llm.tokens import slices
 
 LEAF = 48
 #: Pieces whose ids a worker remembers (about 200 bytes each).
-_REMEMBERED = 150_000
+_REMEMBERED = 250_000
 _WINDOW = 4
 
 
