@@ -54,6 +54,70 @@ def test_knn_exact_and_blocked(spark, monkeypatch):
     assert all(abs(blocked[k] - single[k]) < 1e-12 for k in single)
 
 
+def _brute(q, t, k):
+    import numpy as np
+
+    with np.errstate(invalid="ignore", over="ignore"):
+        d = np.zeros((len(q), len(t)))
+        for j in range(t.shape[1]):
+            d += (q[:, j, None] - t[None, :, j]) ** 2
+        d = np.round(np.sqrt(d), 9)
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return order, np.take_along_axis(d, order, 1)
+
+
+@pytest.mark.parametrize("kind", ["normal", "integers", "copies", "offset", "scales", "tiny", "odd", "no plain row"])
+def test_knn_candidates_are_exact(kind, monkeypatch):
+    """Bounded, pruned and measured pairs rank as all pairs do: ties, copies, odd values."""
+    import numpy as np
+
+    monkeypatch.setattr(knn, "_ASKED", 16)
+    monkeypatch.setattr(knn, "_ROWS", 64)
+    rng = np.random.default_rng(3)
+    q, t = rng.normal(size=(90, 4)), rng.normal(size=(700, 4))
+    if kind == "integers":
+        q, t = np.round(q), np.round(t)
+    elif kind == "copies":
+        t = np.repeat(t[:7], 100, axis=0)[rng.permutation(700)]
+        q = t[:90]
+    elif kind == "offset":
+        q, t = q + 1e9, t + 1e9
+    elif kind == "scales":
+        q, t = q * [1e-6, 1, 1e3, 1e6], t * [1e-6, 1, 1e3, 1e6]
+    elif kind == "tiny":  # distances that rounding makes equal
+        q, t = 1 + q * 1e-9, 1 + t * 1e-9
+    elif kind in ("odd", "no plain row"):
+        q[::7, 1], q[3::20, 2], q[5::30, 0], q[6::30] = np.nan, np.inf, 1e200, 1e120
+        t[::5, 0], t[1::9, 2], t[2::50, 3] = np.nan, -np.inf, 1e160
+        if kind == "no plain row":
+            t[:, 1] = np.inf
+    for k in (1, 5, 800):
+        (at, d), (want_at, want_d) = knn._topk(q, t, k), _brute(q, t, k)
+        assert np.array_equal(at, want_at) and np.array_equal(d, want_d, equal_nan=True)
+
+
+def test_knn_task_memory_is_bounded():
+    """A block of many short rows needs no matrix of all its distances at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    q, t = rng.normal(size=(400, 3)), rng.normal(size=(100_000, 3))
+    tracemalloc.start()
+    knn._topk(q, t, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+
+
+def test_documents_are_joined_without_their_texts(spark, sf):
+    from lathe.registry.models import _docs
+
+    plan = _docs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "text#" not in plan.split("Join")[0]
+
+
 def test_tune_grid_picks_and_refits(spark):
     df = _clf(spark)
     folded = split.kfold_stratified(df, "id", "y", 3)
