@@ -111,6 +111,17 @@ def test_knn_task_memory_is_bounded():
     assert peak < 80e6
 
 
+def test_knn_tuning_searches_a_fold_once(spark, monkeypatch):
+    """All k of the grid are scored on neighbours that are kept, as are the folds."""
+    plans = []
+    scored = tune.score_predictions
+    monkeypatch.setattr(tune, "score_predictions", lambda pred, *a: (plans.append(pred._jdf.queryExecution().withCachedData().toString()), scored(pred, *a))[1])
+    folded = split.kfold_stratified(_clf(spark), "id", "y", 2)
+    tune.tune(folded, ["a", "b"], "y", "knn", "classification", "accuracy", {"n_neighbors": [1, 3]})
+    assert len(plans) == 4 and all("InMemoryRelation" in p and "CoGroup" not in p.split("InMemoryRelation")[0] for p in plans)
+    assert not folded.is_cached
+
+
 def test_documents_are_joined_without_their_texts(spark, sf):
     from lathe.registry.models import _docs
 
