@@ -103,3 +103,18 @@ def test_failed_candidate_shows(spark):
     assert r.status == "incomplete" and r.best_id == "good"
     with pytest.raises(RuntimeError, match="bad"):
         r.raise_for_failures()
+
+
+def test_retrain_keeps_its_rows_for_both_runs(spark, monkeypatch):
+    """Both runs read rows that are kept and let go afterwards; a caller's own stay kept."""
+    from types import SimpleNamespace as N
+
+    kept = []
+    run = N(config=N(metric="f1"), problem=N(problem_type="classification", target="y"), best_id="m", candidates=[N(candidate_id="m", metrics={"f1": 0.5})])
+    monkeypatch.setattr(auto, "auto_train", lambda df, *a, **k: (kept.append(df.is_cached), run)[1])
+    df = spark.range(3)
+    out = auto.retrain_compare(df, None)[2]
+    assert kept == [True, True] and not df.is_cached and out.first()["winner"] == "tie"
+    auto.retrain_compare(df.persist(), None)
+    assert df.is_cached
+    df.unpersist()
