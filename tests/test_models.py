@@ -111,6 +111,38 @@ def test_knn_task_memory_is_bounded():
     assert peak < 80e6
 
 
+@pytest.mark.parametrize("ids", ["one", "missing"])
+def test_knn_blocks_do_not_grow_with_an_id(spark, monkeypatch, tmp_path, ids):
+    """Rows of one id, or without one, go to blocks like any other, and rank as in one block."""
+    import uuid
+
+    import numpy as np
+
+    found, made = knn._topk, str(tmp_path)
+
+    def told(q, t, k):
+        with open(f"{made}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(t)))
+        return found(q, t, k)
+
+    pts = np.round(np.random.default_rng(5).normal(size=(660, 2)), 1)  # equal distances occur
+    rows = [(None if ids == "missing" else 7, *map(float, p), float(i % 5)) for i, p in enumerate(pts)]
+    rows = [r if i % 10 else (i, *r[1:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "q long, id long, x double, y double, z double")
+    m = knn.KNNModel.fit(df.where("q >= 60"), ["x", "y"], "z", "regression", 4, id_col="id")
+    one = {r["q"]: r["_near"] for r in m.neighbours(df.where("q < 60")).collect()}
+    monkeypatch.setattr(knn, "_topk", told)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 6_000)  # 75 rows
+    many = {r["q"]: r["_near"] for r in m.neighbours(df.where("q < 60")).collect()}
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert len(sizes) >= 8 and max(sizes) < 150
+    assert one == many
+    for q, near in one.items():
+        d = np.round(np.sqrt(((pts[60:] - pts[q]) ** 2).sum(1)), 9)
+        best = sorted(range(600), key=lambda t: (d[t], rows[60 + t][0] is None, rows[60 + t][0] or 0, rows[60 + t][3]))[:4]
+        assert near == [rows[60 + t][3] for t in best]
+
+
 def test_knn_tuning_searches_a_fold_once(spark, monkeypatch):
     """All k of the grid are scored on neighbours that are kept, as are the folds."""
     plans = []
