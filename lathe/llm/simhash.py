@@ -133,7 +133,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, agree: int = 3) -> DataFr
     """
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"), distance, agree)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, "key")
+    # Spark sizes exploded keys by the fingerprints and would broadcast them
+    met = keyed.hint("merge").join(sizes, "key")
     parts = F.ceil(F.col("n") / F.lit(PART)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     cells = F.when(parts == 1, F.array(F.lit(0))).otherwise(
@@ -188,7 +189,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     member = prints.join(roots, prints.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("low").alias("component_id"))
     found = member.join(named, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a row for each document: ten times its file as a broadcast
+    return rows.hint("merge").join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

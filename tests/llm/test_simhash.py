@@ -97,3 +97,22 @@ def test_links_keep_all_components(spark, monkeypatch, part):
                     queue.append(int(k))
     pairs = {(label[i], comp[i]) for i in range(len(fps))}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def joins(df):
+    return re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """A file of fingerprints is small beside its keys; Spark's estimate has only the file."""
+    rnd = random.Random(5)
+    fps = {2 * rnd.getrandbits(62) for _ in range(500)}
+    prints = simhash.written(spark.createDataFrame([(x + b,) for x in fps for b in (0, 1)], "fp long"), "prints")
+    edges = simhash.links(prints)
+    assert {frozenset(e) for e in edges.collect()} == {frozenset((x, x + 1)) for x in fps}
+    assert set(joins(edges)) == {"SortMergeJoin"}
+
+
+def test_rows_of_documents_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i % 40}") for i in range(200)], "doc_id long, text string")
+    assert joins(simhash.near_duplicates(docs))[0] == "SortMergeJoin"
