@@ -199,6 +199,7 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     text stays; rows with a null doc_id stay, as nothing names them."""
     found = near_duplicates(documents.where(F.col(doc_id).isNotNull()), doc_id, text, shingle, distance)
     first = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__first_id")).distinct(), "first")
-    named = documents.join(first, documents[doc_id].cast("long") == first["__first_id"]).drop("__first_id")
+    # an id for each document that stays: a broadcast is nine times its file
+    named = documents.hint("merge").join(first, documents[doc_id].cast("long") == first["__first_id"]).drop("__first_id")
     one = named.withColumn("__nth", F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).where("__nth = 1").drop("__nth")
     return one.unionByName(documents.where(F.col(doc_id).isNull()))

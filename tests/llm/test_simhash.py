@@ -116,3 +116,10 @@ def test_exploded_keys_are_not_broadcast(spark):
 def test_rows_of_documents_are_not_broadcast(spark):
     docs = spark.createDataFrame([(i, f"some words of text {i % 40}") for i in range(200)], "doc_id long, text string")
     assert joins(simhash.near_duplicates(docs))[0] == "SortMergeJoin"
+
+
+def test_ids_that_stay_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i % 40}") for i in range(200)], "doc_id long, text string")
+    kept = simhash.keep_one(docs)
+    assert set(joins(kept)) == {"SortMergeJoin"}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
